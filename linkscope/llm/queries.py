@@ -18,5 +18,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkscope.llm.rules import quality_verdicts
+
+    got = quality_verdicts(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", *[f"counts.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "p_good")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op9_quality_rules": op9_quality_rules,
+}
 ORACLE_SQL: dict[str, str] = {}
