@@ -28,7 +28,7 @@ from linkscope.llm.common import ascii_lower, words
 #: and in at most that share.
 MIN_SHARE, MAX_SHARE = 0.0015, 0.25
 #: (bits, subsets): each of so many subsets holds a term with probability 2 ** -bits.
-SCALES = ((4, 4), (6, 12), (8, 16), (10, 16))
+SCALES = ((4, 4), (6, 24), (8, 32), (10, 32))
 #: Rows of a run of documents in key order, and at most so many runs.
 RUN_ROWS, MAX_RUNS = 1500, 4000
 #: Stands for the text itself, so that a text without terms of the band keeps its row.
