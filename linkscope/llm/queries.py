@@ -18,6 +18,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
+def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkscope.llm.shards import histogram_shards
+
+    got = histogram_shards(table(spark, sf_dir, "documents"), 8)
+    return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkscope.llm.imatch import imatch
 
@@ -45,6 +52,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_histogram_shards": op4_histogram_shards,
     "op5_imatch": op5_imatch,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
