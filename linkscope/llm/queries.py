@@ -18,6 +18,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkscope.llm.chat import conversation_digests, format_conversations
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    log = rows.unionByName(extra).withColumns({"kind": F.lit("message"), "ref": F.lit(None).cast("long")})
+    return conversation_digests(format_conversations(log))
+
+
 def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkscope.llm.shards import histogram_shards
 
@@ -31,6 +41,12 @@ def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkscope.llm.convnet import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkscope.llm.mixing import mix
 
@@ -52,8 +68,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_chat_format": op3_chat_format,
     "op4_histogram_shards": op4_histogram_shards,
     "op5_imatch": op5_imatch,
+    "op7_quality_cnn": op7_quality_cnn,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
