@@ -41,6 +41,12 @@ def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkscope.llm.pages import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkscope.llm.convnet import quality_scores
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_histogram_shards": op4_histogram_shards,
     "op5_imatch": op5_imatch,
+    "op6_main_text": op6_main_text,
     "op7_quality_cnn": op7_quality_cnn,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
