@@ -18,6 +18,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkscope.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkscope.llm.chat import conversation_digests, format_conversations
 
@@ -74,6 +80,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_chat_format": op3_chat_format,
     "op4_histogram_shards": op4_histogram_shards,
     "op5_imatch": op5_imatch,
