@@ -244,3 +244,146 @@ def gr36(spark, sf):
     n, e = f1(spark, sf)
     p = n.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")).join(n.select(F.col("node").alias("b")), "b", "left_semi")
     return S.distance_lookup(p, S.symmetrise(e))
+
+
+# Centrality
+
+from linkscope.operators import arrival as A  # noqa: E402
+from linkscope.operators import centrality as C  # noqa: E402
+from linkscope.sources.fixtures import read  # noqa: E402
+
+CLO = "SELECT n.node, round(coalesce(count(d.node) / CAST(sum(d.dist) AS DOUBLE) * count(d.node) / ((SELECT count(*) FROM nodes) - 1.0), 0), 6) AS closeness FROM nodes n LEFT JOIN (SELECT * FROM udist WHERE dist > 0) d ON d.source = n.node GROUP BY n.node"
+
+
+@query("ce1_closeness", f"{W}, {UDIST} {CLO}")
+def ce1(spark, sf):
+    return C.closeness(customers(spark, sf), all_udist(spark, sf)).select("node", r("closeness"))
+
+
+@query("ce2_harmonic", f"{W}, {UDIST} SELECT n.node, round(coalesce(sum(1.0 / d.dist), 0) / ((SELECT count(*) FROM nodes) - 1.0), 6) AS harmonic FROM nodes n LEFT JOIN (SELECT * FROM udist WHERE dist > 0) d ON d.source = n.node GROUP BY n.node")
+def ce2(spark, sf):
+    return C.harmonic(customers(spark, sf), all_udist(spark, sf)).select("node", r("harmonic"))
+
+
+@query("ce2_harmonic_directed", f"{W}, {DIST} SELECT n.node, round(coalesce(sum(1.0 / d.dist), 0), 6) AS harmonic FROM nodes n LEFT JOIN (SELECT * FROM dist WHERE dist > 0) d ON d.source = n.node GROUP BY n.node")
+def ce2d(spark, sf):
+    return C.harmonic(customers(spark, sf), all_dist(spark, sf), normalised=False).select("node", r("harmonic"))
+
+
+@query("ce3_betweenness")
+def ce3(spark, sf):
+    return C.betweenness(*f1(spark, sf)).select("node", r("betweenness"))
+
+
+@query("ce4_eigenvector")
+def ce4(spark, sf):
+    return C.eigenvector(*f1(spark, sf)).select("node", r("score"))
+
+
+def pagerank_sql(alpha: float, rounds: int, then: str) -> str:
+    """A fixed number of rounds, enough for six digits."""
+    return f"""{W}, links AS (SELECT e.src, e.dst, o.out_degree AS k FROM edges e JOIN deg o ON o.node = e.src), size AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes),
+flow AS (SELECT src, dst, CAST(1.0 / k AS DOUBLE) AS w FROM links UNION ALL SELECT d.node, x.node, 1.0 / n FROM deg d, nodes x, size WHERE d.out_degree = 0 UNION ALL SELECT node, node, 0.0 FROM nodes),
+pr AS (WITH RECURSIVE p(i, node, r) AS (SELECT 0, node, CAST(1.0 / n AS DOUBLE) FROM nodes, size UNION ALL SELECT p.i + 1, f.dst, (1 - {alpha}) / max(n) + {alpha} * sum(p.r * f.w) FROM p JOIN flow f ON f.src = p.node, size WHERE p.i < {rounds} GROUP BY p.i, f.dst) SELECT node, CAST(r AS DOUBLE) AS pagerank FROM p WHERE i = {rounds})
+{then}"""
+
+
+@query("ce5_pagerank", pagerank_sql(0.85, 130, "SELECT node, round(pagerank, 6) AS rank FROM pr"))
+def ce5(spark, sf):
+    return C.pagerank(*f1(spark, sf)).select("node", r("rank"))
+
+
+@query("ce5_pagerank_half", pagerank_sql(0.5, 40, "SELECT node, round(pagerank, 6) AS rank FROM pr"))
+def ce5h(spark, sf):
+    return C.pagerank(*f1(spark, sf), alpha=0.5).select("node", r("rank"))
+
+
+@query("ce5_pagerank_top", pagerank_sql(0.85, 130, "SELECT pr.node, round(pagerank, 6) AS rank, in_degree, out_degree FROM pr JOIN deg USING (node) ORDER BY round(pagerank, 9) DESC, pr.node LIMIT 20"))
+def ce5t(spark, sf):
+    n, e = f1(spark, sf)
+    top = C.top_k(C.pagerank(n, e).withColumn("rank", F.round("rank", 9)), "rank", 20)
+    return top.join(S.degrees(n, e), "node").select("node", r("rank"), "in_degree", "out_degree")
+
+
+def in_out(spark, sf):
+    d = S.degrees(*f1(spark, sf))
+    return C.rank_table(C.stack({"in": d.select("node", "in_degree"), "out": d.select("node", "out_degree"), "all": d.select("node", "degree")}))
+
+
+RANKS = "st AS (SELECT 'in' AS measure, node, in_degree AS score FROM deg UNION ALL SELECT 'out', node, out_degree FROM deg UNION ALL SELECT 'all', node, degree FROM deg), rk AS (SELECT measure, node, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY measure ORDER BY score DESC, node) AS INT) AS rank FROM st)"
+
+
+@query("ce6_top_k", f"{W}, {RANKS} SELECT measure, node, score FROM rk WHERE rank <= 10")
+def ce6(spark, sf):
+    return C.top_k(in_out(spark, sf).drop("rank"), "score", 10, ["measure"])
+
+
+@query("ce7_rank_table", f"{W}, {RANKS} SELECT measure, node, score, rank FROM rk")
+def ce7(spark, sf):
+    return in_out(spark, sf)
+
+
+@query("ce8_top_set_sizes", f"{W}, {RANKS} SELECT node, string_agg(measure, ',' ORDER BY measure) AS measures, count(*) AS n FROM rk WHERE rank <= 25 GROUP BY node")
+def ce8(spark, sf):
+    return C.top_set_sizes(in_out(spark, sf), 25)
+
+
+@query("ce9_rank_shift", f"{W}, {RANKS} SELECT a.node, a.rank AS rank_a, b.rank AS rank_b, a.rank - b.rank AS shift FROM rk a JOIN rk b USING (node) WHERE a.measure = 'in' AND b.measure = 'out'")
+def ce9(spark, sf):
+    t = in_out(spark, sf)
+    return C.rank_shift(t.filter("measure = 'in'"), t.filter("measure = 'out'"))
+
+
+@query("ce10_score_sources", pagerank_sql(0.85, 130, "SELECT l.dst AS node, l.src AS source, round(pagerank / k, 6) AS share FROM links l JOIN pr ON pr.node = l.src"))
+def ce10(spark, sf):
+    n, e = f1(spark, sf)
+    return C.score_sources(e, C.pagerank(n, e)).select("node", "source", r("share"))
+
+
+@query("ce11_powerlaw_residuals", f"{W}, p AS (SELECT node, log10(in_degree) AS x, log10(out_degree) AS y FROM deg WHERE in_degree > 0 AND out_degree > 0), f AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM p) SELECT node, round(y - i - s * x, 6) AS residual FROM p, f")
+def ce11(spark, sf):
+    return C.powerlaw_residuals(S.degrees(*f1(spark, sf)), "in_degree", "out_degree").select("node", r("residual"))
+
+
+@query("ce12_friendship_paradox", f"{W}, k AS (SELECT * FROM deg WHERE degree > 0), e AS (SELECT s.src, a.degree AS ks, b.degree AS kd FROM sym s JOIN k a ON a.node = s.src JOIN k b ON b.node = s.dst), own AS (SELECT src, ks, avg(kd) AS m, max(kd) AS top FROM e GROUP BY src, ks) SELECT (SELECT count(*) FROM k) AS n, (SELECT round(avg(degree), 6) FROM k) AS mean_degree, round(sum(kd / CAST(ks AS DOUBLE)) / (SELECT count(*) FROM k), 6) AS mean_friend_degree, round(avg(kd), 6) AS mean_end_degree, round(sum(CASE WHEN kd >= ks THEN 1.0 / ks ELSE 0 END) / (SELECT count(*) FROM k), 6) AS p_friend_at_least, (SELECT round(avg(CAST(ks < m AS INT)), 6) FROM own) AS share_below, (SELECT count(*) FROM own WHERE top <= ks) AS unbeaten FROM e")
+def ce12(spark, sf):
+    p = C.friendship_paradox(*f1(spark, sf))
+    return p.select("n", *[r(c) for c in ("mean_degree", "mean_friend_degree", "mean_end_degree", "p_friend_at_least", "share_below")], "unbeaten")
+
+
+@query("ce13_directed_paradox", f"{W}, e AS (SELECT s.src, s.dst, a.in_degree AS ks, b.in_degree AS kd FROM edges s JOIN deg a ON a.node = s.src JOIN deg b ON b.node = s.dst), o AS (SELECT src, avg(CAST(kd >= ks AS INT)) AS lev, max(CAST(kd >= ks AS INT)) AS up FROM e GROUP BY src), i AS (SELECT dst, max(CAST(ks >= kd AS INT)) AS beaten FROM e GROUP BY dst) SELECT (SELECT round(avg(CAST(kd > ks AS INT)), 6) FROM e) AS share_up, (SELECT round(avg(lev), 6) FROM o) AS p_linked_at_least, (SELECT count(*) FROM o WHERE up = 0) AS only_down, (SELECT count(*) FROM i WHERE beaten = 0) AS above_all_linkers")
+def ce13(spark, sf):
+    return C.directed_paradox(*f1(spark, sf)).select(r("share_up"), r("p_linked_at_least"), "only_down", "above_all_linkers")
+
+
+@query("ce14_agreement", pagerank_sql(0.85, 130, "SELECT count(*) AS n, true AS agrees FROM pr"))
+def ce14(spark, sf):
+    n, e = f1(spark, sf)
+    return C.agreement(C.pagerank(n, e, every=5), C.pagerank(n, e, every=7), F.col("rank"), 1e-8).select("n", "agrees")
+
+
+# Arrival order: a customer arrives with their first order
+
+ARR = "ar AS (SELECT node, (SELECT min(year(o_orderdate)) FROM orders WHERE o_custkey = node) AS year FROM nodes), rk AS (SELECT *, row_number() OVER (ORDER BY year NULLS LAST, node) AS rank FROM ar)"
+
+
+def arrivals(spark, sf):
+    y = read(spark, sf, "orders").groupBy(F.col("o_custkey").cast("long").alias("node")).agg(F.min(F.year("o_orderdate")).alias("year"))
+    return A.arrival_ranks(customers(spark, sf).join(y, "node", "left"))
+
+
+@query("tm1_arrival_replay", f"{W}, {ARR}, e AS (SELECT e.src, e.dst, greatest(a.rank, b.rank) AS step FROM edges e JOIN rk a ON a.node = e.src JOIN rk b ON b.node = e.dst), c AS (SELECT node, step, count(*) AS n FROM (SELECT src AS node, step FROM e UNION ALL SELECT dst, step FROM e) GROUP BY node, step) SELECT node, step, CAST(sum(n) OVER (PARTITION BY node ORDER BY step) AS BIGINT) AS degree FROM c")
+def tm1(spark, sf):
+    return A.arrival_replay(arrivals(spark, sf), successions(spark, sf))
+
+
+@query("tm2_first_mover", f"{W}, {ARR}, k AS (SELECT rk.*, in_degree FROM rk JOIN deg USING (node) WHERE year IS NOT NULL), q AS (SELECT rank() OVER (ORDER BY year) + (count(*) OVER (PARTITION BY year) - 1) / 2.0 AS a, rank() OVER (ORDER BY in_degree) + (count(*) OVER (PARTITION BY in_degree) - 1) / 2.0 AS b FROM k) SELECT count(*) AS n, round(corr(a, b), 6) AS spearman, round((SELECT 100 * avg(rank) FROM (SELECT rank FROM k ORDER BY in_degree DESC, node LIMIT 10)) / count(*), 6) AS top_percentile FROM q")
+def tm2(spark, sf):
+    d = S.degrees(*f1(spark, sf)).select("node", "in_degree")
+    return A.first_mover(arrivals(spark, sf).join(d, "node"), "in_degree").select("n", r("spearman"), r("top_percentile"))
+
+
+@query("tm3_decade_profile", f"{W}, {ARR}, k AS (SELECT rk.*, in_degree FROM rk JOIN deg USING (node) WHERE year IS NOT NULL) SELECT CAST(floor(year / 10) * 10 AS INT) AS decade, count(*) AS n, round(avg(in_degree), 6) AS mean, CAST(median(in_degree) AS DOUBLE) AS median, max(in_degree) AS top, first(node ORDER BY in_degree DESC, node) AS holder FROM k GROUP BY 1")
+def tm3(spark, sf):
+    d = S.degrees(*f1(spark, sf)).select("node", "in_degree")
+    return A.decade_profile(arrivals(spark, sf).join(d, "node"), "in_degree").withColumn("mean", r("mean"))
