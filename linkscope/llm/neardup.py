@@ -10,9 +10,10 @@ Candidates share a band key. In a bucket each class is first held against the
 bucket's smallest id only, never all against all; a candidate goes on if sizes and
 sketches allow the similarity, and is confirmed on the full sets. What that leaves
 apart is made good: in buckets whose classes are still in several components, the
-classes outside the bucket's largest component meet all classes of other components,
-with sizes and sketches compared inside the join. So every pair that shares a bucket
-is in one component already or has been compared.
+classes outside the bucket's largest component are held against all classes of other
+components. That is done block by block of a bucket, on the full sets, and only links
+come out, one for each class and component it reaches. So every pair that shares a
+bucket is in one component already or has been compared.
 
 A pair of similarity 0.8 shares no band with probability 5e-8 and is refused by its
 sketches with probability 1e-8.
@@ -37,6 +38,8 @@ SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch, as 64-bit words; sketches must allow this similarity.
 SKETCH_WORDS = 8
 SKETCH_FLOOR = 0.6
+#: Shingles of a block of a bucket's classes, about.
+BLOCK_SHINGLES = 500_000
 #: Ids up to which a list of documents is broadcast; beyond, it is joined by shuffling.
 FEW_IDS = 2_000_000
 
@@ -166,6 +169,69 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     return cut(both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct())
 
 
+def _block_links(percent: int):
+    """Links between the classes of two blocks of a bucket: those to place (side 0)
+    against all (side 1). A pair is compared in the first bucket that it shares."""
+    most = most_differing_bits()
+
+    def links(rows: pa.Table) -> pa.Table:
+        side = rows["side"].to_numpy()
+        x, y = rows.filter(pa.array(side == 0)), rows.filter(pa.array(side == 1))
+        out: tuple[list, list] = ([], [])
+        if x.num_rows and y.num_rows:
+            lists = lambda t, c: t[c].combine_chunks()
+            bucket = rows["bucket"][0].as_py()
+            flat = lambda t, c: lists(t, c).flatten().to_numpy()
+            bands_x, bands_y = flat(x, "bands").reshape(-1, BANDS), flat(y, "bands").reshape(-1, BANDS)
+            sketch_x, sketch_y = (flat(t, "sketch").reshape(-1, SKETCH_WORDS) for t in (x, y))
+            n_x, n_y = np.diff(lists(x, "shingles").offsets.to_numpy()), np.diff(lists(y, "shingles").offsets.to_numpy())
+            ends_x, starts_y = np.cumsum([0, *n_x]), np.cumsum([0, *n_y[:-1]])
+            every, code = np.unique(np.concatenate([flat(x, "shingles"), flat(y, "shingles")]), return_inverse=True)
+            code_x, code_y = code[: ends_x[-1]], code[ends_x[-1] :]
+            ids_x, ids_y = x["id"].to_numpy(), y["id"].to_numpy()
+            own_x, own_y = x["component"].to_numpy(), y["component"].to_numpy()
+            major = rows["major"][0].as_py()
+            band = int(np.argmax(bands_x[0] == bucket))
+            for i in range(len(ids_x)):
+                may = (own_y != own_x[i]) & ((own_y == major) | (ids_y > ids_x[i]))
+                may &= (100 * np.minimum(n_y, n_x[i]) >= percent * np.maximum(n_y, n_x[i])) & ((bands_y == bands_x[i]).argmax(1) == band)
+                may &= np.bitwise_count((sketch_y ^ sketch_x[i]).view(np.uint64)).sum(1) <= most
+                if not may.any():
+                    continue
+                mine = np.zeros(len(every), np.int32)
+                mine[code_x[ends_x[i] : ends_x[i + 1]]] = 1
+                common = np.add.reduceat(mine[code_y], starts_y)
+                linked = np.flatnonzero(may & (100 * common >= percent * (n_x[i] + n_y - common)))
+                for j in linked[np.unique(own_y[linked], return_index=True)[1]]:
+                    out[0].append(min(ids_x[i], ids_y[j]))
+                    out[1].append(max(ids_x[i], ids_y[j]))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return links
+
+
+def links_left(docs: DataFrame, members: DataFrame, labels: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components in buckets that still hold several."""
+    at = cut(members.join(labels.hint("merge"), "id", "left").select("bucket", "first", "id", F.coalesce("component", "id").alias("component")))
+    sizes = at.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts"), F.sum("n").alias("n")).filter("parts > 1 and n > 2")
+    apart = at.join(split.select("bucket", "major").hint("merge"), "bucket").filter("id <> first")  # the first has been held against all
+    apart = cut(apart.join(classes.select("id", "n_shingles").hint("merge"), "id").select("bucket", "id", "component", "major", "n_shingles"))
+    weigh = apart.groupBy("bucket").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    needed = cut(apart.select("id").distinct())
+    side = F.broadcast(needed) if needed.count() <= FEW_IDS else needed.hint("merge")
+    sets = cut(full_sets(docs.join(side, docs.doc_id == needed.id, "left_semi").select("doc_id", "text"), width))
+    info = classes.select("id", "bands", F.array(*[f"s{i}" for i in range(SKETCH_WORDS)]).alias("sketch")).join(sets.hint("merge"), "id")
+    # a class to place goes to its block's row of cells, and each class to its block's column
+    placed = apart.join(weigh.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    cells = F.transform(others, lambda o: F.struct(o.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")))
+    own = F.transform(others, lambda o: F.struct(F.col("block").alias("i"), o.alias("j"), F.lit(0).alias("side")))
+    dealt = placed.select("bucket", "id", "component", "major", F.explode(F.when(F.col("component") != F.col("major"), F.concat(cells, own)).otherwise(cells)).alias("c")).select("bucket", "id", "component", "major", "c.*")
+    rows = dealt.join(info.hint("merge"), "id").select("bucket", "i", "j", "side", "id", "component", "major", "bands", "sketch", "shingles")
+    return cut(rows.groupBy("bucket", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for the ends of edges(a, b): the smallest id reachable.
 
@@ -216,20 +282,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     labels = components(edges)
 
     # what the smallest ids left apart
-    at = cut(members.join(labels.hint("merge"), "id", "left").select("bucket", "first", "id", F.coalesce("component", "id").alias("component")))
-    sizes = at.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts"), F.sum("n").alias("n")).filter("parts > 1 and n > 2")
-    apart = cut(at.join(split.select("bucket", "major").hint("merge"), "bucket").filter("id <> first").select("bucket", "id", "component", "major").join(known.hint("merge"), "id"))
-    minor, all_ = apart.filter("component <> major").alias("m"), apart.alias("o")
-    meet = minor.join(
-        all_.hint("merge"),
-        (F.col("m.bucket") == F.col("o.bucket")) & (F.col("m.component") != F.col("o.component")) & ((F.col("o.component") == F.col("o.major")) | (F.col("m.id") < F.col("o.id"))) & _may_link("m", "o", percent),
-    )
-    more = cut(meet.select(F.least("m.id", "o.id").alias("a"), F.greatest("m.id", "o.id").alias("b")).distinct())
-    if not more.isEmpty():
-        new = confirmed(docs, more, width, percent)
-        if not new.isEmpty():
-            labels = components(edges.union(new))
+    new = links_left(docs, members, labels, classes, width, percent)
+    if not new.isEmpty():
+        labels = components(edges.union(new))
 
     named = classes.select("k1", "k2", F.col("id").alias("class_id")).join(labels.hint("merge"), F.col("class_id") == labels.id, "left").select("k1", "k2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "k1", "k2").join(named.hint("merge"), ["k1", "k2"], "left")
