@@ -1 +1,294 @@
-"""Queries."""
+"""Queries on vectors, similarity, retrieval, communities and nulls."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from linkscope.functions.scalars import STOPWORDS
+from linkscope.operators import retrieval as R
+from linkscope.operators import text as T
+from linkscope.operators import vectors as V
+from linkscope.plans.iterate import cut
+from linkscope.queries.graph import r
+from linkscope.queries.registry import query
+from linkscope.queries.words import STOP, TOK, docs, names, sh, tok
+from linkscope.sources.fixtures import read
+
+WT = f"{TOK}, tf AS (SELECT doc_id, token, count(*) AS tf FROM tok GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token), nd AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents), raw AS (SELECT doc_id, token, tf / sum(tf) OVER (PARTITION BY doc_id) * ln(n / df) AS w FROM tf JOIN df USING (token), nd), un AS (SELECT doc_id, token, coalesce(w / nullif(sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 0), 0) AS w FROM raw)"
+QW = "qt AS (SELECT item_id AS qid, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS token FROM benchmark), q0 AS (SELECT qid, token, count(*) / CAST(sum(count(*)) OVER (PARTITION BY qid) AS DOUBLE) AS tf FROM qt GROUP BY qid, token), q1 AS (SELECT qid, token, tf * ln(n / df) AS w FROM q0 JOIN df USING (token), nd), qw AS (SELECT qid, token, w / nullif(sqrt(sum(w * w) OVER (PARTITION BY qid)), 0) AS w FROM q1), sc AS (SELECT qid, doc_id, sum(qw.w * un.w) AS score FROM qw JOIN un USING (token) WHERE qw.w <> 0 AND un.w <> 0 GROUP BY 1, 2)"
+TG = "tg AS (SELECT qid, min(doc_id) AS target FROM (SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) GROUP BY qid)"
+
+
+def counts(spark, sf):
+    return T.term_counts(tok(spark, sf))
+
+
+def unit(spark, sf):
+    return V.unit_rows(V.tfidf(counts(spark, sf), docs(spark, sf).count()))
+
+
+def dfs(spark, sf):
+    return counts(spark, sf).groupBy("token").agg(F.count("*").alias("df"))
+
+
+def queries_(spark, sf):
+    return read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def weights(spark, sf):
+    return R.query_weights(queries_(spark, sf), dfs(spark, sf), docs(spark, sf).count())
+
+
+def scores(spark, sf):
+    return R.sparse_search(weights(spark, sf), unit(spark, sf))
+
+
+def targets(spark, sf):
+    """The first document that has a benchmark item's text in it; items share eight-word
+    shingles with it, so the join is on those and contains() only confirms."""
+    b = queries_(spark, sf)
+    key = T.shingles(b.select(F.col("qid").alias("doc_id"), "text")).withColumnRenamed("doc_id", "qid")
+    pairs = key.join(sh(spark, sf), "shingle").select("qid", "doc_id").distinct()
+    hit = pairs.join(b.withColumnRenamed("text", "q"), "qid").join(docs(spark, sf).select("doc_id", "text"), "doc_id").filter(F.contains("text", "q"))
+    return hit.groupBy("qid").agg(F.min("doc_id").alias("target"))
+
+
+@query("vs1_bow_unit", f"WITH {TOK}, tf AS (SELECT doc_id, token, count(*) AS tf FROM tok WHERE token NOT IN ({STOP}) GROUP BY 1, 2), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, token) AS i FROM tf) WHERE i <= 200) SELECT doc_id, token, round(tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)), 6) AS w FROM k")
+def vs1(spark, sf):
+    return V.bow_unit(counts(spark, sf), STOPWORDS, 200).withColumn("w", r("w"))
+
+
+@query("vs2_tfidf", f"WITH {WT} SELECT doc_id, token, round(w, 6) AS w FROM raw")
+def vs2(spark, sf):
+    return V.tfidf(counts(spark, sf), docs(spark, sf).count()).withColumn("w", r("w"))
+
+
+@query("vs3_unit_rows", f"WITH {WT} SELECT doc_id, token, round(w, 6) AS w FROM un")
+def vs3(spark, sf):
+    return unit(spark, sf).withColumn("w", r("w"))
+
+
+COS = "cs AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.w * y.w) AS cos FROM un x JOIN un y ON y.token = x.token AND x.doc_id < y.doc_id WHERE x.w <> 0 AND y.w <> 0 GROUP BY 1, 2)"
+
+
+@query("vs4_cosine_pairs", f"WITH {WT}, {COS} SELECT a, b, round(cos, 6) AS cos FROM cs")
+def vs4(spark, sf):
+    return V.cosine_pairs(cut(unit(spark, sf))).withColumn("cos", r("cos"))
+
+
+VEC = "vc AS (SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS cos FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id), nb AS (SELECT doc_id, other, cos, row_number() OVER (PARTITION BY doc_id ORDER BY round(cos, 9) DESC, other) AS rank FROM (SELECT a AS doc_id, b AS other, cos FROM vc UNION ALL SELECT b, a, cos FROM vc))"
+
+
+def vector_pairs(spark, sf):
+    return V.vector_cosines(read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
+
+
+@query("vs4_vector_cosines", f"WITH {VEC} SELECT a, b, round(cos, 5) AS cos FROM vc")
+def vs4v(spark, sf):
+    return vector_pairs(spark, sf).withColumn("cos", F.round("cos", 5))
+
+
+@query("vs5_topk_neighbours", f"WITH {VEC} SELECT doc_id, other, round(cos, 5) AS cos, CAST(rank AS INT) AS rank FROM nb WHERE rank <= 5")
+def vs5(spark, sf):
+    return V.topk_neighbours(vector_pairs(spark, sf), 5).withColumn("cos", F.round("cos", 5))
+
+
+@query("vs5_pair_set", f"WITH {VEC} SELECT DISTINCT least(doc_id, other) AS a, greatest(doc_id, other) AS b FROM nb WHERE rank <= 5")
+def vs5p(spark, sf):
+    return V.pair_set(V.topk_neighbours(vector_pairs(spark, sf), 5))
+
+
+#: For a second opinion in SQL, names are words longer than 8 letters.
+KIND = f"kd AS (SELECT token, CASE WHEN length(token) > 8 THEN 'name' WHEN token IN ({STOP}) OR df >= ceil(n / 3) THEN 'habit' ELSE 'other' END AS kind FROM df, nd)"
+PARTS = "pt AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.w * y.w) AS cos, sum(CASE WHEN kind = 'name' THEN x.w * y.w ELSE 0 END) AS p_name, sum(CASE WHEN kind = 'habit' THEN x.w * y.w ELSE 0 END) AS p_habit, sum(CASE WHEN kind = 'other' THEN x.w * y.w ELSE 0 END) AS p_other FROM un x JOIN un y ON y.token = x.token AND x.doc_id < y.doc_id JOIN kd ON kd.token = x.token WHERE x.w <> 0 AND y.w <> 0 GROUP BY 1, 2)"
+
+
+def kinds(spark, sf):
+    c = counts(spark, sf)
+    long = c.select("token").distinct().filter("length(token) > 8")
+    return T.term_kinds(c, long, docs(spark, sf).count())
+
+
+def parts(spark, sf):
+    return V.decompose_pairs(cut(unit(spark, sf)), kinds(spark, sf))
+
+
+@query("vs6_decompose_pairs", f"WITH {WT}, {KIND}, {PARTS} SELECT a, b, round(cos, 6) AS cos, round(p_name, 6) AS p_name, round(p_habit, 6) AS p_habit, round(p_other, 6) AS p_other FROM pt")
+def vs6(spark, sf):
+    return parts(spark, sf).select("a", "b", *[r(c) for c in ("cos", "p_name", "p_habit", "p_other")])
+
+
+@query("vs7_name_parts")
+def vs7(spark, sf):
+    k = T.term_kinds(counts(spark, sf), names(spark, sf), docs(spark, sf).count())
+    return V.decompose_pairs(cut(unit(spark, sf)), k).filter("cos >= 0.3")
+
+
+@query("vs8_dial_cosine")
+def vs8(spark, sf):
+    u, k = cut(unit(spark, sf)), cut(kinds(spark, sf))
+    dials = spark.createDataFrame([(1.0, 1.0), (0.0, 1.0), (0.0, 0.0)], "wn double, wh double")
+    return V.dial_cosine(V.decompose_pairs(u, k), V.own_parts(u, k), dials).withColumn("cos", r("cos"))
+
+
+@query("vs9_network_agreement", f"WITH {VEC}, lk AS (SELECT x.vec_id AS doc_id, y.vec_id AS other FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id), h AS (SELECT nb.doc_id, count(lk.other) AS hits FROM nb LEFT JOIN lk USING (doc_id, other) WHERE rank <= 5 GROUP BY 1) SELECT count(*) AS n, round(avg(hits), 6) AS agreement FROM h")
+def vs9(spark, sf):
+    nb = V.topk_neighbours(vector_pairs(spark, sf), 5)
+    lab = read(spark, sf, "embeddings").select("vec_id", "label")
+    both = nb.join(lab.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("la")), "doc_id").join(lab.select(F.col("vec_id").alias("other"), F.col("label").alias("lb")), "other")
+    links = both.filter("la = lb").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
+    return V.network_agreement(nb, links).select("n", r("agreement"))
+
+
+@query("vs11_pair_summary", f"WITH {WT}, {KIND}, {PARTS}, v AS (SELECT *, CASE WHEN p_name + p_habit + p_other <= 0 THEN 'STORY' WHEN 2 * p_name >= p_name + p_habit + p_other THEN 'NAME' WHEN p_habit >= p_other THEN 'HABIT' ELSE 'STORY' END AS verdict FROM pt) SELECT verdict, count(*) AS n, round(median(cos), 5) AS median_cos, round(avg(p_name / nullif(cos, 0)), 5) AS mean_name_share, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM v GROUP BY verdict")
+def vs11(spark, sf):
+    p = V.pair_summary(parts(spark, sf))
+    return p.select("verdict", "n", F.round("median_cos", 5).alias("median_cos"), F.round("mean_name_share", 5).alias("mean_name_share"), r("share"))
+
+
+@query("vs12_pair_top_terms", f"WITH {WT}, {COS}, pp AS (SELECT cs.a, cs.b, x.token, x.w * y.w AS part FROM cs JOIN un x ON x.doc_id = cs.a JOIN un y ON y.doc_id = cs.b AND y.token = x.token WHERE cos >= 0.3 AND x.w * y.w > 0) SELECT a, b, token, round(part, 6) AS part, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY round(part, 9) DESC, token) AS rank FROM pp) WHERE rank <= 3")
+def vs12(spark, sf):
+    u = cut(unit(spark, sf))
+    return V.pair_top_terms(u, cut(V.cosine_pairs(u).filter("cos >= 0.3"))).withColumn("part", r("part"))
+
+
+@query("vs14_closest_unlinked", f"WITH {WT}, {COS} SELECT a, b, round(cos, 6) AS cos FROM cs JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE cos >= 0.3 AND x.source <> y.source")
+def vs14(spark, sf):
+    d = docs(spark, sf).select("doc_id", "source")
+    p = cut(V.cosine_pairs(cut(unit(spark, sf))).filter("cos >= 0.3"))
+    same = p.join(d.select(F.col("doc_id").alias("a"), F.col("source").alias("x")), "a").join(d.select(F.col("doc_id").alias("b"), F.col("source").alias("y")), "b").filter("x = y")
+    return V.unlinked(p, same).withColumn("cos", r("cos"))
+
+
+@query("vs15_centroid_outliers", f"WITH {WT}, m AS (SELECT token, sum(w) / max(n) AS m FROM un, nd GROUP BY token), l AS (SELECT sqrt(sum(m * m)) AS len FROM m) SELECT doc_id, round(sum(w * m) / max(len), 6) AS cos FROM un JOIN m USING (token), l GROUP BY doc_id")
+def vs15(spark, sf):
+    return V.centroid_outliers(unit(spark, sf), docs(spark, sf).count()).withColumn("cos", r("cos"))
+
+
+@query("vs16_distinctive_terms", f"WITH {WT}, a AS (SELECT token, sum(tf) AS a FROM tf GROUP BY token), l AS (SELECT doc_id, sum(tf) AS l FROM tf GROUP BY doc_id), q AS (SELECT doc_id, token, (tf / CAST(l AS DOUBLE)) / (a / CAST((SELECT sum(tf) FROM tf) AS DOUBLE)) AS ratio FROM tf JOIN a USING (token) JOIN l USING (doc_id) WHERE tf >= 3) SELECT doc_id, token, round(ratio, 4) AS ratio, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(ratio, 9) DESC, token) AS rank FROM q) WHERE rank <= 8")
+def vs16(spark, sf):
+    return V.distinctive_terms(counts(spark, sf)).withColumn("ratio", F.round("ratio", 4))
+
+
+@query("vs17_single_term_oracle")
+def vs17(spark, sf):
+    return V.single_term_oracle(unit(spark, sf)).withColumn("margin", r("margin"))
+
+
+@query("vs18_sparse_search", f"WITH {WT}, {QW} SELECT qid, doc_id, round(score, 6) AS score FROM sc")
+def vs18(spark, sf):
+    return scores(spark, sf).withColumn("score", r("score"))
+
+
+@query("vs18_unknown_words", f"WITH {WT}, {QW} SELECT DISTINCT qid, token FROM qt WHERE token NOT IN (SELECT token FROM df)")
+def vs18u(spark, sf):
+    return R.unknown_words(queries_(spark, sf), dfs(spark, sf))
+
+
+@query("vs19_binary_query_search", f"WITH {WT}, {QW}, k AS (SELECT DISTINCT qid, token FROM qt WHERE token IN (SELECT token FROM df)), n AS (SELECT qid, count(*) AS n FROM k GROUP BY qid) SELECT qid, doc_id, round(sum(w) / sqrt(max(n)), 6) AS score FROM k JOIN un USING (token) JOIN n USING (qid) GROUP BY 1, 2")
+def vs19(spark, sf):
+    return R.binary_query_search(queries_(spark, sf), unit(spark, sf)).withColumn("score", r("score"))
+
+
+DENSE = "dq AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 = 0), ds AS (SELECT qid, p.vec_id AS passage, CAST(p.label AS BIGINT) AS doc_id, round(list_dot_product(v, CAST(p.embedding AS DOUBLE[])), 9) AS s FROM dq, embeddings p WHERE p.vec_id % 10 <> 0), db AS (SELECT qid, doc_id, max(s) AS score, first(passage ORDER BY s DESC, passage) AS passage FROM ds GROUP BY 1, 2)"
+
+
+def dense(spark, sf):
+    """Every tenth vector is a query (the query set), the rest are passages owned by their label."""
+    e = read(spark, sf, "embeddings")
+    return R.dense_search(e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), e.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("passage"), F.col("label").cast("long").alias("doc_id"), F.col("embedding").alias("v")))
+
+
+@query("vs20_dense_search", f"WITH {DENSE} SELECT qid, doc_id, round(score, 5) AS score, passage FROM db")
+def vs20(spark, sf):
+    return dense(spark, sf).select("qid", "doc_id", F.round("score", 5).alias("score"), "passage")
+
+
+DT = "dt AS (SELECT vec_id AS qid, CAST(label AS BIGINT) AS target FROM embeddings WHERE vec_id % 10 = 0), dr AS (SELECT dt.qid, target, count(*) FILTER (o.score >= t.score) AS rank FROM dt JOIN db t ON t.qid = dt.qid AND t.doc_id = target JOIN db o ON o.qid = dt.qid GROUP BY 1, 2)"
+
+
+def dense_targets(spark, sf):
+    return read(spark, sf, "embeddings").filter("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), F.col("label").cast("long").alias("target"))
+
+
+def dense_ranks(spark, sf):
+    return R.rank_of_target(cut(dense(spark, sf)), dense_targets(spark, sf))
+
+
+@query("vs22_rank_of_target", f"WITH {DENSE}, {DT} SELECT qid, target, rank FROM dr")
+def vs22(spark, sf):
+    return dense_ranks(spark, sf)
+
+
+@query("vs23_retrieval_summary", f"WITH {DENSE}, {DT} SELECT target % 2 AS style, count(*) AS n, count(*) FILTER (rank <= 1) AS top1, count(*) FILTER (rank <= 3) AS top3, count(*) FILTER (rank <= 10) AS top10, CAST(median(rank) AS DOUBLE) AS median_rank, round(avg(1.0 / rank), 6) AS mrr FROM dr GROUP BY 1")
+def vs23(spark, sf):
+    return R.retrieval_summary(dense_ranks(spark, sf).withColumn("style", F.col("target") % 2), ["style"]).withColumn("mrr", r("mrr"))
+
+
+@query("vs22_sparse_ranks", f"WITH {WT}, {QW}, {TG} SELECT tg.qid, target, CASE WHEN max(t.score) IS NOT NULL THEN count(*) FILTER (round(o.score, 9) >= round(t.score, 9)) END AS rank FROM tg LEFT JOIN sc t ON t.qid = tg.qid AND t.doc_id = target LEFT JOIN sc o ON o.qid = tg.qid GROUP BY 1, 2")
+def vs22s(spark, sf):
+    return R.rank_of_target(cut(scores(spark, sf)), targets(spark, sf))
+
+
+@query("vs25_standout", f"WITH {WT}, {QW}, o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS i FROM sc), g AS (SELECT qid, max(score) AS best, coalesce(max(score) FILTER (i = 2), 0) AS sec, sum(score) / max(n) AS mean, sum(score * score) / max(n) AS sq FROM o, nd GROUP BY qid) SELECT qid, round(best, 6) AS best, round((best - mean) / sqrt(sq - mean * mean), 4) AS z, round((best - sec) / sqrt(sq - mean * mean), 4) AS gap FROM g")
+def vs25(spark, sf):
+    return R.standout(scores(spark, sf), docs(spark, sf).count()).select("qid", r("best"), F.round("z", 4).alias("z"), F.round("gap", 4).alias("gap"))
+
+
+def judged(spark, sf):
+    """Queries as rows of style, correctness and confidence: a query is absent if no document has its text."""
+    s = cut(scores(spark, sf))
+    pick = R.top_pick(s)
+    z = R.standout(s, docs(spark, sf).count())
+    t = targets(spark, sf)
+    j = pick.join(z, "qid").join(t, "qid", "left")
+    return j.select("qid", F.when(F.col("target").isNull(), "absent").otherwise("page").alias("style"), F.coalesce(F.col("doc_id") == F.col("target"), F.lit(False)).alias("correct"), F.round("z", 6).alias("value"))
+
+
+MIX = {"page": 0.6, "absent": 0.4}
+
+
+@query("vs26_expected_score")
+def vs26(spark, sf):
+    j = judged(spark, sf).withColumn("abstains", F.col("value") < 10)
+    return R.expected_score(j, MIX).select(r("score"))
+
+
+@query("vs27_fit_abstention")
+def vs27(spark, sf):
+    return R.fit_abstention(judged(spark, sf), MIX)
+
+
+@query("vs28_loo_abstention")
+def vs28(spark, sf):
+    return R.loo_abstention(cut(judged(spark, sf)), MIX)
+
+
+@query("vs29_confidence_report")
+def vs29(spark, sf):
+    return R.confidence_report(judged(spark, sf))
+
+
+@query("vs30_carrier_word")
+def vs30(spark, sf):
+    p = cut(R.contributions(weights(spark, sf), unit(spark, sf)))
+    picks = R.top_pick(p.groupBy("qid", "doc_id").agg(F.sum("part").alias("score")))
+    return R.carrier_word(p, picks).withColumn("share", r("share"))
+
+
+@query("vs32_query_leak_check", f"WITH {WT}, {QW}, {TG}, k AS (SELECT DISTINCT qid, token FROM qt WHERE token NOT IN ({STOP})) SELECT k.qid, target, count(*) AS words, count(tf.tf) AS on_target, count(*) FILTER (tf.tf IS NOT NULL AND df <= 30) AS rare_on_target, CASE WHEN count(*) FILTER (tf.tf IS NOT NULL AND df <= 30) >= 2 THEN 'leaks' WHEN count(*) FILTER (tf.tf IS NOT NULL AND df <= 30) = 1 THEN 'weak' ELSE 'none' END AS level FROM k JOIN tg USING (qid) LEFT JOIN df USING (token) LEFT JOIN tf ON tf.doc_id = target AND tf.token = k.token GROUP BY 1, 2")
+def vs32(spark, sf):
+    return R.query_leak_check(queries_(spark, sf), counts(spark, sf), targets(spark, sf), STOPWORDS)
+
+
+@query("vs33_candidate_lineup")
+def vs33(spark, sf):
+    a = scores(spark, sf).select(F.lit("sparse").alias("engine"), "qid", "doc_id", "score")
+    b = R.binary_query_search(queries_(spark, sf), unit(spark, sf)).select(F.lit("words").alias("engine"), "qid", "doc_id", "score")
+    return R.candidate_lineup(a.union(b), targets(spark, sf))
+
+
+@query("vs38_candidate_pools", "WITH k AS (SELECT doc_id FROM documents WHERE length(text) >= 1000) SELECT 'full' AS pool, doc_id FROM k UNION ALL SELECT 'famous', doc_id FROM (SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM k) ORDER BY length(text) DESC, doc_id LIMIT 25)")
+def vs38(spark, sf):
+    d = docs(spark, sf).select("doc_id", F.length("text").alias("length"))
+    return R.candidate_pools(d, 1000, d.withColumnRenamed("length", "score"), 25)
