@@ -7,4 +7,4 @@ __all__ = ["ORACLE_SQL", "QUERIES", "load"]
 
 def load() -> None:
     """Registers all queries."""
-    from linkscope.queries import graph, sets, words  # noqa: F401
+    from linkscope.queries import graph, models, sets, words  # noqa: F401
