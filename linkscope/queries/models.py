@@ -249,3 +249,45 @@ def ht4(spark, sf):
 def ht7(spark, sf):
     h = degree_hist(spark, sf)
     return H.compare_tails(h, "kind", cut(H.fit_tails(h, "kind")))
+
+
+@query("cm8_flip_counts")
+def cm8(spark, sf):
+    e = copies(spark, sf)
+    runs = cut(M.louvain(ends(e), e, seeds=2))
+    return M.flip_counts(runs, M.best_seed(runs, e))
+
+
+@query("cm10_null_modularity")
+def cm10(spark, sf):
+    """Modularity of the nations on degree-preserving and random graphs."""
+    n, e = f1(spark, sf)
+    out = None
+    for name, draws in {"gnm": N.gnm(n, e.count(), 5), "swap": N.swap_edges(e, 3, per_edge=1)}.items():
+        und = S.undirected(cut(draws), ["replicate"])
+        labels = nations(spark, sf).crossJoin(F.broadcast(und.select("replicate").distinct()))
+        q = M.modularity(und, labels, ["replicate"]).agg(F.lit(name).alias("null"), r(F.avg("q")).alias("mean"), r(F.stddev_pop("q")).alias("sd"))
+        out = q if out is None else out.unionByName(q)
+    return out
+
+
+@query("nu6_node_z_scores")
+def nu6(spark, sf):
+    """In-degree against random graphs of the same size."""
+    n, e = f1(spark, sf)
+    real = S.degrees(n, e).select("node", F.col("in_degree").alias("score"))
+    draws = cut(N.gnm(n, e.count(), 6))
+    runs = n.crossJoin(F.broadcast(draws.select("replicate").distinct()))
+    samples = S.degrees(runs, draws, ["replicate"]).select("replicate", "node", F.col("in_degree").alias("score"))
+    return N.node_z_scores(real, samples)
+
+
+@query("nu14_distance_null")
+def nu14(spark, sf):
+    """Distances from the 20 nodes of highest degree, against swapped graphs."""
+    n, e = f1(spark, sf)
+    top = cut(by_degree(spark, sf, 20).select(F.col("node").alias("source")))
+    real = S.distance_histogram(S.bfs(e, top))
+    draws = N.swap_edges(e, 2, per_edge=1)
+    sources = top.crossJoin(F.broadcast(draws.select("replicate").distinct()))
+    return N.distance_null(real, S.distance_histogram(S.bfs(draws, sources, ["replicate"]), ["replicate"]))

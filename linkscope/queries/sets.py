@@ -292,3 +292,39 @@ def vs33(spark, sf):
 def vs38(spark, sf):
     d = docs(spark, sf).select("doc_id", F.length("text").alias("length"))
     return R.candidate_pools(d, 1000, d.withColumnRenamed("length", "score"), 25)
+
+
+@query("vs10_neighbour_rank_shift")
+def vs10(spark, sf):
+    u, k = cut(unit(spark, sf)), cut(kinds(spark, sf))
+    dials = spark.createDataFrame([(0.0, 0.0)], "wn double, wh double")
+    p = cut(V.decompose_pairs(u, k))
+    now = V.topk_neighbours(V.dial_cosine(p, V.own_parts(u, k), dials), 10)
+    return V.neighbour_rank_shift(now, V.topk_neighbours(p, 10)).select("doc_id", "other", "rank", "base_rank")
+
+
+@query("vs24_paired_compare", f"WITH {WT}, {QW}, {TG}, bq AS (SELECT DISTINCT qid, token FROM qt WHERE token IN (SELECT token FROM df)), bn AS (SELECT qid, count(*) AS n FROM bq GROUP BY qid), bs AS (SELECT qid, doc_id, sum(w) / sqrt(max(n)) AS score FROM bq JOIN un USING (token) JOIN bn USING (qid) GROUP BY 1, 2), x AS (SELECT tg.qid, CASE WHEN max(t.score) IS NOT NULL THEN count(*) FILTER (round(o.score, 9) >= round(t.score, 9)) END AS r FROM tg LEFT JOIN sc t ON t.qid = tg.qid AND t.doc_id = target LEFT JOIN sc o ON o.qid = tg.qid GROUP BY 1), y AS (SELECT tg.qid, CASE WHEN max(t.score) IS NOT NULL THEN count(*) FILTER (round(o.score, 9) >= round(t.score, 9)) END AS r FROM tg LEFT JOIN bs t ON t.qid = tg.qid AND t.doc_id = target LEFT JOIN bs o ON o.qid = tg.qid GROUP BY 1), z AS (SELECT coalesce(x.r, 4611686018427387904) AS a, coalesce(y.r, 4611686018427387904) AS b FROM x JOIN y USING (qid)) SELECT count(*) FILTER (b > a) AS worse, count(*) FILTER (b = a) AS same, count(*) FILTER (b < a) AS better FROM z")
+def vs24(spark, sf):
+    t = cut(targets(spark, sf))
+    a = R.rank_of_target(cut(scores(spark, sf)), t)
+    return R.paired_compare(a, R.rank_of_target(cut(R.binary_query_search(queries_(spark, sf), unit(spark, sf))), t))
+
+
+@query("vs36_early_commit")
+def vs36(spark, sf):
+    """Each query's words are clues in their order; the documents that any clue speaks for are the options."""
+    p = cut(R.contributions(weights(spark, sf), unit(spark, sf)))
+    first = T.tokenize(queries_(spark, sf).withColumnRenamed("qid", "doc_id")).groupBy(F.col("doc_id").alias("qid"), "token").agg(F.min("pos").alias("step"))
+    s = p.join(first, ["qid", "token"])
+    grid = s.select("qid", F.col("doc_id").alias("option")).distinct().join(s.select("qid", "step").distinct(), "qid")
+    got = grid.join(s.groupBy("qid", F.col("doc_id").alias("option"), "step").agg(F.sum("part").alias("score")), ["qid", "option", "step"], "left").fillna(0.0, ["score"])
+    return R.early_commit(got)
+
+
+@query("vs39_review_misses")
+def vs39(spark, sf):
+    """Items with an odd number stand for those that were reviewed, with the pick of that time."""
+    s = cut(scores(spark, sf))
+    picks = R.top_pick(s)
+    reviews = picks.filter("qid % 2 = 1").select("qid", F.col("doc_id").alias("pick"))
+    return R.review_misses(R.rank_of_target(s, targets(spark, sf)), picks, reviews)

@@ -298,3 +298,15 @@ def fn(spark, sf):
 def fnt(spark, sf):
     d = docs(spark, sf)
     return d.select("doc_id", L.shorten(F.col("text"), 60).alias("short"), L.pretty_name(F.col("source")).alias("pretty"), L.alias_from_description(F.col("text")).alias("alias"), F.array_join(L.own_words(F.substring("text", 1, 80)), " ").alias("words"), F.regexp_count("text", F.lit(L.mention_regex("the"))).alias("mentions"))
+
+
+@query("ext11_spread_sample")
+def ext11(spark, sf):
+    return X.spread_sample(docs(spark, sf).select(F.col("doc_id").alias("node"), F.length("text").alias("score")), "score", 12)
+
+
+@query("tx18_mention_report")
+def tx18(spark, sf):
+    """Mentions and documents of each name word."""
+    t = tok(spark, sf).join(names(spark, sf).select("token"), "token", "left_semi")
+    return t.groupBy("token").agg(F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("documents"))
