@@ -22,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from linkscope.llm.common import arrow_schema, vocabulary_path
+from linkscope.llm.common import arrow_schema, release, text_batches, vocabulary_path
 
 #: The published pattern that splits text before merging.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Finished pieces that a task keeps; beyond it the map starts anew.
-KEPT_PIECES = 600_000
+#: Finished pieces of a generation; a worker keeps two, about 40 MB at most.
+KEPT_PIECES = 70_000
 
 
 def byte_alphabet() -> list[str]:
@@ -39,15 +39,22 @@ def byte_alphabet() -> list[str]:
 
 
 class Pieces(dict):
-    """Finished pieces: a missing one is merged on first sight."""
+    """Finished pieces: a missing one is merged on first sight. A full generation
+    becomes the old one, from which pieces still in use come over."""
 
     def __init__(self, merge):
         super().__init__()
         self.merge = merge
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def forget(self) -> None:
+        """Drops the old generation once a task is over."""
+        self.old = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.merge(piece))
+        ids = self.old.get(piece) or tuple(self.merge(piece))
         if len(self) >= KEPT_PIECES:
+            self.old = dict(self)
             self.clear()
         if len(piece) <= 64:
             self[piece] = ids
@@ -156,8 +163,10 @@ def bpe_encode(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", text: str =
                 part = batch.slice(lo, 256)
                 got = pa.array([model.encode(t) for t in part.column(at).to_pylist()], arrow.field(n_cols).type)
                 yield pa.RecordBatch.from_arrays([*part.columns, got], schema=arrow)
+        model.seen.forget()
+        release()
 
-    return df.mapInArrow(run, schema)
+    return text_batches(df).mapInArrow(run, schema)
 
 
 def bpe_decode(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -176,7 +185,7 @@ def bpe_decode(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", ids: str =
             got = pa.array([model.decode(x or ()) for x in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, got], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return text_batches(df).mapInArrow(run, schema)
 
 
 def bpe_digest(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,4 +211,4 @@ def bpe_digest(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", key: str =
                     b.append(sha(model.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return text_batches(df).mapInArrow(run, schema)

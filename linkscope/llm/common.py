@@ -51,6 +51,24 @@ def n_words(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE))).cast("long")
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, after its session's Arrow batches have been set to TEXT_ROWS rows: rows with
+    whole texts are long, and the usual 10,000 of them fill an executor's memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return df
+
+
+#: Rows of an Arrow batch that holds whole texts.
+TEXT_ROWS = 1000
+
+
+def release() -> None:
+    """Gives a task's Arrow memory back, as workers live on for other tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def arrow_schema(df_schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkscope.llm.common import arrow_schema
+from linkscope.llm.common import arrow_schema, release, text_batches
 
 CHUNK, OVERLAP = 256, 32
 #: Byte vectors, filter width, filters, step of a filter.
@@ -195,8 +195,9 @@ def add_score(docs: DataFrame, net: ByteNet, text: str = "text", name: str = "sc
         for batch in batches:
             texts = [t or b"" for t in batch.column(len(kept)).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(net.scores(texts), pa.float64())], schema=arrow)
+        release()
 
-    return docs.mapInArrow(run, schema)
+    return text_batches(docs).mapInArrow(run, schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkscope.llm.common import arrow_schema, cut
+from linkscope.llm.common import arrow_schema, cut, text_batches
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
@@ -129,7 +129,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     schema=arrow,
                 )
 
-    return docs.mapInArrow(run, schema)
+    return text_batches(docs).mapInArrow(run, schema)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -145,7 +145,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets))).cast(arrow.field(1).type)], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return text_batches(docs).mapInArrow(run, schema)
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:

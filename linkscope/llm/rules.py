@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkscope.llm.common import arrow_schema, cut
+from linkscope.llm.common import arrow_schema, cut, release, text_batches
 
 #: Counted in each text.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_upper_words", "n_symbol_words", "n_run_words")
@@ -102,8 +102,9 @@ def add_counts(docs: DataFrame, text: str = "text", name: str = "counts", keep_t
             columns = zip(*rows, strict=True) if rows else [[] for _ in COUNTS]
             got = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=list(arrow.field(len(kept)).type))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], got], schema=arrow)
+        release()
 
-    return docs.mapInArrow(run, schema)
+    return text_batches(docs).mapInArrow(run, schema)
 
 
 def rules(c: str = "counts") -> dict[str, Column]:
