@@ -87,7 +87,7 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-10, ma
     return iterate(nodes.select("node", F.lit(n**-0.5).alias("score")), step, done, max_rounds)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-10, max_rounds: int = 100, every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-10, max_rounds: int = 100, every: int = 3) -> DataFrame:
     """(node, rank), summing to 1. What nodes without links hold is spread over all.
     The tolerance (L1) is looked at after every few rounds, which run as one job."""
     n = nodes.count()
