@@ -27,7 +27,7 @@ from linkscope.llm.common import arrow_schema, release, text_batches, vocabulary
 #: The published pattern that splits text before merging.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Finished pieces of a generation; a worker keeps two, about 40 MB at most.
-KEPT_PIECES = 70_000
+KEPT_PIECES = 80_000
 
 
 def byte_alphabet() -> list[str]:
@@ -38,6 +38,10 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in visible else next(hidden)) for b in range(256)]
 
 
+#: A pair's key is its left id above so many bits of its right one.
+PAIR = 32
+
+
 class Pieces(dict):
     """Finished pieces: a missing one is merged on first sight. A full generation
     becomes the old one, from which pieces still in use come over."""
@@ -67,10 +71,11 @@ class ByteBPE:
     def __init__(self, spec: dict):
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        self.ranks = {pair: i for i, pair in enumerate(pairs)}
+        self.rank_of = {self.vocab[a] << PAIR | self.vocab[b]: r for r, (a, b) in enumerate(pairs)}
+        self.merged = [self.vocab[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         alphabet = byte_alphabet()
-        self.of_byte = alphabet
+        self.byte_id = [self.vocab[c] for c in alphabet]
         byte_of = {c: b for b, c in enumerate(alphabet)}
         self.bytes_of = {i: bytes(byte_of[c] for c in s) for s, i in self.vocab.items() if s not in self.special}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
@@ -84,27 +89,43 @@ class ByteBPE:
             return cls(json.load(f))
 
     def merge(self, piece: str) -> list[int]:
-        """Ids of one piece."""
-        symbols: list[str | None] = [self.of_byte[b] for b in piece.encode("utf-8", "surrogatepass")]
-        n = len(symbols)
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := self.ranks.get((symbols[i], symbols[i + 1]))) is not None]
+        """Ids of one piece. A heap entry holds a rank and, in its low bits, a position;
+        it is stale unless the pair that starts there still has that rank."""
+        ids = [self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass")]
+        n = len(ids)
+        if n < 2:
+            return ids
+        rank_of, merged = self.rank_of.get, self.merged
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = [rank_of(ids[i] << PAIR | ids[i + 1], -1) for i in range(n - 1)]
+        rank.append(-1)
+        low = n.bit_length()
+        mask = (1 << low) - 1
+        heap = [r << low | i for i, r in enumerate(rank) if r >= 0]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
-            j = after[i]
-            if symbols[i] != left or j < 0 or symbols[j] != right:
+            entry = heapq.heappop(heap)
+            i, r = entry & mask, entry >> low
+            if rank[i] != r:
                 continue  # stale
-            symbols[i], symbols[j] = left + right, None
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for k in (before[i], i):
-                if k >= 0 and after[k] >= 0 and (r := self.ranks.get((symbols[k], symbols[after[k]]))) is not None:
-                    heapq.heappush(heap, (r, k, symbols[k], symbols[after[k]]))
+            j = after[i]
+            ids[i], rank[j] = merged[r], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                rank[i] = r = rank_of(ids[i] << PAIR | ids[k], -1)
+                if r >= 0:
+                    heapq.heappush(heap, r << low | i)
+            else:
+                rank[i] = -1
+            h = before[i]
+            if h >= 0:
+                rank[h] = r = rank_of(ids[h] << PAIR | ids[i], -1)
+                if r >= 0:
+                    heapq.heappush(heap, r << low | h)
         out, i = [], 0
-        while i >= 0:
-            out.append(self.vocab[symbols[i]])
+        while i < n:
+            out.append(ids[i])
             i = after[i]
         return out
 
