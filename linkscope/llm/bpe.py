@@ -26,8 +26,9 @@ from linkscope.llm.common import arrow_schema, release, text_batches, vocabulary
 
 #: The published pattern that splits text before merging.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Finished pieces of a generation; a worker keeps two, about 40 MB at most.
-KEPT_PIECES = 80_000
+#: Finished pieces of a generation, of which a worker keeps two: about 40 MB at most where
+#: rows carry ids and other columns, 100 MB where only digests leave the task.
+KEPT_PIECES, KEPT_FOR_DIGESTS = 80_000, 250_000
 
 
 def byte_alphabet() -> list[str]:
@@ -49,6 +50,7 @@ class Pieces(dict):
     def __init__(self, merge):
         super().__init__()
         self.merge = merge
+        self.kept = KEPT_PIECES
         self.old: dict[str, tuple[int, ...]] = {}
 
     def forget(self) -> None:
@@ -57,7 +59,7 @@ class Pieces(dict):
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.old.get(piece) or tuple(self.merge(piece))
-        if len(self) >= KEPT_PIECES:
+        if len(self) >= self.kept:
             self.old = dict(self)
             self.clear()
         if len(piece) <= 64:
@@ -179,6 +181,7 @@ def bpe_encode(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _Lazy.get(path, raw)
+        model.seen.kept = KEPT_PIECES
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -220,6 +223,7 @@ def bpe_digest(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _Lazy.get(path, raw)
+        model.seen.kept = KEPT_FOR_DIGESTS
         decimal = {i: b"%d" % i for i in model.bytes_of}
         sha = hashlib.sha256
         for batch in batches:
