@@ -2,10 +2,10 @@
 
 Each document's rolling word k-gram hashes join the positions of the same hashes in
 the license templates. A match votes for the diagonal (document position minus
-template position) on which the template would start. Diagonals that lie close
-together and follow one another - the text has a word more or less - merge into one
-candidate span, which is verified by how much of the template it covers, in order,
-and by its length.
+template position) on which the template would start. Runs of matches on diagonals
+that lie close together and follow one another in template and text - the text has a
+word more, less or another - chain into one candidate span, which is verified by how
+much of the template it covers, in order, and by its length.
 
 The base phrases are templates of their own: one stands exactly where a single
 diagonal has all its k-grams, so their places come from the unmerged diagonals.
@@ -47,7 +47,7 @@ TEMPLATES = (
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("permission to use copy modify and or distribute this software for any purpose", "isc"),
 )
-#: Diagonals this close merge. A span must cover this share of its template's words,
+#: Diagonals this close chain. A span must cover this share of its template's words,
 #: all of them if the template is shorter than SHORT, and be at most LONGER times as long.
 NEAR, COVER, SHORT, LONGER = 3, 0.7, 8, 1.5
 
@@ -87,27 +87,63 @@ def diagonals(docs: DataFrame, text: str = "text") -> DataFrame:
     grams = split.select("k1", "k2", F.posexplode(gram_hashes(F.col("w"))).alias("pos", "hash"))
     hits = grams.join(F.broadcast(template_table(docs.sparkSession)), "hash")  # the templates are fixed
     by = ["k1", "k2", "template", "label", "exact", "length", (F.col("pos") - F.col("tpos")).alias("diagonal")]
-    return hits.groupBy(*by).agg(F.count_distinct("tpos").alias("votes"), F.min("tpos").alias("t0"), F.max("tpos").alias("t1"))
+    return hits.groupBy(*by).agg(F.expr("bit_or(shiftleft(1L, tpos))").alias("grams")).withColumn("votes", F.bit_count("grams"))
+
+
+def runs(votes: DataFrame) -> DataFrame:
+    """Unbroken runs of matches on a diagonal: (k1, k2, template, label, length, run),
+    run being (start, t0, t1, diagonal), where start is its first word in the text and
+    t0 and t1 its first and last k-gram in the template."""
+    hit = lambda t: (t >= 0) & (t <= F.col("length") - K) & (F.getbit("grams", F.greatest(t, F.lit(0))) == 1)
+    every = F.sequence(F.lit(0), F.col("length") - K)
+    first, last = F.filter(every, lambda t: hit(t) & ~hit(t - 1)), F.filter(every, lambda t: hit(t) & ~hit(t + 1))
+    pairs = F.transform(F.arrays_zip(first.alias("t0"), last.alias("t1")), lambda r: F.struct((F.col("diagonal") + r.t0).alias("start"), r.t0.alias("t0"), r.t1.alias("t1"), F.col("diagonal").alias("diagonal")))
+    return votes.filter("not exact").select("k1", "k2", "template", "label", "length", F.explode(pairs).alias("run"))
+
+
+def chained(first: Column, others: Column) -> Column:
+    """The chains that begin with the run first and go on through others (sorted), each
+    as (start, t0, t1, diagonal, words) of its last run with the words of the template
+    that the best such chain covers. A run follows another if it is further on in
+    both the template and the text and their diagonals differ by at most NEAR; words
+    that both hold count once."""
+
+    def follows(c: Column, x: Column) -> Column:
+        on = (x.t0 > c.t0) & (x.t1 > c.t1) & (x.start > c.start) & (x.diagonal + x.t1 > c.diagonal + c.t1)
+        return on & (F.abs(x.diagonal - c.diagonal) <= NEAR)
+
+    def words(c: Column, x: Column) -> Column:
+        shared = F.greatest(F.lit(0), c.t1 + K - x.t0, c.diagonal + c.t1 + K - x.start)
+        return c.words + F.greatest(F.lit(0), x.t1 - x.t0 + K - shared)
+
+    def state(x: Column, n: Column) -> Column:
+        return F.array(F.struct(x.start.alias("start"), x.t0.alias("t0"), x.t1.alias("t1"), x.diagonal.alias("diagonal"), n.alias("words")))
+
+    def step(chains: Column, x: Column) -> Column:
+        best = F.array_max(F.transform(F.filter(chains, lambda c: follows(c, x)), lambda c: words(c, x)))
+        return F.when(best.isNull(), chains).otherwise(F.concat(chains, state(x, best)))
+
+    return F.aggregate(others, state(first, first.t1 - first.t0 + K), step)
 
 
 def spans(votes: DataFrame) -> DataFrame:
-    """Merged neighbouring diagonals: (k1, k2, template, label, start, stop, coverage),
-    verified. A diagonal joins the span before it if it starts within NEAR words of
-    it and goes on in the template where that one ended."""
-    order = Window.partitionBy("k1", "k2", "template").orderBy("diagonal")
-    v = votes.filter("not exact")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR) | F.lag("diagonal").over(order).isNull() | (F.col("t0") < F.lag("t0").over(order))
-    v = v.withColumn("new", F.when(apart, 1).otherwise(0))
-    v = v.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    s = v.groupBy("k1", "k2", "template", "label", "length", "span").agg(
-        F.sum("votes").alias("votes"),
-        F.count("*").alias("pieces"),
-        F.min(F.col("diagonal") + F.col("t0")).alias("start"),
-        F.max(F.col("diagonal") + F.col("t1") + K).alias("stop"),
-    )
-    # each piece of v votes covers v + k - 1 words
-    s = s.withColumn("coverage", F.least(F.lit(1.0), (F.col("votes") + F.col("pieces") * (K - 1)) / F.col("length")))
-    return s.filter((F.col("coverage") >= F.when(F.col("length") < SHORT, 1.0).otherwise(COVER)) & (F.col("stop") - F.col("start") <= LONGER * F.col("length")))
+    """Chained runs: (k1, k2, template, label, start, stop, coverage), verified. Of spans
+    of a template that overlap, the one with the largest coverage stays."""
+    far = int(LONGER * max(len(t.split()) for t, _ in TEMPLATES))  # no span is longer
+    by = Window.partitionBy("k1", "k2", "template").orderBy("start")
+    need = F.col("length") * F.when(F.col("length") < SHORT, 1.0).otherwise(COVER)
+    s = runs(votes).withColumn("start", F.col("run.start"))
+    s = s.withColumn("near", F.sort_array(F.collect_list("run").over(by.rangeBetween(0, far))))
+    # a chain has no more words than its runs together
+    s = s.filter(F.aggregate("near", F.lit(0), lambda n, x: n + x.t1 - x.t0 + K) >= need)
+    ends = F.transform(chained(F.col("run"), F.col("near")), lambda c: F.struct(c.words.alias("words"), (-(c.diagonal + c.t1 + K)).alias("back")))
+    s = s.withColumn("best", F.array_max(F.filter(ends, lambda e: -e.back - F.col("start") <= LONGER * F.col("length"))))
+    s = s.filter(F.col("best.words") >= need)
+    s = s.select("k1", "k2", "template", "label", "start", (-F.col("best.back")).alias("stop"), F.least(F.lit(1.0), F.col("best.words") / F.col("length")).alias("coverage")).distinct()
+    better = F.struct(F.col("coverage"), (F.col("start") - F.col("stop")).alias("short"), (-F.col("start")).alias("early"))
+    s = s.withColumn("rank", better).withColumn("others", F.collect_list(F.struct("start", "stop", "rank")).over(by.rangeBetween(-far, far)))
+    beaten = F.exists("others", lambda o: (o.start < F.col("stop")) & (o.stop > F.col("start")) & (o.rank > F.col("rank")))
+    return s.filter(~beaten).drop("rank", "others")
 
 
 def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

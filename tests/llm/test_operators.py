@@ -296,6 +296,25 @@ def test_license(spark, odd, texts):
     assert license.license_scan(odd).count() == len(ODD) and license.license_scan(odd.limit(0)).count() == 0
 
 
+def test_license_words_left_out(spark):
+    bsd = "redistribution and use in source and binary forms with or without modification are permitted"
+    one, two = bsd.replace(" or", ""), bsd.replace(" or without", "")
+    rows = [
+        (1, f"x {one} y"),
+        (2, two),
+        (3, bsd.replace(" use", "").replace(" or", "")),
+        (4, f"{one} {'z ' * 40}{two}"),  # two places in one text
+        (5, bsd.replace(" use", "").replace("with", "really with")),  # less, then more
+        (6, bsd.replace(" forms", "").replace("permitted", "also permitted").replace(" or ", " or use in ")),
+        (7, "modification are permitted forms with or without redistribution and use in source and binary"),  # out of order
+    ]
+    got = {r["doc_id"]: r for r in license.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["labels"] for i in range(1, 8)] == ["bsd"] * 6 + [""]
+    assert [got[i]["score"] for i in (1, 2, 3, 4, 5)] == pytest.approx([13 / 14, 12 / 14, 12 / 14, 13 / 14, 13 / 14])
+    assert [(s["start"], s["stop"]) for s in got[1]["spans"]] == [(1, 14)]
+    assert [(s["start"], s["stop"]) for s in got[4]["spans"]] == [(0, 13), (53, 65)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
