@@ -1,7 +1,7 @@
 """I-Match fingerprints.
 
-Terms whose document frequency lies within a band are kept, the distinct ones
-are sorted, and the sorted list is hashed once for each of several randomised
+Terms whose document frequency lies within a band are kept; copies count once in it,
+so that a large group of them doesn't push its own terms out. The distinct terms are sorted, and the sorted list is hashed once for each of several randomised
 subsets of the lexicon. A subset holds a term by a hash of the term alone, so a
 subset needs no storage. Small subsets see few terms of a long text and survive
 edits; large ones see the terms of a short text.
@@ -15,6 +15,7 @@ Only built-in expressions are used.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -22,11 +23,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from linkscope.llm.common import ascii_lower, words
+from linkscope.llm.common import ascii_lower, cut, words
 
 #: The band: a term stands in at least this share of the documents (and in two)
-#: and in at most that share.
+#: and in at most that share, copies counted once.
 MIN_SHARE, MAX_SHARE = 0.0015, 0.25
+#: Copies: words of a shingle; four keys, each of the smallest shingles in three orders
+#: (hashes xor a constant). Texts with 90 % of shingles in common share a key with
+#: probability 0.995, those with 10 % with 0.004.
+SHINGLE = 2
+ORDERS = [[int.from_bytes(hashlib.sha256(b"%d %d" % (i, j)).digest()[:8], "big", signed=True) for j in range(3)] for i in range(4)]
 #: (bits, subsets): each of so many subsets holds a term with probability 2 ** -bits.
 SCALES = ((4, 4), (6, 24), (8, 32), (10, 32))
 #: Rows of a run of documents in key order, and at most so many runs.
@@ -40,10 +46,34 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words(ascii_lower(text)), lambda w: F.xxhash64(w)))
 
 
+def copy_keys(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(tie, k0, k1, ...): keys that near copies are likely to share. Each hashes the
+    smallest shingles of a text in a few orders; a text shorter than a shingle has its own."""
+    # columns of their own, as the next ones refer to them again and again
+    split = docs.select("tie", words(ascii_lower(F.col(f"`{text}`"))).alias("w"))
+    starts = F.sequence(F.lit(0), F.size("w") - SHINGLE)
+    shingles = F.when(F.size("w") >= SHINGLE, F.transform(starts, lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(SHINGLE)]))).otherwise(F.array("tie"))
+    least = lambda c: F.array_min(F.transform("h", lambda h: h.bitwiseXOR(F.lit(c))))
+    return split.select("tie", shingles.alias("h")).select("tie", *[F.xxhash64(*map(least, row)).alias(f"k{i}") for i, row in enumerate(ORDERS)])
+
+
+def one_of_copies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(tie): hashes of texts, one for each class of copies. Of texts that share a key
+    the first by hash stays, for one key after the other; only hashes are shuffled,
+    and they are aggregated before."""
+    left = copy_keys(docs, text)
+    for i in range(len(ORDERS)):
+        left = left.groupBy(f"k{i}").agg(F.min(F.struct("tie", *[f"k{j}" for j in range(i + 1, len(ORDERS))])).alias("x")).select("x.*")
+    return left.distinct()
+
+
 def lexicon(docs: DataFrame, text: str = "text", min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
-    """(term): codes of the terms in the band, over all documents."""
-    n = docs.count()
-    found = docs.select(F.explode(terms(F.col(f"`{text}`"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """(term): codes of the terms in the band, over docs with the column tie (the text's
+    hash). Each class of copies counts as one document."""
+    kept = cut(one_of_copies(docs, text))
+    n = kept.count()
+    distinct = docs.select("tie", terms(F.col(f"`{text}`")).alias("terms")).groupBy("tie").agg(F.first("terms").alias("terms"))
+    found = distinct.join(kept.hint("merge"), "tie").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return found.filter((F.col("df") >= max(2, math.ceil(min_share * n))) & (F.col("df") <= max(2, math.floor(max_share * n)))).select("term")
 
 

@@ -180,6 +180,27 @@ def test_imatch(spark, odd, texts):
     assert imatch.imatch(odd.limit(0)).count() == 0 and imatch.imatch(odd.limit(1)).count() == 1
 
 
+def test_imatch_with_a_third_of_copies(spark):
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(1500)]
+    first = r.choices(vocabulary, k=120)
+    rows = [(i, " ".join(r.choices(vocabulary, k=120))) for i in range(400)]
+    for i in range(400, 600):  # near copies with two other words, and a few exact ones
+        w = list(first)
+        if i % 10:
+            w[r.randrange(120)], w[r.randrange(120)] = r.choices(vocabulary, k=2)
+        rows.append((i, " ".join(w)))
+    r.shuffle(rows)
+    table = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    copies = {i for i, (d, _) in enumerate(rows) if d >= 400}
+    out = imatch.imatch(table).collect()
+    assert len(out) == 600 and sum(x["fingerprint"].startswith("text:") for x in out) == 0
+    likeness = [x["near_edited"] for x in out if x["doc_id"] in copies]
+    assert sum(x > 0 for x in likeness) > 0.95 * len(copies)
+    classes = imatch.one_of_copies(table.withColumn("tie", F.xxhash64("text"))).count()
+    assert 401 <= classes <= 410
+
+
 def test_main_text(spark):
     got = {r["page_id"]: r for r in queries.op6_main_text(spark, SF).collect()}
     import html
