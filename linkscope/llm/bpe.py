@@ -11,7 +11,6 @@ Texts never leave their partition: encoding is one ``mapInArrow`` without a shuf
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 from collections.abc import Iterator
@@ -26,9 +25,8 @@ from linkscope.llm.common import arrow_schema, release, text_batches, vocabulary
 
 #: The published pattern that splits text before merging.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Finished pieces of a generation, of which a worker keeps two: about 40 MB at most where
-#: rows carry ids and other columns, 100 MB where only digests leave the task.
-KEPT_PIECES, KEPT_FOR_DIGESTS = 80_000, 250_000
+#: Finished pieces of a generation, of which a worker keeps two: about 40 MB at most.
+KEPT_PIECES = 80_000
 
 
 def byte_alphabet() -> list[str]:
@@ -181,7 +179,6 @@ def bpe_encode(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _Lazy.get(path, raw)
-        model.seen.kept = KEPT_PIECES
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -210,30 +207,3 @@ def bpe_decode(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", ids: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, got], schema=arrow)
 
     return text_batches(df).mapInArrow(run, schema)
-
-
-def bpe_digest(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes and decodes in one pass and returns (key, n_tokens, ids_sha256,
-    decoded_sha256): the check that a corpus survives its tokenizer, without
-    carrying texts and ids back to the JVM. Repeated rows give repeated rows."""
-    path, raw = _vocabulary(df, vocabulary)
-    df = df.select(key, text)
-    schema = T.StructType([df.schema.fields[0], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    arrow = arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _Lazy.get(path, raw)
-        model.seen.kept = KEPT_FOR_DIGESTS
-        decimal = {i: b"%d" % i for i in model.bytes_of}
-        sha = hashlib.sha256
-        for batch in batches:
-            n, a, b = [], [], []
-            for lo in range(0, batch.num_rows, 64):
-                for t in batch.column(1).slice(lo, 64).to_pylist():
-                    ids = model.encode(t)
-                    n.append(len(ids))
-                    a.append(sha(b",".join(map(decimal.__getitem__, ids))).hexdigest())
-                    b.append(sha(model.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], schema=arrow)
-
-    return text_batches(df).mapInArrow(run, schema)

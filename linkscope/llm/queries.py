@@ -13,9 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from linkscope.llm.bpe import bpe_digest
+    from linkscope.llm.bpe import bpe_decode, bpe_encode
 
-    return bpe_digest(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+    coded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "byte_bpe_50k.json").drop("text")
+    ids, out = F.col("ids"), bpe_decode(coded, "byte_bpe_50k.json")
+    return out.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,14 @@ def test_bpe_is_the_librarys(spark, odd, texts):
     assert bpe.bpe_encode(odd.limit(0)).count() == 0
 
 
+def test_bpe_query_uses_the_operators(spark, monkeypatch):
+    called = []
+    for name in ("bpe_encode", "bpe_decode"):
+        monkeypatch.setattr(bpe, name, lambda *a, f=getattr(bpe, name), n=name, **b: called.append(n) or f(*a, **b))
+    queries.op1_bpe(spark, SF)
+    assert called == ["bpe_encode", "bpe_decode"]
+
+
 def shingle_tuples(text, w):
     words = lower(text or "").encode().split()
     return frozenset(zip(*(words[i:] for i in range(w)), strict=False)) if len(words) >= w else frozenset([tuple(words)] if words else [])
