@@ -19,9 +19,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's
-    ``spark.checkpoint.dir``; where that is unset (a local test), a temporary one."""
+    ``spark.checkpoint.dir``. Where that is unset, a temporary folder does on a single
+    machine; on a cluster it is an error, as executors wouldn't see the same one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="linkscope-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -35,6 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of cut that nothing will read again, such as a loop's past states."""
+    for t in tables:
+        for file in t.inputFiles()[:1]:
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -52,14 +63,20 @@ def n_words(text: Column) -> Column:
 
 
 def text_batches(df: DataFrame) -> DataFrame:
-    """df, after its session's Arrow batches have been set to TEXT_ROWS rows: rows with
-    whole texts are long, and the usual 10,000 of them fill an executor's memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    """df, after its session's Arrow batches have been bounded for rows with whole texts:
+    TEXT_BYTES, and TEXT_ROWS rows. Every operator that sends whole texts through Arrow
+    does so, as Spark reads the settings when a job starts; a tighter bound that the
+    session has already stays. Results don't depend on it."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", TEXT_ROWS), ("maxBytesPerBatch", TEXT_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return df
 
 
-#: Rows of an Arrow batch that holds whole texts.
-TEXT_ROWS = 1000
+#: Bounds of an Arrow batch that holds whole texts; a single longer text is a batch of its own.
+TEXT_ROWS, TEXT_BYTES = 1000, 8_000_000
 
 
 def release() -> None:

@@ -2,11 +2,19 @@
 
 Pages of one host come from one template. For each host one page is the pattern;
 every page of the host is aligned with it by simple tree matching (the largest
-order-preserving match of equal nodes). Counted over all aligned pages, a pattern node
-whose text is the same again and again belongs to the template, and one whose text
-varies is a slot; the deepest container that holds nearly all varying text outside
-menus, notices and the like is the wrapper's content region. Extraction aligns each
-page once more and reads the node that lies on the region.
+order-preserving match of nodes of one tag, equal class names counting double). Counted
+over all aligned pages, a pattern node whose text is the same again and again belongs
+to the template, and one whose text varies is a slot. The deepest container that holds
+most varying text, links aside, is the wrapper's region; small containers at its edges,
+outside its headings and paragraphs, are furniture even if their text varies, as that
+of adverts does. Extraction aligns each page once more and reads the node that lies on
+the region, without template and furniture.
+
+So the alignment decides, whatever elements and classes are called. What elements and
+class names say is used for what no alignment can tell: scripts, forms, menus and
+readers' comments are left out by their names where they have them, and count as no
+article when a region is sought. Hosts with one page and pages that don't fit their
+host's pattern go by elements alone (article, main, body).
 
 Statistics cover all pages of a host and are added up before they are shuffled, so a
 host may have any share of the pages. A wrapper is a skeleton of tags and text
@@ -27,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkscope.llm.common import arrow_schema, cut
+from linkscope.llm.common import arrow_schema, cut, text_batches
 
 #: Elements of HTML by what is done with them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +47,7 @@ DROPPED_NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay popup promo promoted recommended related reply replies respond search share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets alert".split()
 )
 CONTAINERS = frozenset("article main section div body td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that an opening one closes, up to the element that bounds it.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -54,8 +63,9 @@ CLOSES = {
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.DOTALL)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
-#: Shares that decide: of aligned pages with the same text (template), of varying text in the region.
-SAME, REGION = 0.7, 0.8
+#: Shares that decide: of aligned pages with the same text (template), of varying text in
+#: the region, and at most of its text in a container at its edge (furniture).
+SAME, REGION, EDGE = 0.7, 0.6, 0.2
 #: Elements nested deeper add their text to the one at this depth.
 MAX_DEPTH = 200
 #: A page larger than this isn't taken as its host's pattern if there is a smaller one.
@@ -63,12 +73,13 @@ PATTERN_BYTES = 32_768
 
 
 class Node:
-    __slots__ = ("tag", "name", "items", "dropped", "hash")
+    __slots__ = ("tag", "name", "items", "dropped", "hash", "linked")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag = tag
         self.items: list = []  # strings and nodes in page order
         self.hash = None
+        self.linked = 0  # characters of items inside links
         self.name = ""
         self.dropped = tag in DROPPED
         if attrs:
@@ -87,12 +98,15 @@ def parse_html(text: str | None) -> Node:
     root = Node("#root")
     stack = [root]
     at, text = 0, text or ""
+    link = False
     for m in iter(TOKEN.scanner(text).search, None):
         start = m.start()
         if start < at:
             continue  # inside the raw text of a script or the like
         if start > at:
             stack[-1].items.append(text[at:start])
+            if link:
+                stack[-1].linked += start - at
         at = m.end()
         tag = m[2]
         if tag is None:
@@ -100,8 +114,11 @@ def parse_html(text: str | None) -> Node:
                 stack[-1].items.append(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
             continue
         tag = tag.lower()
+        if tag == "a":
+            link = not m[1]
         if m[1]:
             if tag in BLOCKS or tag in DROPPED:
+                link = False
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
                         del stack[k:]
@@ -174,12 +191,18 @@ def own_hash(node: Node) -> int:
     return node.hash
 
 
+def own_mass(node: Node) -> int:
+    """Characters directly in node that may be article: not in links, nor in what its
+    names say is something else."""
+    return 0 if node.dropped else max(0, sum(len(x) for x in node.items if x.__class__ is str) - node.linked)
+
+
 def mass(node: Node, seen: dict[int, int]) -> int:
     """Characters under node that may be article; noted for all nodes below."""
     if node.dropped:
         seen[id(node)] = 0
         return 0
-    n = sum(len(x) if x.__class__ is str else mass(x, seen) for x in node.items)
+    n = own_mass(node) + sum(mass(x, seen) for x in node.items if x.__class__ is Node)
     seen[id(node)] = n
     return n
 
@@ -209,11 +232,12 @@ class Pattern:
 
         def match(i: int, page_node: Node) -> int:
             tag, name, _, below = nodes[i]
-            if tag != page_node.tag or name != page_node.name:
+            if tag != page_node.tag:
                 return 0
+            own = 2 if name == page_node.name else 1
             theirs = page_node.children()
             if not below or not theirs:
-                return 1
+                return own
             score = [[0] * (len(theirs) + 1)]
             for a in below:
                 last, row = score[-1], [0]
@@ -222,8 +246,8 @@ class Pattern:
                     best = last[k] + w
                     row.append(max(best, last[k + 1], row[k]))
                 score.append(row)
-            kept[i, id(page_node)] = (score[-1][-1] + 1, score)
-            return score[-1][-1] + 1
+            kept[i, id(page_node)] = (score[-1][-1] + own, score)
+            return score[-1][-1] + own
 
         found: dict[int, Node] = {}
 
@@ -280,29 +304,34 @@ def host_patterns(pages: DataFrame) -> DataFrame:
             got = [json.dumps(Pattern.tree_of(parse_html(h))) for h in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.string())], schema=arrow)
 
-    return rows.select("host", "html").mapInArrow(run, schema)
+    return text_batches(rows.select("host", "html")).mapInArrow(run, schema)
 
 
-#: Hosts up to which wrappers (a few kB each) are broadcast; beyond, they are joined by
+#: Hosts and bytes of wrappers up to which they are broadcast; beyond, they are joined by
 #: shuffling the pages, and Spark splits the hosts with many.
-FEW_HOSTS = 2000
+FEW_HOSTS, FEW_BYTES = 2000, 32_000_000
 
 
 def with_hosts(pages: DataFrame, of_hosts: DataFrame) -> DataFrame:
-    side = of_hosts.hint("broadcast") if of_hosts.count() <= FEW_HOSTS else of_hosts.hint("merge")
+    n, size = of_hosts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0))).first()
+    side = of_hosts.hint("broadcast") if n <= FEW_HOSTS and size <= FEW_BYTES else of_hosts.hint("merge")
     return pages.join(side, "host", "left")
 
 
+#: What is counted of each pattern node over all pages of its host: pages with a node on
+#: it, those with the same own text, characters of possible article under it, and those
+#: directly in it.
+COUNTED = ("pages", "same", "chars", "own")
+
+
 def alignment_counts(pages: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(host, node, pages, same, chars): over all pages of the host, how many have a
-    node on the pattern's node, how many of those with the same own text, and how
-    many characters of possible article are under it."""
-    schema = T.StructType([T.StructField("host", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("node", "pages", "same", "chars")]])
+    """(host, node, and what COUNTED says)."""
+    schema = T.StructType([T.StructField("host", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("node", *COUNTED)]])
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
+            total: dict[tuple, list[int]] = defaultdict(lambda: [0] * len(COUNTED))
             for host, text, pattern in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page, pat = parse_html(text), _pattern(pattern)
                 size: dict[int, int] = {}
@@ -312,45 +341,61 @@ def alignment_counts(pages: DataFrame, patterns: DataFrame) -> DataFrame:
                     t[0] += 1
                     t[1] += own_hash(node) == pat.nodes[i][2]
                     t[2] += size.get(id(node), 0)
-            columns = list(zip(*[(h, i, *t) for (h, i), t in total.items()], strict=True)) or [[]] * 5
+                    t[3] += own_mass(node) if size.get(id(node)) else 0
+            columns = list(zip(*[(h, i, *t) for (h, i), t in total.items()], strict=True)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    each = with_hosts(pages.select("host", "html"), patterns).select("host", "html", "pattern").mapInArrow(run, schema)
-    return each.groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in ("pages", "same", "chars")])
-
-
-def choose_region(pattern: Pattern, seen: dict[int, tuple[int, int, int]]) -> tuple[int, list[int]]:
-    """The content region and the template's nodes. seen: (pages, same, chars) by node."""
-    n = max((x[0] for x in seen.values()), default=0)
-    template = [i for i, (pages, same, _) in sorted(seen.items()) if n > 2 and same >= SAME * pages and 2 * pages >= n]
-    at, whole = 0, seen.get(0, (0, 0, 0))[2]
-    best = 0
-    while True:
-        inner = [c for c in pattern.nodes[at][3] if seen.get(c, (0, 0, 0))[2] >= REGION * max(1, whole)]
-        if not inner:
-            return best, template
-        at = inner[0]
-        if pattern.nodes[at][0] in CONTAINERS:
-            best = at
+    each = text_batches(with_hosts(pages.select("host", "html"), patterns).select("host", "html", "pattern")).mapInArrow(run, schema)
+    return each.groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in COUNTED])
+
+
+def choose_region(pattern: Pattern, seen: dict[int, tuple[int, ...]]) -> tuple[int, list[int], list[int]]:
+    """The region (0: there is none, as with a single page), the template's nodes and the
+    furniture at the region's edges. seen: what COUNTED says, by node."""
+    nothing = (0,) * len(COUNTED)
+    nodes, n = pattern.nodes, seen.get(0, nothing)[0]
+    if n < 2:
+        return 0, [], []
+    constant = {i for i, (pages, same, *_) in seen.items() if n > 2 and same >= SAME * pages and 2 * pages >= n}
+    varying: dict[int, int] = {}
+    for i in range(len(nodes) - 1, -1, -1):  # children have higher numbers
+        _, _, chars, _ = seen.get(i, nothing)
+        same_below = sum(seen.get(c, nothing)[2] - varying[c] for c in nodes[i][3])
+        varying[i] = max(0, chars - same_below - (seen[i][3] if i in constant else 0))
+    if 2 * varying[0] < seen.get(0, nothing)[2]:  # hardly anything varies: copies of a page tell nothing
+        constant = set()
+        varying = {i: seen.get(i, nothing)[2] for i in range(len(nodes))}
+    at, region = 0, 0
+    while nodes[at][3]:
+        best = max(nodes[at][3], key=lambda c: varying[c])
+        # a heading that varies belongs to the text beside it
+        headed = any(nodes[c][0] in HEADINGS and varying[c] for c in nodes[at][3])
+        if headed or varying[best] < max(1, REGION * varying[at]):
+            break
+        at = best
+        if nodes[at][0] in CONTAINERS:
+            region = at
+    below = nodes[region][3]
+    lines = [k for k, c in enumerate(below) if nodes[c][0] not in CONTAINERS and varying[c]]
+    edge = [c for k, c in enumerate(below) if nodes[c][0] in CONTAINERS and lines and not lines[0] < k < lines[-1] and varying[c] <= EDGE * varying[region]]
+    return region, sorted(constant), edge
 
 
 def induce_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, pattern, region, template) from pages(host, html)."""
+    """(host, pattern, region, template, edge) from pages(host, html)."""
     patterns = cut(host_patterns(pages))
     counted = cut(alignment_counts(pages, patterns))
-    stats = counted.groupBy("host").agg(F.collect_list(F.struct("node", "pages", "same", "chars")).alias("stats"))  # a pattern's nodes
+    stats = counted.groupBy("host").agg(F.collect_list(F.struct("node", *COUNTED)).alias("stats"))  # a pattern's nodes
     joined = patterns.join(stats.hint("merge"), "host")
-    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("pattern", T.StringType()), T.StructField("region", T.IntegerType()), T.StructField("template", T.ArrayType(T.IntegerType()))])
+    lists = T.ArrayType(T.IntegerType())
+    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("pattern", T.StringType()), T.StructField("region", T.IntegerType()), T.StructField("template", lists), T.StructField("edge", lists)])
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            regions, templates = [], []
-            for pattern, stats in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                region, template = choose_region(_pattern(pattern), {s["node"]: (s["pages"], s["same"], s["chars"]) for s in stats})
-                regions.append(region)
-                templates.append(template)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(regions, pa.int32()), pa.array(templates, pa.list_(pa.int32()))], schema=arrow)
+            found = [choose_region(_pattern(p), {s["node"]: tuple(s[c] for c in COUNTED) for s in stats}) for p, stats in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            got = [pa.array([f[k] for f in found], arrow.field(2 + k).type) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *got], schema=arrow)
 
     return cut(joined.mapInArrow(run, schema))
 
@@ -372,33 +417,29 @@ def own_regions(page: Node) -> list[Node]:
     return found["article"] or found["main"][:1] or [page]
 
 
-def extract(text: str | None, pattern: str | None, region: int | None, template: list[int] | None) -> str:
-    """Main text of one page under its host's wrapper."""
+def extract(text: str | None, pattern: str | None, region: int | None, template: list[int] | None, edge: list[int] | None) -> str:
+    """Main text of one page under its host's wrapper. A template node is left out where
+    the page has the template's text on it, a node of the edge in any case."""
     page = parse_html(text)
-    regions, without = own_regions(page), frozenset()
     if pattern is not None and region:
-        on = _pattern(pattern).align(page)
+        wrapper = _pattern(pattern)
+        on = wrapper.align(page)
         if region in on:
-            here = on[region]
-            inside = [r for r in regions if r is not page]
-            # inside a region that is an article by its tag nothing constant is dropped
-            if here.tag in ("article", "main") or not inside:
-                regions = [here] if here.tag not in ("article", "main") or len(inside) < 2 else regions
-                if here.tag not in ("article", "main"):
-                    without = frozenset(id(on[i]) for i in template or () if i in on and text_of(on[i]))
-    return "\n\n".join(b for r in regions for b in blocks(r, without))
+            same = {id(on[i]) for i in template or () if i in on and i != region and own_hash(on[i]) == wrapper.nodes[i][2] and text_of(on[i])}
+            return "\n\n".join(blocks(on[region], frozenset(same | {id(on[i]) for i in edge or () if i in on})))
+    return "\n\n".join(b for r in own_regions(page) for b in blocks(r))
 
 
 def extract_main_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, url, text, n_chars) for every row of pages(key, url, html).
 
     Null or empty html gives an empty text; a null url belongs to the host without a
-    name; a host's only page is its own pattern and has no template; repeated rows
-    give repeated rows; further columns are left out.
+    name; a host's only page goes by its elements; repeated rows give repeated rows;
+    further columns are left out.
     """
     named = pages.select(key, "url", "html", host_of(F.col("url")).alias("host"))
     wrappers = induce_wrappers(named.select("host", "html"))
-    rows = with_hosts(named, wrappers).select(key, "url", "html", "pattern", "region", "template")
+    rows = with_hosts(named, wrappers).select(key, "url", "html", "pattern", "region", "template", "edge")
     schema = T.StructType([named.schema[key], named.schema["url"], T.StructField("text", T.StringType(), False), T.StructField("n_chars", T.LongType(), False)])
     arrow = arrow_schema(schema)
 
@@ -407,4 +448,4 @@ def extract_main_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
             got = [extract(*row) for row in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.string()), pa.array([len(x) for x in got], pa.int64())], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return text_batches(rows).mapInArrow(run, schema)
