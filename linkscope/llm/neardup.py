@@ -16,13 +16,14 @@ come out, one for each class and component it reaches. So every pair that shares
 bucket is in one component already or has been compared.
 
 A pair of similarity 0.8 shares no band with probability 5e-8 and is refused by its
-sketches with probability 1e-8.
+sketches with probability 2e-8 (both computed exactly in the tests).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkscope.llm.common import arrow_schema, cut, text_batches
+from linkscope.llm.common import arrow_schema, cut, discard, text_batches
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch, as 64-bit words; sketches must allow this similarity.
 SKETCH_WORDS = 8
-SKETCH_FLOOR = 0.6
+SKETCH_FLOOR = 0.55
 #: Shingles of a block of a bucket's classes, about.
 BLOCK_SHINGLES = 500_000
 #: Ids up to which a list of documents is broadcast; beyond, it is joined by shuffling.
@@ -102,9 +103,9 @@ SIGNATURE = [T.StructField(c, T.LongType()) for c in ("n_shingles", "k1", "k2")]
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, bands, s0..) from docs(doc_id, text); k1 and k2
-    identify the set."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), *SIGNATURE])
+    """(doc_id, tie, n_shingles, k1, k2, bands, s0..) from docs(doc_id, text); tie is the
+    text's hash, k1 and k2 identify the set."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tie", T.LongType(), False), *SIGNATURE])
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +114,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 n, k1, k2, bands, sketches = [], [], [], [], []
-                for text in part.column(1):
+                for text in part.column(2):
                     s = shingle_set(text.as_py(), width)
                     n.append(len(s))
                     k1.append(s.sum().view(np.int64))
@@ -124,16 +125,28 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
                 flat = np.stack(sketches) if sketches else np.empty((0, SKETCH_WORDS), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands) if bands else none[:0])).cast(arrow.field("bands").type)]
+                    [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands) if bands else none[:0])).cast(arrow.field("bands").type)]
                     + [pa.array(flat[:, i]) for i in range(SKETCH_WORDS)],
                     schema=arrow,
                 )
 
-    return text_batches(docs).mapInArrow(run, schema)
+    return text_batches(docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")).mapInArrow(run, schema)
+
+
+def _texts_of(docs: DataFrame, known: DataFrame | None, needed: DataFrame) -> DataFrame:
+    """(id, text) of the classes in needed(id). Their ids are those of documents, unless
+    known(id, doc_id, tie) says which row stands for each."""
+    few = needed.count() <= FEW_IDS
+    if known is None:
+        side = F.broadcast(needed) if few else needed.hint("merge")
+        return docs.join(side, docs.doc_id == needed.id, "left_semi").select(F.col("doc_id").alias("id"), "text")
+    rows = cut(known.join(needed.hint("merge"), "id", "left_semi").withColumnsRenamed({"doc_id": "d", "tie": "t"}))
+    side = F.broadcast(rows) if few else rows.hint("merge")
+    return docs.join(side, (F.col("doc_id") == F.col("d")) & (F.xxhash64("text") == F.col("t"))).select("id", "text").dropDuplicates(["id"])
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) from docs(doc_id, text)."""
+    """(id, shingles) from docs(id, text)."""
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType(), False))])
     arrow = arrow_schema(schema)
 
@@ -155,13 +168,11 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (100 * small >= percent * large) & (differ <= most_differing_bits())
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(texts_of: Callable[[DataFrame], DataFrame], pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of pairs(a, b) whose full sets have the similarity. Only the documents in
     pairs are read again, and only their sets move."""
     needed = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    side = F.broadcast(needed) if needed.count() <= FEW_IDS else needed.hint("merge")
-    texts = docs.join(side, docs.doc_id == needed.id, "left_semi")
-    sets = cut(full_sets(texts.select("doc_id", "text"), width))
+    sets = cut(full_sets(texts_of(needed), width))
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
@@ -210,7 +221,7 @@ def _block_links(percent: int):
     return links
 
 
-def links_left(docs: DataFrame, members: DataFrame, labels: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def links_left(texts_of: Callable[[DataFrame], DataFrame], members: DataFrame, labels: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between components in buckets that still hold several."""
     at = cut(members.join(labels.hint("merge"), "id", "left").select("bucket", "first", "id", F.coalesce("component", "id").alias("component")))
     sizes = at.groupBy("bucket", "component").agg(F.count("*").alias("n"))
@@ -219,8 +230,7 @@ def links_left(docs: DataFrame, members: DataFrame, labels: DataFrame, classes:
     apart = cut(apart.join(classes.select("id", "n_shingles").hint("merge"), "id").select("bucket", "id", "component", "major", "n_shingles"))
     weigh = apart.groupBy("bucket").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     needed = cut(apart.select("id").distinct())
-    side = F.broadcast(needed) if needed.count() <= FEW_IDS else needed.hint("merge")
-    sets = cut(full_sets(docs.join(side, docs.doc_id == needed.id, "left_semi").select("doc_id", "text"), width))
+    sets = cut(full_sets(texts_of(needed), width))
     info = classes.select("id", "bands", F.array(*[f"s{i}" for i in range(SKETCH_WORDS)]).alias("sketch")).join(sets.hint("merge"), "id")
     # a class to place goes to its block's row of cells, and each class to its block's column
     placed = apart.join(weigh.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
@@ -232,21 +242,40 @@ def links_left(docs: DataFrame, members: DataFrame, labels: DataFrame, classes:
     return cut(rows.groupBy("bucket", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct())
 
 
+def to_roots(up: DataFrame) -> DataFrame:
+    """up(node, to), where following to leads to ever smaller nodes, with to at the end of
+    each way: every round looks one step on from where the last one came, so that the
+    steps double."""
+    while True:
+        on = up.filter("node <> to").select(F.col("node").alias("at"), F.col("to").alias("on"))
+        after = cut(up.join(on.hint("merge"), up["to"] == on["at"], "left").select("node", F.coalesce("on", "to").alias("to"), F.col("on").isNotNull().alias("moved")))
+        discard(up)
+        up = after.select("node", "to")
+        if after.filter("moved").isEmpty():
+            return up
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for the ends of edges(a, b): the smallest id reachable.
 
-    Each round every node moves onto its smallest neighbour and the edges follow, so
-    the graph shrinks until no edge is left; the rounds grow with the logarithm of
-    the longest chain."""
+    Each round every node points to its smallest neighbour, if that is smaller; pointers
+    are followed to their ends, by doubling steps, and the nodes move there, their edges
+    with them. A round leaves at most half of the nodes, so rounds grow with the logarithm
+    of the number of nodes, and steps within one with that of the longest way: a
+    path of 1,000 nodes takes 10 steps in one round. A node's many edges or the many
+    nodes of one root are rows of two numbers in sort-merge joins, which Spark splits
+    where they are skewed."""
     edges = cut(edges)
-    labels = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("at", F.col("id"))
+    labels = cut(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("at", F.col("id")))
     while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select("b", "a"))
-        up = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")))
-        labels = cut(labels.join(up.hint("merge"), labels["at"] == up.node, "left").select("id", F.coalesce("to", "at").alias("at")))
+        up = to_roots(cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))))
+        moved = cut(labels.join(up.hint("merge"), labels["at"] == up.node, "left").select("id", F.coalesce("to", "at").alias("at")))
         left = edges.join(up.hint("merge"), edges.a == up.node).select(F.col("to").alias("a"), "b")
         left = left.join(up.hint("merge"), left.b == up.node).select("a", F.col("to").alias("b"))
-        edges = cut(left.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        left = cut(left.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        discard(labels, edges, up)
+        labels, edges = moved, left
     return labels.select("id", F.col("at").alias("component"))
 
 
@@ -254,16 +283,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     """(doc_id, n_shingles, class_id, component_id, kept) for every row of docs.
 
     Documents are linked if 100 * common shingles >= percent * shingles of either; a
-    component has all that links reach, and its smallest doc_id is kept. Texts
-    without words (null, empty) are linked with nothing. Rows of one doc_id are one
-    document: each gets a row, its links are those of all its texts. Rows without a
-    doc_id are linked with nothing, have null component_id, and are kept.
-    """
+    component has all that links reach, component_id is its smallest doc_id, and
+    documents of that id are kept. Texts without words (null, empty) are linked with
+    nothing. Rows of one doc_id with different texts are documents of their own, linked
+    only if their texts are. Rows without a doc_id are linked with nothing, have null
+    component_id, and are kept. Keys are whole numbers, or are cast to them."""
+    return _components_of_rows(docs, width, percent, key, text).select("doc_id", "n_shingles", "class_id", "component_id", "kept")
+
+
+def _components_of_rows(docs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
+    """near_duplicates with tie, the text's hash, and component, a number for each component."""
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     rows = cut(signatures(docs, width))
     sketch = [f"s{i}" for i in range(SKETCH_WORDS)]
     linked = rows.filter("doc_id is not null and n_shingles > 0")
-    classes = cut(linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", *sketch)]))
+    classes = cut(linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", *sketch)]))
+    # a class is known by its smallest doc_id; where one doc_id stands for several texts, by a number below 0
+    clash = cut(classes.groupBy("least").agg(F.count("*").alias("n")).filter("n > 1").select("least"))
+    several = not clash.isEmpty()
+    if several:
+        other = F.lit(-1).cast("long") - F.shiftrightunsigned(F.xxhash64("k1", "k2"), 1)
+        classes = cut(classes.join(clash.withColumn("clash", F.lit(True)).hint("merge"), "least", "left").withColumn("id", F.when(F.col("clash"), other).otherwise(F.col("least"))).drop("clash"))
+    else:
+        classes = classes.withColumn("id", F.col("least"))
     known = classes.select("id", "n_shingles", *sketch)
     in_buckets = classes.select("id", F.explode("bands").alias("bucket"))
 
@@ -273,36 +315,51 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     pairs = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     pairs = pairs.join(known.alias("p").hint("merge"), F.col("b") == F.col("p.id")).join(known.alias("q").hint("merge"), F.col("a") == F.col("q.id"))
     pairs = cut(pairs.filter(_may_link("p", "q", percent)).select("a", "b"))
-    edges = confirmed(docs, pairs, width, percent)
-
-    # classes that are one by a doc_id that stands for several texts
-    twice = linked.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    again = linked.join(twice.hint("merge"), "doc_id", "left_semi").select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "id").hint("merge"), ["k1", "k2"])
-    edges = edges.union(again.filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))).distinct()
+    # a class's text is that of one of its rows
+    one = classes.select("id", "least", "k1", "k2")
+    if several:
+        one = cut(rows.join(one.hint("merge"), ["k1", "k2"]).filter("doc_id = least").groupBy("id").agg(F.min(F.struct("doc_id", "tie")).alias("x")).select("id", "x.*"))
+    texts_of = partial(_texts_of, docs, one if several else None)
+    edges = confirmed(texts_of, pairs, width, percent)
     labels = components(edges)
 
     # what the smallest ids left apart
-    new = links_left(docs, members, labels, classes, width, percent)
+    new = links_left(texts_of, members, labels, classes, width, percent)
     if not new.isEmpty():
         labels = components(edges.union(new))
 
-    named = classes.select("k1", "k2", F.col("id").alias("class_id")).join(labels.hint("merge"), F.col("class_id") == labels.id, "left").select("k1", "k2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "k1", "k2").join(named.hint("merge"), ["k1", "k2"], "left")
+    named = classes.select("k1", "k2", "least", F.col("id")).join(labels.hint("merge"), "id", "left").select("k1", "k2", "least", F.coalesce("component", "id").alias("component"))
+    if several:
+        whole = named.groupBy("component").agg(F.min("least").alias("component_id"))
+        named = named.join(whole.hint("merge"), "component")
+    else:
+        named = named.withColumn("component_id", F.col("component"))
+    out = rows.select("doc_id", "tie", "n_shingles", "k1", "k2").join(named.hint("merge"), ["k1", "k2"], "left")
     own = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    component = F.when(own, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(own, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), component.alias("component_id"))
+    mine = lambda c: F.when(own, F.col(c)).otherwise(F.col("doc_id"))
+    out = out.select("doc_id", "tie", "n_shingles", mine("least").alias("class_id"), mine("component_id").alias("component_id"), F.when(own, F.col("component")).alias("component"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that near_duplicates doesn't keep, with their columns as
-    they came; the texts stay in their partitions unless very many rows go. Of rows
-    with one doc_id, one stays. Rows without a doc_id stay."""
-    found = cut(near_duplicates(docs, width, percent, key, text))
-    gone = cut(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    """docs with one row of each component of near_duplicates, with their columns as they
+    came; the texts stay in their partitions unless very many rows go.
+
+    The row that stays has the smallest doc_id, then the smallest hash of its text; of
+    rows equal in both, one stays, by a hash of all its columns. Rows that are linked
+    with nothing stay, so do those without a doc_id and those without words."""
+    found = cut(_components_of_rows(docs, width, percent, key, text).filter("component is not null").select("doc_id", "tie", "component"))
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "tie")).alias("x")).select("component", F.col("x.doc_id").alias("d"), F.col("x.tie").alias("t"))
+    gone = cut(found.join(first.hint("merge"), "component").filter("doc_id <> d or tie <> t").select(F.col("doc_id").alias("_gone"), F.col("tie").alias("_tie")).distinct())
     side = F.broadcast(gone) if gone.count() <= FEW_IDS else gone.hint("merge")
-    left = docs.join(side, F.col(f"`{key}`").cast("long") == F.col("_gone"), "left_anti")
-    repeated = not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    if repeated:
-        left = left.filter(F.col(f"`{key}`").isNull()).union(left.filter(F.col(f"`{key}`").isNotNull()).dropDuplicates([key]))
+    number, tie = F.col(f"`{key}`").cast("long"), F.xxhash64(F.col(f"`{text}`"))
+    left = docs.join(side, (number == F.col("_gone")) & (tie == F.col("_tie")), "left_anti")
+    again = cut(found.groupBy("doc_id", "tie").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_gone"), F.col("tie").alias("_tie")))
+    n = again.count()
+    if n:
+        side = F.broadcast(again) if n <= FEW_IDS else again.hint("merge")
+        same = (number == F.col("_gone")) & (tie == F.col("_tie"))
+        every = [F.col(f"`{c}`") for c in docs.columns]
+        repeated = left.join(side, same, "left_semi").groupBy(number.alias("_gone"), tie.alias("_tie")).agg(F.min_by(F.struct(*every), F.xxhash64(*every)).alias("_row"))
+        left = left.join(side, same, "left_anti").union(repeated.select("_row.*"))
     return left
