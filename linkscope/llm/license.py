@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from linkscope.llm.common import ascii_lower
+from linkscope.llm.common import ascii_lower, cut
 
 #: Letters a-z, digits, and all beyond ASCII make words; everything else parts them.
 PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -58,12 +58,8 @@ def license_words(text: Column) -> Column:
 
 def n_license_words(text: Column) -> Column:
     """Number of license_words, without building them."""
-    spaced = F.trim(F.translate(F.coalesce(text, F.lit("")), "".join(map(chr, PARTING)), " " * len(PARTING)))
-    return F.when(spaced == "", 0).otherwise(F.size(F.split(spaced, " +"))).cast("long")
-
-
-#: The characters of PARTS without the blank.
-PARTING = [c for c in (*range(0x01, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)) if c != 0x20]
+    spaced = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), PARTS, " "))
+    return F.when(spaced == "", 0).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "))) + 1).cast("long")
 
 
 def gram_hashes(words: Column) -> Column:
@@ -157,7 +153,7 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     docs = docs.select(F.col(f"`{key}`").alias("doc_id"), body.alias("text"))
     docs = docs.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(K), "doc_id")})
-    votes = diagonals(docs)
+    votes = cut(diagonals(docs))  # few rows, read twice
     places = votes.filter(F.col("exact") & (F.col("votes") == F.col("length") - (K - 1))).select("k1", "k2", "template", "label", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("length")).alias("stop"), F.lit(1.0).alias("coverage"), F.lit(True).alias("base"))
     found = places.unionByName(spans(votes).select("k1", "k2", "template", "label", "start", "stop", "coverage", F.lit(False).alias("base")))
     base = F.col("base")
