@@ -67,9 +67,10 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None =
     return nodes.join(each, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 
-def eigenvector(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-10, max_rounds: int = 100, every: int = 4) -> DataFrame:
+def eigenvector(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-10, max_rounds: int = 500, every: int = 4) -> DataFrame:
     """(node, score): leading eigenvector of the undirected graph, of length 1, by
-    power iteration on the matrix plus the identity."""
+    power iteration on the matrix plus the identity; not settled within max_rounds (of
+    every steps each) is an error."""
     sym = cut(symmetrise(edges))
     n = nodes.count()
 

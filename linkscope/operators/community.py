@@ -105,9 +105,10 @@ def best_seed(runs: DataFrame, edges: DataFrame) -> DataFrame:
     return runs.join(F.broadcast(pick), "seed").select("node", "community")
 
 
-def agglomerate(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def agglomerate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """labels(node, community) by greedy merging: each round every community proposes the
-    partner of its best positive gain in modularity, and mutual proposals merge."""
+    partner of its best positive gain in modularity, and mutual proposals merge, until
+    no merge gains."""
     e0 = cut(weighted(edges))
 
     def step(state: DataFrame, _: int) -> DataFrame:
@@ -123,7 +124,7 @@ def agglomerate(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> Dat
     def done(a: DataFrame, b: DataFrame) -> bool:
         return a.select("community").distinct().count() == b.select("community").distinct().count()
 
-    return iterate(nodes.select("node", F.col("node").alias("community")), step, done, max_rounds)
+    return iterate(nodes.select("node", F.col("node").alias("community")), step, done)
 
 
 def nmi(a: DataFrame, b: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -172,31 +173,33 @@ def community_profile(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return j.select("community", "size", "head", "links_inside", "degree_sum", (2 * F.col("links_inside") / F.col("m2") - (F.col("degree_sum") / F.col("m2")) ** 2).alias("q_share"))
 
 
-def seeded_propagation(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """labels(node, community) spread from seeds(node, community). First in rings: unlabelled
-    nodes take the heaviest label among labelled neighbours at once, the lower on ties.
-    Then all but seeds settle on their neighbours' heaviest label, staying on ties, half
-    of them (by a hash) in each round."""
+def seeded_propagation(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """labels(node, community) spread from seeds(node, community). First in rings, however
+    many there are: unlabelled nodes take the heaviest label among labelled neighbours at
+    once, the lower on ties. Then all but seeds settle on their neighbours' heaviest
+    label, staying on ties, half of them (by a hash) in each round, until none would move;
+    if that isn't reached in max_rounds, it is an error."""
     links = cut(both_ways(edges))
     fixed = seeds.select("node", F.lit(True).alias("fixed"))
-    state = nodes.join(seeds, "node", "left").join(fixed, "node", "left").select("node", "community", F.coalesce("fixed", F.lit(False)).alias("fixed"))
+    state = nodes.join(seeds, "node", "left").join(fixed, "node", "left").select("node", "community", F.coalesce("fixed", F.lit(False)).alias("fixed"), F.lit(True).alias("moves"))
 
     def votes(s: DataFrame) -> DataFrame:
         v = links.join(s.filter("community is not null").select(F.col("node").alias("b"), F.col("community").alias("c")), "b").groupBy(F.col("a").alias("node"), "c").agg(F.sum("weight").alias("w"))
         return v.join(s.select("node", F.col("community").alias("own")), "node").groupBy("node").agg(F.max_by("c", F.struct("w", (F.col("c") == F.col("own")).cast("int"), -F.col("c"))).alias("c"))
 
     def ring(s: DataFrame, _: int) -> DataFrame:
-        return s.join(votes(s), "node", "left").select("node", F.coalesce("community", "c").alias("community"), "fixed")
+        return s.join(votes(s), "node", "left").select("node", F.coalesce("community", "c").alias("community"), "fixed", (F.col("community").isNull() & F.col("c").isNotNull()).alias("moves"))
 
     def settle(s: DataFrame, i: int) -> DataFrame:
         turn = F.xxhash64("node", F.lit(i)) % 2 == 0
-        return s.join(votes(s), "node", "left").select("node", F.when(~F.col("fixed") & turn, F.coalesce("c", "community")).otherwise(F.col("community")).alias("community"), "fixed")
+        moves = ~F.col("fixed") & F.coalesce(F.col("c") != F.col("community"), F.lit(False))
+        return s.join(votes(s), "node", "left").select("node", F.when(moves & turn, F.col("c")).otherwise(F.col("community")).alias("community"), "fixed", moves.alias("moves"))
 
-    def same(a: DataFrame, b: DataFrame) -> bool:
-        return a.join(b.withColumnRenamed("community", "c2"), "node").filter(~F.col("community").eqNullSafe(F.col("c2"))).isEmpty()
+    def still(_: DataFrame, after: DataFrame) -> bool:
+        return after.filter("moves").isEmpty()
 
-    state = iterate(state, ring, same, max_rounds)
-    return iterate(state, settle, same, max_rounds).select("node", "community")
+    state = iterate(state, ring, still)
+    return iterate(state, settle, still, max_rounds).select("node", "community")
 
 
 def nearest_seed(edges: DataFrame, labels: DataFrame, seeds: DataFrame) -> DataFrame:

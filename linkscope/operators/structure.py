@@ -4,11 +4,13 @@ in by are carried through, so one job serves many graphs."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkscope.plans.iterate import cut, iterate
+from linkscope.plans.iterate import cut, discard, iterate
 
 
 def cols(by: list[str], *more: str) -> list[str]:
@@ -124,19 +126,37 @@ def reciprocity(edges: DataFrame, by: list[str] = ()) -> DataFrame:
     return j.groupBy(*by).agg(F.count("*").alias("n_edges"), F.count("back").alias("reciprocated"), (F.count("back") / F.count("*")).alias("reciprocity"))
 
 
+def _to_roots(up: DataFrame, by: list[str]) -> DataFrame:
+    """up(at, to), where following to leads to ever smaller nodes, with to at the end of
+    each way; each round looks on from where the last one came, so the steps double."""
+    while True:
+        on = up.filter("at <> to").select(*by, F.col("at").alias("to"), F.col("to").alias("on"))
+        after = cut(up.join(on.hint("merge"), cols(by, "to"), "left").select(*by, "at", F.coalesce("on", "to").alias("to"), F.col("on").isNotNull().alias("moved")))
+        discard(up)
+        up = after.select(*by, "at", "to")
+        if after.filter("moved").isEmpty():
+            return up
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, by: list[str] = ()) -> DataFrame:
-    """(node, component): the smallest node that links reach, direction aside. The
-    graph contracts onto smallest neighbours until no edge is left."""
+    """(node, component): the smallest node that links reach, direction aside.
+
+    Each round every node points to its smallest neighbour, if that is smaller; pointers
+    are followed to their ends and the links move there. A round leaves at most half of
+    the nodes with links, and following takes the logarithm of the longest way, so a long
+    path needs one round of a few steps. Joins are sort-merge, which Spark splits at hubs."""
     by = list(by)
     left = cut(undirected(edges, by).select(*by, F.col("a").alias("src"), F.col("b").alias("dst")))
-    labels = nodes.select(*by, "node", F.col("node").alias("component"))
+    labels = cut(nodes.select(*by, "node", F.col("node").alias("component")))
     while not left.isEmpty():
         both = left.union(left.select(*by, "dst", "src"))
-        up = cut(both.groupBy(*by, F.col("src").alias("at")).agg(F.min("dst").alias("to")).withColumn("to", F.least("at", "to")))
-        labels = cut(labels.join(up.withColumnRenamed("at", "component"), cols(by, "component"), "left").select(*by, "node", F.coalesce("to", "component").alias("component")))
-        moved = left.join(up.withColumnRenamed("at", "src"), cols(by, "src")).select(*by, F.col("to").alias("src"), "dst")
-        moved = moved.join(up.withColumnRenamed("at", "dst"), cols(by, "dst")).select(*by, "src", F.col("to").alias("dst"))
-        left = cut(moved.filter("src <> dst").select(*by, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+        up = _to_roots(cut(both.groupBy(*by, F.col("src").alias("at")).agg(F.min("dst").alias("to")).withColumn("to", F.least("at", "to"))), by)
+        named = cut(labels.join(up.withColumnRenamed("at", "component").hint("merge"), cols(by, "component"), "left").select(*by, "node", F.coalesce("to", "component").alias("component")))
+        moved = left.join(up.withColumnRenamed("at", "src").hint("merge"), cols(by, "src")).select(*by, F.col("to").alias("src"), "dst")
+        moved = moved.join(up.withColumnRenamed("at", "dst").hint("merge"), cols(by, "dst")).select(*by, "src", F.col("to").alias("dst"))
+        after = cut(moved.filter("src <> dst").select(*by, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+        discard(labels, left, up)
+        labels, left = named, after
     return labels
 
 
@@ -164,14 +184,17 @@ def induced_subgraph(edges: DataFrame, kept: DataFrame, by: list[str] = ()) -> D
     return edges.join(a, cols(by, "src"), "left_semi").join(b, cols(by, "dst"), "left_semi")
 
 
-def bfs(edges: DataFrame, sources: DataFrame, by: list[str] = (), max_hops: int = 1000) -> DataFrame:
-    """(source, node, dist) for what links reach from sources(source), the source itself at 0."""
+def bfs(edges: DataFrame, sources: DataFrame, by: list[str] = (), max_hops: int | None = None) -> DataFrame:
+    """(source, node, dist) for what links reach from sources(source), the source itself at
+    0; at most max_hops away where that is given."""
     by = list(by)
     frontier = cut(sources.select(*by, "source", F.col("source").alias("node")))
     found = [frontier.withColumn("dist", F.lit(0))]
     links = edges.select(*by, F.col("src").alias("node"), "dst")
     visited = frontier
-    for d in range(1, max_hops + 1):
+    for d in count(1):
+        if max_hops is not None and d > max_hops:
+            break
         step = frontier.join(links, cols(by, "node")).select(*by, "source", F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(visited, cols(by, "source", "node"), "left_anti"))
         if frontier.isEmpty():
@@ -286,23 +309,29 @@ def core_numbers(nodes: DataFrame, edges: DataFrame, by: list[str] = ()) -> Data
     return iterate(start, step, done)
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): sets of nodes that reach each other, named by their largest
-    node. Nodes without a way in or out are trimmed; the rest take the largest node
-    that reaches them as colour, and what reaches its colour's root inside the colour
-    is a component; it leaves, and the rest goes on."""
-    left, links = cut(nodes.select("node")), cut(edges.select("src", "dst"))
+    node. Nodes without a way in or out are components of their own and leave first,
+    again and again; the rest take the largest node that reaches them as colour, and what
+    reaches its colour's root inside the colour is a component; it leaves, and the rest
+    goes on until nothing is left."""
+    left, links = cut(nodes.select("node").distinct()), cut(edges.filter("src <> dst").select("src", "dst"))
     done: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
+        inner = cut(left.join(links.select(F.col("src").alias("node")).distinct().hint("merge"), "node", "left_semi").join(links.select(F.col("dst").alias("node")).distinct().hint("merge"), "node", "left_semi"))
+        alone = cut(left.join(inner.hint("merge"), "node", "left_anti"))
+        if not alone.isEmpty():
+            done.append(alone.select("node", F.col("node").alias("component")))
+            left, links = inner, cut(induced_subgraph(links, inner))
+            continue
         colour = cut(left.withColumn("colour", F.col("node")))
         while True:
             came = links.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("c"))
-            after = cut(colour.join(came, "node", "left").select("node", F.greatest("colour", F.coalesce("c", "colour")).alias("colour")))
-            if after.join(colour.withColumnRenamed("colour", "old"), "node").filter("old <> colour").isEmpty():
+            after = cut(colour.join(came, "node", "left").select("node", F.greatest("colour", F.coalesce("c", "colour")).alias("colour"), (F.coalesce("c", "colour") > F.col("colour")).alias("moved")))
+            discard(colour)
+            colour = after.select("node", "colour")
+            if after.filter("moved").isEmpty():
                 break
-            colour = after
         inside = links.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst").filter("cs = cd").select("src", "dst")
         roots = colour.filter("node = colour").select(F.col("node").alias("source"))
         back = bfs(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots)

@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, or a temporary folder where it is unset."""
+    """The session's ``spark.checkpoint.dir``, which driver and executors share. Where that
+    is unset, a temporary folder does on a single machine; on a cluster it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="linkscope-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -29,12 +32,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], done: Callable[[DataFrame, DataFrame], bool], max_rounds: int = 200) -> DataFrame:
-    """Applies step until done(before, after) or max_rounds."""
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of cut that nothing will read again, such as a loop's past states."""
+    for t in tables:
+        for file in t.inputFiles()[:1]:
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class NotFinished(RuntimeError):
+    """A loop reached its bound on rounds; it has no result."""
+
+
+def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], done: Callable[[DataFrame, DataFrame], bool], max_rounds: int | None = None) -> DataFrame:
+    """Applies step until done(before, after); a bound on rounds that is reached is an error."""
     state = cut(state)
-    for i in range(max_rounds):
+    i = 0
+    while True:
+        if max_rounds is not None and i >= max_rounds:
+            raise NotFinished(f"not done after {max_rounds} rounds")
         after = cut(step(state, i))
         if done(state, after):
+            discard(state)
             return after
-        state = after
-    return state
+        discard(state)
+        state, i = after, i + 1
