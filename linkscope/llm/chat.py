@@ -8,8 +8,9 @@ The final messages are rendered into one string with a loss mask over what the
 assistant says.
 
 The template marks a turn as ``### role:\\n text </turn>\\n``. Inside roles and texts
-a backslash is doubled, and ``###`` and ``</turn>`` get a backslash inside, so a text
-can hold any string, those of the template too, and is read back exactly.
+a backslash is doubled, one is put between any two number signs and one into
+``</turn>``, so that neither mark is ever part of a text, and every text is read back
+exactly.
 """
 
 from __future__ import annotations
@@ -19,15 +20,16 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkscope.llm.common import arrow_schema
+from linkscope.llm.common import arrow_schema, text_batches
 
 HEAD, MIDDLE, TAIL = "### ", ":\n", "</turn>\n"
 #: Whose words the loss counts.
 LEARNED = "assistant"
+_SIGNS = re.compile("#(?=#)")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 FORMATTED = T.StructType(
@@ -41,9 +43,10 @@ MESSAGES = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("
 
 
 def escape(text: str) -> str:
+    """text in which HEAD and TAIL can't stand: the marks themselves are broken."""
     if "\\" in text:
         text = text.replace("\\", "\\\\")
-    return text.replace("###", "\\###").replace("</turn>", "<\\/turn>")
+    return _SIGNS.sub(r"#\\", text).replace("</turn>", "<\\/turn>")
 
 
 def unescape(text: str) -> str:
@@ -123,6 +126,27 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+def as_events(messages: DataFrame) -> DataFrame:
+    """The log of finished messages(conv_id, turn, role, text), as a chat would have
+    written it: each message is opened and streamed in two deltas; a third of them (by a
+    hash) have a draft that an edit replaces, a third a first answer that is generated
+    again. seq keeps the order of turns, then of role and a hash of the text; repeated
+    rows follow one another."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    one, two = text.substr(F.lit(1), half), text.substr(half + 1, F.length(text))
+
+    def event(kind: str, said: Column | None = None, role: Column | None = None) -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(F.lit(kind).alias("kind"), (none if role is None else role).alias("role"), (none if said is None else said).alias("text"))
+
+    start, deltas = event("start", role=F.col("role")), [event("delta", one), event("delta", two)]
+    way = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(3))
+    events = F.when(way == 0, F.array(start, *deltas)).when(way == 1, F.array(start, event("delta", two), event("edit", text))).otherwise(F.array(start, event("delta", F.lit("a first answer")), event("regenerate"), *deltas))
+    rows = messages.select("conv_id", "turn", "role", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"), F.posexplode(events).alias("step", "e"))
+    return rows.select("conv_id", F.struct("turn", "role", "tie", "row", "step").alias("seq"), "e.kind", F.lit(None).cast("long").alias("ref"), "e.role", "e.text")
+
+
 def _sorted_log(events: DataFrame) -> DataFrame:
     log = events.select("conv_id", "kind", F.col("ref").cast("long").alias("ref"), "role", "text", "seq")
     return log.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "text").select("conv_id", "kind", "ref", "role", "text")
@@ -143,7 +167,7 @@ def _folds(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Fold
 
 def format_conversations(events: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_spans), a row per conversation of events(conv_id,
-    seq, kind, ref, role, text; see Fold).
+    seq, kind, ref, role, text; see Fold). seq is of any type that has an order.
 
     Events of one seq go by role and text (nulls first), so that equal logs give
     equal results; a null text or role is empty; events without a conv_id make one
@@ -171,7 +195,7 @@ def format_conversations(events: DataFrame) -> DataFrame:
                 ids, texts, spans, size = [], [], [], 0
         yield batch()
 
-    return _sorted_log(events).mapInArrow(run, FORMATTED)
+    return text_batches(_sorted_log(events)).mapInArrow(run, FORMATTED)
 
 
 def parse_conversations(formatted: DataFrame) -> DataFrame:
@@ -184,7 +208,7 @@ def parse_conversations(formatted: DataFrame) -> DataFrame:
                 got = parse(text)
                 yield pa.RecordBatch.from_arrays([pa.array([c] * len(got), pa.int64()), pa.array(range(len(got)), pa.int64()), pa.array([r for r, _ in got], pa.string()), pa.array([t for _, t in got], pa.string())], schema=arrow)
 
-    return formatted.select("conv_id", "formatted").mapInArrow(run, MESSAGES)
+    return text_batches(formatted.select("conv_id", "formatted")).mapInArrow(run, MESSAGES)
 
 
 DIGEST = T.StructType(
@@ -221,4 +245,4 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * len(DIGEST)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(run, DIGEST)
+    return text_batches(formatted.select("conv_id", "formatted", "loss_spans")).mapInArrow(run, DIGEST)

@@ -27,13 +27,12 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from linkscope.llm.chat import conversation_digests, format_conversations
+    from linkscope.llm.chat import as_events, conversation_digests, format_conversations
 
-    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    log = rows.unionByName(extra).withColumns({"kind": F.lit("message"), "ref": F.lit(None).cast("long")})
-    return conversation_digests(format_conversations(log))
+    return conversation_digests(format_conversations(as_events(rows.unionByName(extra))))
 
 
 def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
