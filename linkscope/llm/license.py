@@ -56,12 +56,6 @@ def license_words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), PARTS), lambda w: w != "")
 
 
-def n_license_words(text: Column) -> Column:
-    """Number of license_words, without building them."""
-    spaced = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), PARTS, " "))
-    return F.when(spaced == "", 0).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "))) + 1).cast("long")
-
-
 def gram_hashes(words: Column) -> Column:
     """Hashes of the rolling k-grams of words; none if there are fewer than k."""
     starts = F.sequence(F.lit(1), F.size(words) - (K - 1))
@@ -166,7 +160,7 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         F.max("coverage").alias("score"),
         F.sort_array(F.collect_list(F.struct("start", "stop", "label", "coverage"))).alias("spans"),
     )
-    every = docs.select("k1", "k2", "doc_id", n_license_words(F.col("text")).alias("n_words"))
+    every = docs.select("k1", "k2", "doc_id", F.size(license_words(F.col("text"))).cast("long").alias("n_words"))
     out = every.join(per.hint("merge"), ["k1", "k2"], "left")
     blank = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in (("n_base", 0), ("base_labels", ""), ("labels", ""), ("score", 0.0))}
     return out.select("doc_id", "n_words", blank["n_base"].cast("long").alias("n_base"), "first_word", "last_word", blank["base_labels"].alias("base_labels"), blank["labels"].alias("labels"), blank["score"].alias("score"), "spans")
