@@ -63,7 +63,7 @@ def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkscope.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents")).drop("source", "quota")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,7 +275,17 @@ def test_mixing(spark, odd, docs, texts):
     assert all(taken[s] == min(mixing.BLOCK * sum(quota[s]), 2 * size[s]) for s in names)
     again = mixing.mix(docs.orderBy(F.rand(3))).collect()
     assert Counter((r["doc_id"], r["taken"]) for r in again) == Counter((r["doc_id"], r["taken"]) for r in rows)
+    # each shard takes its quota of blocks, and the words of a document add up
+    shares = {s: [sum(r["shard_words"][j] for r in rows if r["source"] == s) for j in range(mixing.SHARDS)] for s in names}
+    for s in names:
+        ends = [min(mixing.BLOCK * sum(quota[s][: j + 1]), 2 * size[s]) for j in range(mixing.SHARDS)]
+        assert shares[s] == [b - a for a, b in zip([0, *ends], ends, strict=False)]
+    assert all(sum(r["shard_words"]) == r["taken"] and min(r["shard_words"]) >= 0 for r in rows)
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(odd.limit(0)).count() == 0
+    dealt = Counter()
+    for r in mixing.mix_rows(docs, shard="shard").collect():
+        dealt[r["source"], r["shard"]] += len(WORD.findall(r["text"]))
+    assert dealt == Counter({(s, j): n for s in names for j, n in enumerate(shares[s]) if n})
     out = mixing.mix_rows(docs)
     assert out.columns == docs.columns
     assert sum(len(WORD.findall(r["text"])) for r in out.collect()) == sum(taken.values())
