@@ -36,10 +36,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from linkscope.llm.shards import histogram_shards
+    from linkscope.llm.shards import histogram_shards, text_bytes
 
     got = histogram_shards(table(spark, sf_dir, "documents"), 8)
-    return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    crc = F.crc32(F.coalesce("text", F.lit("")))
+    return got.select("doc_id", text_bytes(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ of a fine grid over the intervals that still hold a splitter, over all partition
 and narrows each interval to the cell in which its target falls, until the bytes
 below every splitter are within tolerance. Only then the rows move, once.
 
-A round's counts are at most (splitters x CELLS) rows, whatever the data's size.
+A round's counts are at most (splitters x CELLS) rows, whatever the data's size. The one
+exchange moves whole rows to runs, parts of a shard that one task sorts and numbers.
+Runs are bounded in bytes and cut by the same key, inside a group of copies too.
 """
 
 from __future__ import annotations
@@ -17,14 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkscope.llm.common import cut
+from linkscope.llm.runs import ROW, run_edges, run_of
 
 #: Cells of an interval in a round, by their bits; bits of the key that hash the id too.
 CELL_BITS, ID_BITS = 11, 24
 CELLS = 1 << CELL_BITS
 #: A splitter may be off by this share of a shard.
 TOLERANCE = 0.0005
-#: Rows of a run within a shard, which one task numbers; about so many runs at most.
-RUN_ROWS, MAX_RUNS = 4_000, 1 << CELL_BITS
 
 
 def sort_key(text: Column, key: Column) -> Column:
@@ -79,53 +80,44 @@ def splitters(sized: DataFrame, targets: list[float], total: int, tolerance: flo
     return [found[j] for j in range(len(targets))]
 
 
-def histogram_shards(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
-    """(key, size, text_crc32, shard, slot) for every row: shards of near-equal bytes,
-    a row's bytes being those of its text in UTF-8 plus one, and slots from 0 without
-    gaps in each shard.
+def text_bytes(text: Column) -> Column:
+    """A row's size: the bytes of its text in UTF-8 (null: none) plus one."""
+    return F.octet_length(F.coalesce(text, F.lit(""))) + F.lit(1).cast("long")
+
+
+def histogram_shards(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE, shard: str = "shard", slot: str = "slot") -> DataFrame:
+    """docs with the columns shard (int) and slot (long): shards of near-equal bytes, a row's
+    bytes being those of text_bytes, and slots from 0 without gaps in each shard.
 
     A null text is empty; a null key is a key like others; rows equal in key and text
     are one point of the order and stay in one shard; with no rows, or fewer than
     shards, some shards stay empty. A row larger than a shard makes its shard larger.
+    All columns of docs stay as they came; one already named as a new one is replaced.
     """
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    sized = cut(docs.select(F.col(f"`{key}`").alias(key), (F.octet_length(body) + F.lit(1).cast("long")).alias("size"), F.crc32(body).alias("text_crc32"), sort_key(body, F.col(f"`{key}`")).alias("at")))
+    kept = [c for c in docs.columns if c not in (shard, slot)]
+    named = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(kept)])
+    key_, text_ = F.col(f"_{kept.index(key)}"), F.col(f"_{kept.index(text)}")
+    at = sort_key(F.coalesce(text_, F.lit("")), key_)
+    sized = cut(named.select(text_bytes(text_).alias("size"), at.alias("at")))
     n, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     targets = [total * i / n_shards for i in range(1, n_shards)]
     cuts = sorted(splitters(sized, targets, total, tolerance * total / n_shards)) if n else []
-    edges = sorted({*cuts, *run_edges(sized, total, min(MAX_RUNS, n // RUN_ROWS + 1))})
-    # the one exchange: each run is a part of a shard in key order
-    placed = sized.withColumn("run", _count_of(edges, F.col("at")))
-    order = Window.partitionBy("run").orderBy("at", F.col(key).asc_nulls_first(), "text_crc32")
-    rows = {r["run"]: r["n"] for r in placed.groupBy("run").agg(F.count("*").alias("n")).collect()}  # MAX_RUNS + n_shards rows at most
-    starts, at, last = [], 0, 0
-    for run in range(len(edges) + 1):
-        shard = sum(c <= edges[run - 1] for c in cuts) if run else 0
-        at = at if shard == last else 0
-        starts.append((run, shard, at))
-        at, last = at + rows.get(run, 0), shard
-    starts = docs.sparkSession.createDataFrame(starts, "run int, shard int, start long")
-    slots = placed.withColumn("nth", F.row_number().over(order) - 1).join(F.broadcast(starts), "run")
-    return slots.select(key, "size", "text_crc32", "shard", (F.col("start") + F.col("nth")).cast("long").alias("slot"))
-
-
-def run_edges(sized: DataFrame, total: int, runs: int) -> list[int]:
-    """Keys that cut the rows into about so many runs: edges of one coarse grid."""
-    cells = sized.groupBy(F.shiftright("at", 63 - CELL_BITS).alias("cell")).agg(F.sum("size").alias("bytes")).collect()  # CELLS rows at most
-    out, below = [], 0
-    for r in sorted(cells):
-        below += r["bytes"]
-        if below * runs >= total * (len(out) + 1):
-            out.append((r["cell"] + 1) << (63 - CELL_BITS))
-    return [x for x in out if x < 1 << 63]
-
-
-def _count_of(edges: list[int], at: Column) -> Column:
-    """Number of edges that are at most at: a coarse and a fine look-up."""
-    if not edges:
-        return F.lit(0)
-    step = int(len(edges) ** 0.5) + 1
-    array = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
-    coarse = F.size(F.filter(array(edges[::step]), lambda c: c <= at))
-    fine = F.size(F.filter(F.slice(array(edges), (coarse - 1) * step + 1, step), lambda c: c <= at))
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine)
+    zero = F.lit(0).cast("long")
+    found = run_edges(sized.select(F.col("at").alias("hi"), zero.alias("lo"), (F.col("size") + ROW).alias("weight"))) if n else []
+    edges = sorted({*((c, 0) for c in cuts if c < 1 << 63), *found})
+
+    def run(at: Column) -> Column:
+        return run_of(edges, at, zero)
+
+    rows = {r["run"]: r["n"] for r in sized.groupBy(run(F.col("at")).alias("run")).agg(F.count("*").alias("n")).collect()}  # one row a run
+    starts, held, last = [], 0, 0
+    for i in range(len(edges) + 1):
+        of = sum(c <= edges[i - 1][0] for c in cuts) if i else 0
+        held = held if of == last else 0
+        starts.append((i, of, held))
+        held, last = held + rows.get(i, 0), of
+    starts = docs.sparkSession.createDataFrame(starts, "_run int, _shard int, _start long")
+    # the one exchange, of whole rows
+    order = Window.partitionBy("_run").orderBy("_at", key_.asc_nulls_first(), F.xxhash64(text_))
+    placed = named.withColumn("_at", at).withColumn("_run", run(F.col("_at"))).withColumn("_nth", F.row_number().over(order) - 1).join(F.broadcast(starts), "_run")
+    return placed.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(kept)], F.col("_shard").alias(shard), (F.col("_start") + F.col("_nth")).cast("long").alias(slot))
