@@ -1,10 +1,16 @@
 """I-Match fingerprints.
 
-Terms whose document frequency lies within a band are kept; copies count once in it,
-so that a large group of them doesn't push its own terms out. The distinct terms are sorted, and the sorted list is hashed once for each of several randomised
-subsets of the lexicon. A subset holds a term by a hash of the term alone, so a
-subset needs no storage. Small subsets see few terms of a long text and survive
-edits; large ones see the terms of a short text.
+Terms whose document frequency lies within a band are kept; copies count once in it, so
+that a large group of them doesn't push its own terms out. The distinct terms are
+sorted, and the sorted list is hashed once for each of several randomised subsets of the
+lexicon. A subset holds a term by a hash of the term alone, so a subset needs no
+storage. Small subsets see few terms of a long text and survive edits; large ones
+see the terms of a short text.
+
+Groups of copies are found by keys that near copies share. A group that holds at least
+GROUP_SHARE of all rows, and so could move a term over an edge of the band, weighs as one
+document, each of its rows by its share of that; there are at most 1 / GROUP_SHARE such
+groups for a key, and they are broadcast. So nothing but counts is shuffled for the band.
 
 The lexicon joins by broadcast. Its size has a bound that doesn't grow with the
 corpus: document frequencies sum to (documents x mean distinct terms), so at most
@@ -24,6 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from linkscope.llm.common import ascii_lower, cut, words
+from linkscope.llm.runs import ROW, run_edges, run_of
 
 #: The band: a term stands in at least this share of the documents (and in two)
 #: and in at most that share, copies counted once.
@@ -35,8 +42,10 @@ SHINGLE = 2
 ORDERS = [[int.from_bytes(hashlib.sha256(b"%d %d" % (i, j)).digest()[:8], "big", signed=True) for j in range(3)] for i in range(4)]
 #: (bits, subsets): each of so many subsets holds a term with probability 2 ** -bits.
 SCALES = ((4, 4), (6, 24), (8, 32), (10, 32))
-#: Rows of a run of documents in key order, and at most so many runs.
-RUN_ROWS, MAX_RUNS = 1500, 4000
+#: Groups of copies with this share of all rows (and two rows) weigh as one document.
+GROUP_SHARE = 0.0001
+#: A document's weight.
+ONE = 1 << 20
 #: Stands for the text itself, so that a text without terms of the band keeps its row.
 MARK = 0
 
@@ -46,35 +55,42 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words(ascii_lower(text)), lambda w: F.xxhash64(w)))
 
 
-def copy_keys(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(tie, k0, k1, ...): keys that near copies are likely to share. Each hashes the
-    smallest shingles of a text in a few orders; a text shorter than a shingle has its own."""
+def with_copy_keys(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with w, the words of the text, and k0, k1, ...: keys that near copies are likely
+    to share. Each hashes the smallest shingles of a text in a few orders; a text shorter
+    than a shingle has its own."""
     # columns of their own, as the next ones refer to them again and again
-    split = docs.select("tie", words(ascii_lower(F.col(f"`{text}`"))).alias("w"))
+    split = docs.withColumn("w", words(ascii_lower(F.col(f"`{text}`"))))
     starts = F.sequence(F.lit(0), F.size("w") - SHINGLE)
     shingles = F.when(F.size("w") >= SHINGLE, F.transform(starts, lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(SHINGLE)]))).otherwise(F.array("tie"))
     least = lambda c: F.array_min(F.transform("h", lambda h: h.bitwiseXOR(F.lit(c))))
-    return split.select("tie", shingles.alias("h")).select("tie", *[F.xxhash64(*map(least, row)).alias(f"k{i}") for i, row in enumerate(ORDERS)])
+    return split.withColumn("h", shingles).withColumns({f"k{i}": F.xxhash64(*map(least, row)) for i, row in enumerate(ORDERS)}).drop("h")
 
 
-def one_of_copies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(tie): hashes of texts, one for each class of copies. Of texts that share a key
-    the first by hash stays, for one key after the other; only hashes are shuffled,
-    and they are aggregated before."""
-    left = copy_keys(docs, text)
-    for i in range(len(ORDERS)):
-        left = left.groupBy(f"k{i}").agg(F.min(F.struct("tie", *[f"k{j}" for j in range(i + 1, len(ORDERS))])).alias("x")).select("x.*")
-    return left.distinct()
+def weighed_docs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(w, weight): the words of each text of docs (with the column tie, the text's hash), and
+    ONE divided by the size of the largest group of copies that it is in."""
+    keyed = with_copy_keys(docs.select("tie", text), text)
+    names = [f"k{i}" for i in range(len(ORDERS))]
+    counted = keyed.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(k).alias("k")) for i, k in enumerate(names)])).alias("x")).groupBy("x.i", "x.k").agg(F.count("*").alias("n"))
+    least = max(2, math.ceil(GROUP_SHARE * docs.count()))
+    groups = cut(counted.filter(F.col("n") >= least))
+    for i, k in enumerate(names):
+        side = groups.filter(F.col("i") == i).select(F.col("k").alias(k), F.col("n").alias(f"n{i}"))
+        keyed = keyed.join(F.broadcast(side), k, "left")  # 1 / GROUP_SHARE rows at most
+    size = F.greatest(F.lit(1).cast("long"), *[F.coalesce(F.col(f"n{i}"), F.lit(1).cast("long")) for i in range(len(names))])
+    return keyed.select("w", F.floor(F.lit(ONE) / size).alias("weight"))
 
 
 def lexicon(docs: DataFrame, text: str = "text", min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
     """(term): codes of the terms in the band, over docs with the column tie (the text's
-    hash). Each class of copies counts as one document."""
-    kept = cut(one_of_copies(docs, text))
-    n = kept.count()
-    distinct = docs.select("tie", terms(F.col(f"`{text}`")).alias("terms")).groupBy("tie").agg(F.first("terms").alias("terms"))
-    found = distinct.join(kept.hint("merge"), "tie").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return found.filter((F.col("df") >= max(2, math.ceil(min_share * n))) & (F.col("df") <= max(2, math.floor(max_share * n)))).select("term")
+    hash). Document frequencies are sums of weights, MARK's that of all documents."""
+    codes = F.array_append(F.array_distinct(F.transform("w", lambda w: F.xxhash64(w))), F.lit(MARK).cast("long"))
+    found = cut(weighed_docs(docs, text).select("weight", F.explode(codes).alias("term")).groupBy("term").agg(F.sum("weight").alias("df")))
+    n = (found.filter(F.col("term") == MARK).agg(F.sum("df")).first()[0] or 0) / ONE
+    low, high = max(2.0, min_share * n), max(2.0, max_share * n)
+    # a weight is rounded down by less than a millionth
+    return found.filter((F.col("term") != MARK) & (F.col("df") >= int(low * ONE * (1 - 1e-3))) & (F.col("df") <= int(high * ONE))).select("term")
 
 
 def tagged(sorted_terms: Column) -> list[Column]:
@@ -114,37 +130,31 @@ def as_text(hashes: Column, sha: Column) -> Column:
     return F.when(blank, F.concat(F.lit("text:"), sha)).otherwise(F.array_join(hashes, ":"))
 
 
-def _run_of(value: Column, splits: list[int]) -> Column:
-    """Number of splits that are at most value, by a coarse and a fine look-up; 0 for null."""
-    if not splits:
-        return F.lit(0)
-    step = math.isqrt(len(splits)) + 1
-    array = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
-    coarse = F.size(F.filter(array(splits[::step]), lambda s: s <= value))
-    fine = F.size(F.filter(F.slice(array(splits), (coarse - 1) * step + 1, step), lambda s: s <= value))
-    return F.when(value.isNull() | (coarse == 0), 0).otherwise((coarse - 1) * step + fine)
+def place(key: Column, tie: Column) -> tuple[Column, Column]:
+    """The order by key (null first), then tie, as a pair of numbers for runs."""
+    hi = F.coalesce(F.shiftright(key, 1) + F.lit(1 << 62), F.lit(-1).cast("long"))
+    odd = F.coalesce(key.bitwiseAND(1), F.lit(0).cast("long"))
+    return hi, F.shiftleft(odd, 62) + F.shiftright(tie, 2) + F.lit(1 << 61)
 
 
-def in_runs(docs: DataFrame) -> tuple[DataFrame, int]:
-    """docs(doc_id, text, tie) cut into runs of neighbouring doc_id, each followed by
-    a copy (later = 1) of the next run's first row; the last run by the first row
-    of all. So a window inside a run sees every row's successor, and the texts are
-    shuffled once."""
+def in_runs(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, tie) cut into runs of neighbours, each followed by a copy
+    (later = 1) of the next run's first row; the last run by the first row of all. So a
+    window inside a run sees every row's successor, and the texts are shuffled once."""
     spark = docs.sparkSession
-    n = docs.count()
-    k = min(max(1, n // RUN_ROWS), MAX_RUNS)
-    splits: list[int] = []
-    if k > 1:
-        got = docs.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 10 * k)).first()[0]
-        splits = sorted(set(got or []))
-    docs = docs.withColumn("run", _run_of(F.col("doc_id"), splits))
-    firsts = sorted(((r["run"], r["f"]["id"], r["f"]["tie"]) for r in docs.groupBy("run").agg(F.min(F.struct(F.col("doc_id").alias("id"), "tie")).alias("f")).collect()), key=lambda r: r[0])
+    hi, lo = place(F.col("doc_id"), F.col("tie"))
+    slim = cut(docs.select("doc_id", "tie", hi.alias("hi"), lo.alias("lo"), (F.octet_length("text") + F.lit(ROW).cast("long")).alias("weight")))
+    edges = run_edges(slim)
+    heads = slim.groupBy(run_of(edges, F.col("hi"), F.col("lo")).alias("run")).agg(F.min(F.struct("hi", "lo", F.col("doc_id").alias("id"), F.col("tie").alias("t"))).alias("f"))
+    firsts = sorted(((r["run"], r["f"]["id"], r["f"]["t"]) for r in heads.collect()), key=lambda r: r[0])  # one row a run
     rows = [(firsts[i - 1][0], f[1], f[2]) for i, f in enumerate(firsts)]  # the run before; before the first, the last
     kind = T.StructType([T.StructField("to", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("t", T.LongType())])
-    heads = spark.createDataFrame(rows, kind)  # MAX_RUNS rows at most
+    heads = spark.createDataFrame(rows, kind)
+    # of rows equal in key and text, one follows; the others are equal to it
     later = docs.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("t")))
     later = later.select("doc_id", "text", "tie", F.col("to").alias("run"), F.lit(1).alias("later"))
-    return docs.select("doc_id", "text", "tie", "run", F.lit(0).alias("later")).unionByName(later), k
+    docs = docs.select("doc_id", "text", "tie", run_of(edges, hi, lo).alias("run"), F.lit(0).alias("later"))
+    return docs.unionByName(later.dropDuplicates(["run"]))
 
 
 def imatch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -156,13 +166,13 @@ def imatch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     equal fingerprints; null keys come first and rows of one key in the order of
     their texts' hashes; a single row is its own successor; an empty table gives an
     empty result. Texts without a term of the band have their own digest as
-    fingerprint and are alike only if equal.
+    fingerprint and are alike only if equal. Keys are whole numbers, or are cast to them.
     """
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     docs = docs.withColumn("tie", F.xxhash64("text"))
     band = lexicon(docs)
     lex = band.union(docs.sparkSession.createDataFrame([(MARK,)], band.schema))
-    rows, _ = in_runs(docs)
+    rows = in_runs(docs)
     order = Window.partitionBy("run").orderBy("later", F.col("doc_id").asc_nulls_first(), "tie")
     n = F.length("text")
     rows = (
