@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from linkscope.functions.scalars import seeded
 from linkscope.operators.structure import bfs, cols
-from linkscope.plans.iterate import cut, iterate
+from linkscope.plans.iterate import cut, discard, iterate
 
 
 def weighted(edges: DataFrame) -> DataFrame:
@@ -252,6 +252,43 @@ def greedy_expand(edges: DataFrame, hosts: DataFrame, k: int) -> DataFrame:
     return members
 
 
+def swap_improve(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(host, node): sets members(host, node), each bettered by its best swap of one member (not
+    the host) for one neighbour, round by round while some swap raises the surplus (see
+    set_scores) by more than 1e-9, ties to the smaller member, then neighbour. Surpluses
+    only grow, so it ends."""
+    members = cut(members.select("host", "node"))
+    both = cut(both_ways(edges))
+    deg = cut(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("d")))
+    m = edges.count() if "weight" not in edges.columns else edges.agg(F.sum("weight")).first()[0]
+    while True:
+        out = members.filter("node <> host").join(deg, "node").select("host", F.col("node").alias("out"), F.col("d").alias("d_out"))
+        inside = members.join(both.select(F.col("a").alias("node"), F.col("b").alias("to"), "weight"), "node").join(members.select("host", F.col("node").alias("to")), ["host", "to"]).groupBy("host", F.col("node").alias("out")).agg(F.sum("weight").alias("l_out"))
+        total = members.join(deg, "node", "left").groupBy("host").agg(F.sum(F.coalesce("d", F.lit(0.0))).alias("dd"))
+        into = members.join(both.select(F.col("a").alias("node"), F.col("b").alias("new"), "weight"), "node").groupBy("host", "new").agg(F.sum("weight").alias("l_new"))
+        into = into.join(members.withColumnRenamed("node", "new"), ["host", "new"], "left_anti").join(deg.select(F.col("node").alias("new"), F.col("d").alias("d_new")), "new")
+        # a host's members with its candidates: sets are small
+        pairs = out.join(inside, ["host", "out"], "left").fillna(0.0, ["l_out"]).join(total, "host").join(into, "host")
+        pairs = pairs.join(both.select(F.col("a").alias("out"), F.col("b").alias("new"), F.col("weight").alias("w")), ["out", "new"], "left").fillna(0.0, ["w"])
+        after = F.col("dd") - F.col("d_out") + F.col("d_new")
+        gain = F.col("l_new") - F.col("w") - F.col("l_out") - (after * after - F.col("dd") * F.col("dd")) / (4 * m)
+        best = pairs.withColumn("gain", F.round(gain, 9)).filter("gain > 1e-9").groupBy("host").agg(F.min(F.struct(-F.col("gain"), "out", "new")).alias("x"))
+        swaps = cut(best.select("host", "x.out", "x.new"))
+        if swaps.isEmpty():
+            return members
+        kept = members.join(swaps.select("host", F.col("out").alias("node")), ["host", "node"], "left_anti")
+        after = cut(kept.unionByName(swaps.select("host", F.col("new").alias("node"))))
+        discard(members)
+        members = after
+
+
+def attribute_partition(edges: DataFrame, nodes: DataFrame, column: str, reference: DataFrame) -> DataFrame:
+    """(q, nmi): modularity of the partition by a column of nodes(node, column), and its
+    likeness to reference(node, community)."""
+    own = nodes.select("node", F.col(column).alias("community"))
+    return modularity(edges, own).select("q").crossJoin(F.broadcast(nmi(own, reference)))  # one row each
+
+
 def random_sets(edges: DataFrame, hosts: DataFrame, k: int, replicates: int, seed: int = 1) -> DataFrame:
     """(host, replicate, node): each host with k random neighbours, all of them if there are fewer."""
     runs = F.broadcast(hosts.sparkSession.range(replicates).select(F.col("id").alias("replicate")))

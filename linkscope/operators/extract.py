@@ -40,39 +40,41 @@ def infobox_kind(text: Column) -> Column:
 
 def infobox_fields(pages: DataFrame, key: str, fields: list[str], text: str = "text") -> DataFrame:
     """(key, field, value): template parameters with nested braces and brackets balanced;
-    one pass over the pages for all fields."""
+    one pass over the pages for all fields, which looks at braces, brackets and bars only."""
+    import re
+
     import pandas as pd
 
     schema = T.StructType([pages.schema[key], T.StructField("field", T.StringType()), T.StructField("value", T.StringType())])
     wanted = {f.lower(): f for f in fields}
-
-    def values(body: str):
-        start = body.lower().find("{{infobox")
-        depth, at, name, begin = 0, start, None, 0
-        while 0 <= at < len(body):
-            two = body[at : at + 2]
-            if two in ("{{", "[["):
-                depth, at = depth + 1, at + 2
-            elif two in ("}}", "]]"):
-                depth -= 1
-                if depth == 0:
-                    if name:
-                        yield name, body[begin:at].strip()
-                    return
-                at += 2
-            elif depth == 1 and body[at] == "|":
-                if name:
-                    yield name, body[begin:at].strip()
-                eq, bar = body.find("=", at), body.find("|", at + 1)
-                name = wanted.get(body[at + 1 : eq].strip().lower()) if eq > 0 and (bar < 0 or eq < bar) else None
-                at = eq + 1 if name else at + 1
-                begin = at
-            else:
-                at += 1
+    opening, marks = re.compile(r"\{\{\s*infobox", re.IGNORECASE), re.compile(r"\{\{|\}\}|\[\[|\]\]|\|")
+
+    def parameters(body: str) -> list[str]:
+        """What stands between the bars of the first infobox, outside what is nested."""
+        first = opening.search(body)
+        open_, since, out = 0, None, []
+        for m in marks.finditer(body, first.start()) if first else ():
+            mark = m[0]
+            if mark in ("{{", "[["):
+                open_ += 1
+            elif mark != "|":
+                open_ -= 1
+            if open_ == 0 or (mark == "|" and open_ == 1):
+                if since is not None:
+                    out.append(body[since : m.start()])
+                if open_ == 0:
+                    break
+                since = m.end()
+        return out
 
     def run(frames):
         for pdf in frames:
-            rows = [(k, f, v) for k, body in zip(pdf[key], pdf[text], strict=True) for f, v in values(body or "")]
+            rows = []
+            for k, body in zip(pdf[key], pdf[text], strict=True):
+                for p in parameters(body or ""):
+                    name, sign, value = p.partition("=")
+                    if sign and name.strip().lower() in wanted:
+                        rows.append((k, wanted[name.strip().lower()], value.strip()))
             yield pd.DataFrame(rows, columns=[key, "field", "value"])
 
     return pages.select(key, text).mapInPandas(run, schema)

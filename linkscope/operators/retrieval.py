@@ -54,37 +54,44 @@ def word_status(queries: DataFrame, df: DataFrame, banned: DataFrame) -> DataFra
     return j.select("qid", "pos", "word", status.alias("status"))
 
 
-def dense_search(queries: DataFrame, passages: DataFrame) -> DataFrame:
+def dense_search(queries: DataFrame, passages: DataFrame, skip_self: bool = False) -> DataFrame:
     """(qid, doc_id, score, passage, mean_score): best passage of each document and the
-    cosine with its mean vector. queries(qid, v), passages(passage, doc_id, v), unit rows.
-    Queries meet passages in blocks, of which each task multiplies one pair."""
+    cosine with its mean vector. queries(qid, v), passages(passage, doc_id, v), unit rows;
+    skip_self: a passage isn't an answer to the query of its own number.
+
+    Queries meet passages in blocks, of which each task multiplies one pair; a document's
+    passages may lie in many blocks, whose bests and sums are merged."""
     import numpy as np
     import pandas as pd
 
     nq, np_ = max(1, -(-queries.count() // 256)), max(1, -(-passages.count() // 2048))
     q = queries.withColumn("x", F.pmod(F.xxhash64("qid"), F.lit(nq))).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(np_ - 1).cast("bigint"))).alias("y"), "x", "qid", F.col("v").alias("vq"))
-    # a document's passages stay together
-    p = passages.withColumn("y", F.pmod(F.xxhash64("doc_id"), F.lit(np_))).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint"))).alias("x"), "y", "passage", "doc_id", "v")
-    empty = {"qid": "int64", "doc_id": "int64", "score": "float64", "passage": "int64", "mean_score": "float64"}
+    p = passages.withColumn("y", F.pmod(F.xxhash64("passage"), F.lit(np_))).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint"))).alias("x"), "y", "passage", "doc_id", "v")
+    empty = {"qid": "int64", "doc_id": "int64", "score": "float64", "passage": "int64", "total": "float64"}
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({k: pd.Series(dtype=t) for k, t in empty.items()})
         b = b.sort_values(["doc_id", "passage"])
         v = np.array(b["v"].tolist(), np.float64)
-        s = np.round(np.array(a["vq"].tolist(), np.float64) @ v.T, 9)
+        s = np.array(a["vq"].tolist(), np.float64) @ v.T
         docs, first = np.unique(b["doc_id"].to_numpy(), return_index=True)
+        total = np.add.reduceat(s, first, 1)
+        s = np.round(s, 9)
+        if skip_self:
+            s[a["qid"].to_numpy()[:, None] == b["passage"].to_numpy()] = -np.inf
         best = np.maximum.reduceat(s, first, 1)
         owner = np.repeat(np.arange(len(docs)), np.diff(np.append(first, len(b))))
         at = np.where(s == best[:, owner], np.arange(s.shape[1]), s.shape[1])
         at = np.minimum.reduceat(at, first, 1)
-        mean = np.add.reduceat(v, first, 0)
-        length = np.linalg.norm(mean, axis=1, keepdims=True)
-        ms = np.array(a["vq"].tolist(), np.float64) @ (mean / np.where(length > 0, length, 1)).T
         qid = np.repeat(a["qid"].to_numpy(), len(docs))
-        return pd.DataFrame({"qid": qid, "doc_id": np.tile(docs, len(a)), "score": best.ravel(), "passage": b["passage"].to_numpy()[at.ravel()], "mean_score": ms.ravel()})
+        return pd.DataFrame({"qid": qid, "doc_id": np.tile(docs, len(a)), "score": best.ravel(), "passage": b["passage"].to_numpy()[at.ravel()], "total": total.ravel()})
 
-    return q.groupBy("x", "y").cogroup(p.groupBy("x", "y")).applyInPandas(search, "qid long, doc_id long, score double, passage long, mean_score double")
+    found = q.groupBy("x", "y").cogroup(p.groupBy("x", "y")).applyInPandas(search, "qid long, doc_id long, score double, passage long, total double")
+    g = found.groupBy("qid", "doc_id").agg(F.max("score").alias("score"), F.min_by("passage", F.struct(-F.col("score"), "passage")).alias("passage"), F.sum("total").alias("total"))
+    length = passages.select("doc_id", F.posexplode("v").alias("i", "x")).groupBy("doc_id", "i").agg(F.sum("x").alias("x")).groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
+    own = g.filter(F.col("score") > float("-inf")).join(length.hint("merge"), "doc_id")
+    return own.select("qid", "doc_id", "score", "passage", F.coalesce(F.col("total") / F.nullif(F.col("len"), F.lit(0.0)), F.lit(0.0)).alias("mean_score"))
 
 
 def rank_of_target(scores: DataFrame, targets: DataFrame, by: list[str] = ()) -> DataFrame:

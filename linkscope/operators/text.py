@@ -94,6 +94,7 @@ def length_report(points: DataFrame, x: str, y: str) -> DataFrame:
     return c.crossJoin(F.broadcast(res)).select("n", "spearman", "slope", "spread")
 
 
+#: Fixed value: where a sentence ends.
 SENTENCE_GAP = "(?<=[.!?])\\s+(?=[A-Z\"'(\\[])"
 
 
@@ -184,9 +185,10 @@ def ngram_counts(docs: DataFrame, n: int = 2) -> DataFrame:
 
 
 def shingles(docs: DataFrame, width: int = 8) -> DataFrame:
-    """(doc_id, shingle): distinct runs of width tokens."""
+    """(doc_id, shingle): distinct runs of width tokens, as 64-bit hashes: eight times the
+    text would be shuffled otherwise."""
     t = docs.select("doc_id", tokens_of(F.col("text")).alias("t")).filter(F.size("t") >= width)
-    grams = F.transform(F.sequence(F.lit(1), F.size("t") - (width - 1)), lambda i: F.array_join(F.slice("t", i, width), " "))
+    grams = F.transform(F.sequence(F.lit(0), F.size("t") - width), lambda i: F.xxhash64(*[F.get("t", i + j) for j in range(width)]))
     return t.select("doc_id", F.explode(F.array_distinct(grams)).alias("shingle"))
 
 
@@ -212,9 +214,14 @@ def shingle_report(sh: DataFrame) -> DataFrame:
 
 def copy_pairs(sh: DataFrame, most: int = 4) -> DataFrame:
     """(a, b, shared): documents that share shingles found on 2 to most documents. A
-    shingle makes at most most * (most - 1) / 2 pairs."""
-    rare = sh.groupBy("shingle").agg(F.count("*").alias("df"), F.sort_array(F.collect_list("doc_id")).alias("on")).filter(F.col("df").between(2, most))
-    pairs = rare.select(F.explode(F.flatten(F.transform("on", lambda a: F.transform(F.filter("on", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
+    shingle makes at most most * (most - 1) / 2 pairs; a common one's documents are
+    counted before they are shuffled, and never gathered."""
+    from linkscope.plans.iterate import cut
+
+    sh = cut(sh)
+    rare = sh.groupBy("shingle").agg(F.count("*").alias("df")).filter(F.col("df").between(2, most)).select("shingle")
+    on = sh.join(rare.hint("merge"), "shingle").groupBy("shingle").agg(F.sort_array(F.collect_list("doc_id")).alias("on"))  # most rows at most
+    pairs = on.select(F.explode(F.flatten(F.transform("on", lambda a: F.transform(F.filter("on", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
     return pairs.select("p.*").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
@@ -236,13 +243,24 @@ def copy_clusters(pairs: DataFrame, least: int = 15) -> DataFrame:
     return connected_components(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), e)
 
 
-def similar_words(tokens: DataFrame, k: int = 10, max_df: int = 50) -> DataFrame:
-    """(word, other, contexts): words that stand in the same (left, right) contexts, the k
-    with most; contexts of more than max_df words say nothing and are left out."""
+#: Words of a context that one row of pairs is made from at once.
+CONTEXT_BLOCK = 200
+
+
+def similar_words(tokens: DataFrame, k: int = 10) -> DataFrame:
+    """(word, other, contexts): words that stand in the same (left, right) contexts, the k with
+    most of them, ties to the smaller word.
+
+    A context's words are cut into blocks, and each pair of blocks is paired by itself,
+    so that one of many words is spread over many tasks; pairs are counted before they
+    are shuffled."""
     w = Window.partitionBy("doc_id").orderBy("pos")
     c = tokens.select(F.col("token").alias("word"), F.lag("token").over(w).alias("l"), F.lead("token").over(w).alias("r")).filter("l is not null and r is not null").distinct()
-    c = c.withColumn("n", F.count("*").over(Window.partitionBy("l", "r"))).filter(F.col("n").between(2, max_df)).select("word", "l", "r")
-    p = c.join(c.withColumnRenamed("word", "other"), ["l", "r"]).filter("word <> other").groupBy("word", "other").agg(F.count("*").alias("contexts"))
+    sizes = c.groupBy("l", "r").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / CONTEXT_BLOCK).cast("int")).select("l", "r", "blocks")
+    c = c.join(sizes.hint("merge"), ["l", "r"]).withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int"))
+    a = c.select("l", "r", "word", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
+    b = c.select("l", "r", F.col("word").alias("other"), F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+    p = a.join(b.hint("merge"), ["l", "r", "x", "y"]).filter("word <> other").groupBy("word", "other").agg(F.count("*").alias("contexts"))
     return p.withColumn("i", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("contexts"), "other"))).filter(F.col("i") <= k).drop("i")
 
 

@@ -114,6 +114,18 @@ def unlinked(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
+def far_twins(pairs: DataFrame, links: DataFrame, lengths: DataFrame, floor: int, k: int) -> DataFrame:
+    """(a, b, cos): the k closest pairs of documents of lengths(doc_id, length) of floor or more
+    that neither a link nor two links in a row join: their distance is 3 or more, or
+    there is no way."""
+    e = links.select("a", "b").union(links.select("b", "a")).distinct()
+    two = e.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")).hint("merge"), "b").select("a", F.col("c").alias("b"))
+    near = e.union(two).filter("a < b").distinct()
+    long = lengths.filter(F.col("length") >= floor).select("doc_id")
+    p = pairs.join(long.withColumnRenamed("doc_id", "a").hint("merge"), "a", "left_semi").join(long.withColumnRenamed("doc_id", "b").hint("merge"), "b", "left_semi")
+    return p.join(near.hint("merge"), ["a", "b"], "left_anti").select("a", "b", "cos").orderBy(F.desc(F.round("cos", 9)), "a", "b").limit(k)
+
+
 def centroid_outliers(unit: DataFrame, n_docs: int) -> DataFrame:
     """(doc_id, cos): likeness to the mean of all documents."""
     mean = unit.groupBy("token").agg((F.sum("w") / n_docs).alias("m"))

@@ -20,27 +20,29 @@ TG = "tg AS (SELECT qid, min(doc_id) AS target FROM (SELECT b.item_id AS qid, d.
 
 
 def counts(spark, sf):
-    return T.term_counts(tok(spark, sf))
+    """Term counts, written: weights and frequencies derive from them, so texts are read once."""
+    return cut(T.term_counts(tok(spark, sf)))
 
 
-def unit(spark, sf):
-    return V.unit_rows(V.tfidf(counts(spark, sf), docs(spark, sf).count()))
+def unit(spark, sf, c=None):
+    return V.unit_rows(V.tfidf(counts(spark, sf) if c is None else c, docs(spark, sf).count()))
 
 
-def dfs(spark, sf):
-    return counts(spark, sf).groupBy("token").agg(F.count("*").alias("df"))
+def dfs(spark, sf, c=None):
+    return (counts(spark, sf) if c is None else c).groupBy("token").agg(F.count("*").alias("df"))
 
 
 def queries_(spark, sf):
     return read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-def weights(spark, sf):
-    return R.query_weights(queries_(spark, sf), dfs(spark, sf), docs(spark, sf).count())
+def weights(spark, sf, c=None):
+    return R.query_weights(queries_(spark, sf), dfs(spark, sf, c), docs(spark, sf).count())
 
 
-def scores(spark, sf):
-    return R.sparse_search(weights(spark, sf), unit(spark, sf))
+def scores(spark, sf, c=None):
+    c = counts(spark, sf) if c is None else c
+    return R.sparse_search(weights(spark, sf, c), unit(spark, sf, c))
 
 
 def targets(spark, sf):
@@ -190,13 +192,18 @@ def vs19(spark, sf):
     return R.binary_query_search(queries_(spark, sf), unit(spark, sf)).withColumn("score", r("score"))
 
 
-DENSE = "dq AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 = 0), ds AS (SELECT qid, p.vec_id AS passage, CAST(p.label AS BIGINT) AS doc_id, round(list_dot_product(v, CAST(p.embedding AS DOUBLE[])), 9) AS s FROM dq, embeddings p WHERE p.vec_id % 10 <> 0), db AS (SELECT qid, doc_id, max(s) AS score, first(passage ORDER BY s DESC, passage) AS passage FROM ds GROUP BY 1, 2)"
+DENSE = "dq AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0), ds AS (SELECT qid, p.vec_id AS passage, CAST(p.label AS BIGINT) AS doc_id, round(list_dot_product(v, CAST(p.embedding AS DOUBLE[])), 9) AS s FROM dq, embeddings p WHERE p.vec_id <> qid), db AS (SELECT qid, doc_id, max(s) AS score, first(passage ORDER BY s DESC, passage) AS passage FROM ds GROUP BY 1, 2)"
 
 
-def dense(spark, sf):
-    """Every tenth vector is a query (the query set), the rest are passages owned by their label."""
+def vectors(spark, sf):
+    """Queries and passages: every vector is a passage owned by its label, and those whose
+    number is divisible by 50 are the queries, which don't find themselves."""
     e = read(spark, sf, "embeddings")
-    return R.dense_search(e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), e.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("passage"), F.col("label").cast("long").alias("doc_id"), F.col("embedding").alias("v")))
+    return e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("passage"), F.col("label").cast("long").alias("doc_id"), F.col("embedding").alias("v"))
+
+
+def dense(spark, sf):
+    return R.dense_search(*vectors(spark, sf), skip_self=True)
 
 
 @query("vs20_dense_search", f"WITH {DENSE} SELECT qid, doc_id, round(score, 5) AS score, passage FROM db")
@@ -204,11 +211,11 @@ def vs20(spark, sf):
     return dense(spark, sf).select("qid", "doc_id", F.round("score", 5).alias("score"), "passage")
 
 
-DT = "dt AS (SELECT vec_id AS qid, CAST(label AS BIGINT) AS target FROM embeddings WHERE vec_id % 10 = 0), dr AS (SELECT dt.qid, target, count(*) FILTER (o.score >= t.score) AS rank FROM dt JOIN db t ON t.qid = dt.qid AND t.doc_id = target JOIN db o ON o.qid = dt.qid GROUP BY 1, 2)"
+DT = "dt AS (SELECT vec_id AS qid, CAST(label AS BIGINT) AS target FROM embeddings WHERE vec_id % 50 = 0), dr AS (SELECT dt.qid, target, count(*) FILTER (o.score >= t.score) AS rank FROM dt JOIN db t ON t.qid = dt.qid AND t.doc_id = target JOIN db o ON o.qid = dt.qid GROUP BY 1, 2)"
 
 
 def dense_targets(spark, sf):
-    return read(spark, sf, "embeddings").filter("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), F.col("label").cast("long").alias("target"))
+    return read(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("label").cast("long").alias("target"))
 
 
 def dense_ranks(spark, sf):
@@ -323,8 +330,8 @@ def vs36(spark, sf):
 
 @query("vs39_review_misses")
 def vs39(spark, sf):
-    """Items with an odd number stand for those that were reviewed, with the pick of that time."""
+    """What a search by distinct words picks stands for the picks that were reviewed."""
     s = cut(scores(spark, sf))
     picks = R.top_pick(s)
-    reviews = picks.filter("qid % 2 = 1").select("qid", F.col("doc_id").alias("pick"))
+    reviews = R.top_pick(R.binary_query_search(queries_(spark, sf), unit(spark, sf))).select("qid", F.col("doc_id").alias("pick"))
     return R.review_misses(R.rank_of_target(s, targets(spark, sf)), picks, reviews)

@@ -11,7 +11,7 @@ from linkscope.queries.graph import r
 from linkscope.queries.registry import query
 from linkscope.sources.fixtures import read
 
-STOP = ", ".join(f"'{w}'" for w in L.STOPWORDS)
+STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in L.STOPWORDS)
 TOK = "tok AS (SELECT doc_id, CAST(p - 1 AS INT) AS pos, lower(t) AS token FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS t, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+'), 1) AS p FROM documents))"
 RANKED = "c AS (SELECT token, count(*) AS n FROM tok GROUP BY token), rk AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS rank FROM c)"
 HEAPS = "firsts AS (SELECT token, min(doc_id) AS d FROM tok GROUP BY token), per AS (SELECT d.doc_id, (SELECT count(*) FROM tok t WHERE t.doc_id = d.doc_id) AS n, (SELECT count(*) FROM firsts f WHERE f.d = d.doc_id) AS k FROM documents d), hp AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank, CAST(sum(n) OVER (ORDER BY doc_id) AS BIGINT) AS tokens, CAST(sum(k) OVER (ORDER BY doc_id) AS BIGINT) AS types FROM per)"
