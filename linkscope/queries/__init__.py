@@ -7,4 +7,4 @@ __all__ = ["ORACLE_SQL", "QUERIES", "load"]
 
 def load() -> None:
     """Registers all queries."""
-    from linkscope.queries import evidence, graph, models, sets, tables, words  # noqa: F401
+    from linkscope.queries import evidence, graph, models, second, sets, tables, words  # noqa: F401

@@ -123,7 +123,7 @@ def vs6(spark, sf):
 @query("vs7_name_parts")
 def vs7(spark, sf):
     k = T.term_kinds(counts(spark, sf), names(spark, sf), docs(spark, sf).count())
-    return V.decompose_pairs(cut(unit(spark, sf)), k).filter("cos >= 0.3")
+    return V.decompose_pairs(cut(unit(spark, sf)), k).select("a", "b", *[r(c) for c in ("cos", "p_name", "p_habit", "p_other")], "verdict")
 
 
 @query("vs8_dial_cosine")
@@ -154,10 +154,10 @@ def vs12(spark, sf):
     return V.pair_top_terms(u, cut(V.cosine_pairs(u).filter("cos >= 0.3"))).withColumn("part", r("part"))
 
 
-@query("vs14_closest_unlinked", f"WITH {WT}, {COS} SELECT a, b, round(cos, 6) AS cos FROM cs JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE cos >= 0.3 AND x.source <> y.source")
+@query("vs14_closest_unlinked", f"WITH {WT}, {COS} SELECT a, b, round(cos, 6) AS cos FROM cs JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE x.source <> y.source")
 def vs14(spark, sf):
     d = docs(spark, sf).select("doc_id", "source")
-    p = cut(V.cosine_pairs(cut(unit(spark, sf))).filter("cos >= 0.3"))
+    p = cut(V.cosine_pairs(cut(unit(spark, sf))))
     same = p.join(d.select(F.col("doc_id").alias("a"), F.col("source").alias("x")), "a").join(d.select(F.col("doc_id").alias("b"), F.col("source").alias("y")), "b").filter("x = y")
     return V.unlinked(p, same).withColumn("cos", r("cos"))
 

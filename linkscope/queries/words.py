@@ -136,7 +136,7 @@ def tx15(spark, sf):
 @query("tx16_mask_terms")
 def tx16(spark, sf):
     d = docs(spark, sf)
-    return T.mask_terms(d, d.select("doc_id", F.substring("text", 1, 40).alias("title")))
+    return T.mask_terms(d, d.select("doc_id", F.substring_index("text", "\n", 1).alias("title")))
 
 
 @query("tx19_ngram_counts")
@@ -297,7 +297,7 @@ def fn(spark, sf):
 @query("fn_texts")
 def fnt(spark, sf):
     d = docs(spark, sf)
-    return d.select("doc_id", L.shorten(F.col("text"), 60).alias("short"), L.pretty_name(F.col("source")).alias("pretty"), L.alias_from_description(F.col("text")).alias("alias"), F.array_join(L.own_words(F.substring("text", 1, 80)), " ").alias("words"), F.regexp_count("text", F.lit(L.mention_regex("the"))).alias("mentions"))
+    return d.select("doc_id", L.shorten(F.col("text"), 60).alias("short"), L.pretty_name(F.col("source")).alias("pretty"), L.alias_from_description(F.col("text")).alias("alias"), F.array_join(L.own_words(F.substring_index("text", "\n", 1)), " ").alias("words"), F.regexp_count("text", F.lit(L.mention_regex("the"))).alias("mentions"))
 
 
 @query("ext11_spread_sample")
