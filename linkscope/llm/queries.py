@@ -80,6 +80,31 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+# What SQL can say of the operators' results, through the same operators.
+
+
+def base_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_near_duplicates(spark, sf_dir).select("doc_id", "n_shingles")
+
+
+def base_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, and the slots of each shard: as many as rows, from 0."""
+    got = op4_histogram_shards(spark, sf_dir)
+    return got.agg(F.count("*").alias("n"), F.sum("size").cast("long").alias("bytes"), F.count_distinct("shard", "slot").alias("places"), F.count_distinct("shard").alias("shards"))
+
+
+def base_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def base_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_quality_rules(spark, sf_dir).drop("kept", "p_good")
+
+
+def base_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_license_scan(spark, sf_dir).drop("labels", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_near_duplicates": op2_near_duplicates,
@@ -91,5 +116,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
+    "base_op2": base_op2,
+    "base_op4": base_op4,
+    "base_op8": base_op8,
+    "base_op9": base_op9,
+    "base_op10": base_op10,
+}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_PARTS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_BASE9 = f"""w AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS l FROM documents)),
+win AS (SELECT doc_id, i, k FROM (SELECT doc_id, i, string_agg(word, ' ') OVER x AS k, count(*) OVER x AS n FROM w WINDOW x AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) WHERE n = 8),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + j AS i FROM twice, range(8) t(j)) GROUP BY doc_id),
+wc AS (SELECT doc_id, count(*) AS n, CAST(sum(length(word)) AS BIGINT) AS c FROM w GROUP BY doc_id),
+ln AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id)"""
+_LABELS = "('cc-by', ['cc', 'by']), ('gpl', ['general', 'public', 'license']), ('reserved', ['all', 'rights', 'reserved'])"
+ORACLE_SQL: dict[str, str] = {
+    "base_op2": f"WITH w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS l FROM documents), s AS (SELECT DISTINCT doc_id, l[i] || ' ' || l[i + 1] AS s FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM w)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id) SELECT doc_id, CASE WHEN len(l) < 2 THEN len(l) ELSE n END AS n_shingles FROM w LEFT JOIN n USING (doc_id)",
+    "base_op4": "SELECT count(*) AS n, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes, count(*) AS places, CAST(8 AS BIGINT) AS shards FROM documents",
+    "base_op8": f"""WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")}) AS size FROM documents), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS z, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+c AS (SELECT source, z, 2.0 * z AS cap, CAST(CASE (k - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS w FROM s),
+l AS (SELECT *, (1.5 * (SELECT sum(z) FROM s) - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+t AS (SELECT source, z, least(cap, w * coalesce((SELECT arg_min(x.level, x.cap / x.w) FROM l x WHERE x.level * x.w <= x.cap), cap / w)) AS target FROM l)
+SELECT doc_id, size, z AS source_size, round(target, 4) AS target FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source""",
+    "base_op9": f"WITH {_BASE9}, c AS (SELECT doc_id, coalesce(wc.n, 0) AS n_words, coalesce(wc.c, 0) AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(ln.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM documents LEFT JOIN wc USING (doc_id) LEFT JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)) SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c",
+    "base_op10": f"WITH w AS (SELECT doc_id, {_PARTS.format(_LOWER)} AS l FROM documents), p AS (SELECT * FROM (VALUES {_LABELS}) v(label, ph)), h AS (SELECT doc_id, label, i - 1 AS pos FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM w) JOIN p ON l[i : i + len(ph) - 1] = ph), g AS (SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY doc_id) SELECT doc_id, len(l) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN g USING (doc_id)",
 }
-ORACLE_SQL: dict[str, str] = {}

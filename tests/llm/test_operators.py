@@ -112,6 +112,63 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert neardup.near_duplicates(odd.limit(0), 2).count() == 0
 
 
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    """Texts that only share an id aren't linked, and none is lost, whatever the order."""
+    rows = [(1, "alpha beta gamma delta", 1), (1, "one two three four", 2), (1, "one two three four", 3), (2, "one two three four", 4), (3, "alpha beta gamma delta", 5), (4, "", 6), (4, "", 7), (5, "x y", 8)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, extra long")
+    got = neardup.near_duplicates(table, 2).collect()
+    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got) == Counter({(1, 1, True): 3, (2, 1, False): 1, (3, 1, False): 1, (4, 4, True): 2, (5, 5, True): 1})
+    left = [Counter((r["doc_id"], r["text"]) for r in neardup.drop_near_duplicates(t, 2).collect()) for t in (table, table.orderBy(F.desc("extra")))]
+    assert left[0] == left[1] == Counter({(1, "alpha beta gamma delta"): 1, (1, "one two three four"): 1, (4, ""): 2, (5, "x y"): 1})
+
+
+def test_components_of_long_paths_and_stars(spark, monkeypatch):
+    """A path of a thousand takes one round of ten steps, a large star one of a single step."""
+    written = []
+    real = neardup.cut
+    monkeypatch.setattr(neardup, "cut", lambda df: written.append(1) or real(df))
+    path = spark.range(999).selectExpr("id as a", "id + 1 as b")
+    assert {r["component"] for r in neardup.components(path).collect()} == {0} and len(written) <= 16
+    written.clear()
+    star = spark.range(1, 50001).selectExpr("cast(0 as bigint) as a", "id as b")
+    assert neardup.components(star).filter("component = 0").count() == 50001 and len(written) <= 7
+    r = random.Random(2)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)]
+    edges = [(min(e), max(e)) for e in edges if e[0] != e[1]]
+    parent = list(range(300))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    assert {r["id"]: r["component"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()} == {x: find(x) for e in edges for x in e}
+
+
+def test_chances_of_losing_a_pair():
+    """Exact: of bands, and of sketches, whose samples each flip two bits if they differ."""
+    import numpy as np
+
+    assert (1 - 0.8**neardup.ROWS) ** neardup.BANDS < 5e-8
+    m, n, most = 64 * neardup.SKETCH_WORDS, neardup.SAMPLES, neardup.most_differing_bits()
+    odd, refused = np.zeros(m + 1), 0.0
+    odd[0] = 1
+    k = np.arange(m + 1)
+    from math import comb
+
+    for differ in range(n + 1):
+        refused += comb(n, differ) * 0.2**differ * 0.8 ** (n - differ) * odd[most + 1 :].sum()
+        for _ in range(2):
+            up = np.zeros(m + 1)
+            up[1:] += odd[:-1] * (m - k[:-1]) / m
+            up[:-1] += odd[1:] * k[1:] / m
+            odd = up
+    assert refused < 2.5e-8
+
+
 def test_odd_sketches_estimate():
     import numpy as np
 
@@ -141,6 +198,60 @@ def test_chat_round_trip(spark):
     assert out.count() == 4 and chat.format_conversations(log.limit(0)).count() == 0
 
 
+def naive_fold(events):
+    """Messages of one conversation's events, in sequence, by a list that is rewritten each time."""
+    messages = []  # [number, role, text]
+    opened = 0
+    for kind, ref, role, text in events:
+        text = text or ""
+        if kind in (None, "message", "start"):
+            messages.append([opened, role or "", text])
+            opened += 1
+            continue
+        found = [m for m in messages if m[0] == ref] if ref is not None else messages[-1:]
+        if not found:
+            continue
+        m = found[0]
+        if kind == "delta":
+            m[2] += text
+        elif kind == "edit":
+            m[2] = text
+        elif kind == "delete":
+            messages.remove(m)
+        elif kind == "regenerate":
+            m[2] = text
+            messages = [x for x in messages if x[0] <= m[0]]
+    return [(role, text) for _, role, text in messages]
+
+
+def test_chat_of_random_logs(spark):
+    """The fold against a naive one, and marks that stand exactly once a turn."""
+    r = random.Random(4)
+    said = ["###", "### assistant:\n", "</turn>\n", "x", "\\", "\\### A: </turn> ok", None, "####", "y " * 30000]
+    rows, want = [], {}
+    for c in range(120):
+        log = [(r.choice(["message", "start", "delta", "delta", "edit", "delete", "regenerate", "other", None]), r.choice([None, None, 0, 1, 2, 9]), r.choice(["user", "assistant", "a:\n", None]), r.choice(said[:-1] if c else said)) for _ in range(r.randrange(1, 14))]
+        rows += [(c, i, *e) for i, e in enumerate(log)]
+        want[c] = naive_fold(log)
+    r.shuffle(rows)
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, seq int, kind string, ref long, role string, text string"))
+    got = {c: [] for c in want}
+    for x in chat.parse_conversations(out).orderBy("conv_id", "turn").collect():
+        got[x["conv_id"]].append((x["role"], x["text"]))
+    assert got == want
+    for x in out.collect():
+        assert x["formatted"].count("###") == x["formatted"].count("</turn>") == len(want[x["conv_id"]])
+
+
+def test_chat_query_folds_events(spark):
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    kinds = {r["kind"]: r["count"] for r in chat.as_events(rows).groupBy("kind").count().collect()}
+    assert set(kinds) == {"start", "delta", "edit", "regenerate"}
+    repeated = spark.createDataFrame([(1, 0, "user", "same text"), (1, 0, "user", "same text"), (1, 1, "assistant", None), (None, 0, "user", "z")], rows.schema)
+    got = chat.parse_conversations(chat.format_conversations(chat.as_events(repeated))).orderBy("conv_id", "turn").collect()
+    assert [(r["conv_id"], r["role"], r["text"]) for r in got] == [(None, "user", "z"), (1, "user", "same text"), (1, "user", "same text"), (1, "assistant", "")]
+
+
 def test_chat_digests(spark):
     rows = spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect()
     said = {}
@@ -211,6 +322,45 @@ def test_imatch(spark, odd, texts):
     assert imatch.imatch(odd.limit(0)).count() == 0 and imatch.imatch(odd.limit(1)).count() == 1
 
 
+def test_imatch_by_brute_force(spark):
+    """Fingerprints and likeness from sets of terms: equal subsets have equal hashes."""
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [" ".join(r.choices(vocabulary, k=r.randrange(0, 90))) for _ in range(60)]
+    texts += [texts[0], "", "Only ÄB words"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in imatch.imatch(table).collect()}
+    lex = {x["term"] for x in imatch.lexicon(table.withColumn("tie", F.xxhash64("text"))).collect()}
+    words = sorted({lower(w) for t in texts for w in WORD.findall(t)})
+    code = {x["w"]: (x["h"], *[x[f"b{b}"] for b, _ in imatch.SCALES]) for x in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h"), *[F.xxhash64(F.xxhash64("w"), F.lit(b)).bitwiseAND((1 << b) - 1).alias(f"b{b}") for b, _ in imatch.SCALES]).collect()}
+    # the band: one of a group of copies counts
+    df = Counter(w for t in set(texts) for w in {lower(x) for x in WORD.findall(t)})
+    n = len(set(texts))
+    for w, (h, *_) in code.items():
+        assert (h in lex) == (max(2, imatch.MIN_SHARE * n) - 0.01 <= df[w] <= max(2, imatch.MAX_SHARE * n))
+
+    def subsets(t):
+        mine = {code[lower(w)] for w in WORD.findall(t)}
+        return [frozenset(h for h, *at in mine if h in lex and at[s] == i) for s, (_, m) in enumerate(imatch.SCALES) for i in range(m)]
+
+    def alike(a, b):
+        if a == b:
+            return 1.0
+        x, y = subsets(a), subsets(b)
+        some = sum(bool(p or q) for p, q in zip(x, y, strict=True))
+        return sum(bool(p) and p == q for p, q in zip(x, y, strict=True)) / some if some else 0.0
+
+    for i, t in enumerate(texts):
+        following = texts[(i + 1) % len(texts)]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        if any(lower(w) not in code for w in WORD.findall(edited)):
+            continue  # a word cut in two that no text has
+        assert got[i]["near_next"] == pytest.approx(alike(t, following)) and got[i]["near_edited"] == pytest.approx(alike(t, edited))
+        for j in range(i):
+            assert (got[i]["fingerprint"] == got[j]["fingerprint"]) == ((subsets(t) == subsets(texts[j]) and any(subsets(t))) or t == texts[j])
+
+
 def test_imatch_with_a_third_of_copies(spark):
     r = random.Random(5)
     vocabulary = [f"w{i}" for i in range(1500)]
@@ -264,6 +414,82 @@ def test_main_text(spark):
     assert pages.parse_html("<div>" * 5000 + "deep") and pages.blocks(pages.parse_html("<p>a<table><tr><td>b<td>c</table>d")) == ["a", "b", "c", "d"]
 
 
+def test_main_text_without_names(spark):
+    """Elements and classes disguised, or the article's own element gone: the same text."""
+    r = random.Random(6)
+    rows = [(x["page_id"], x["url"], x["html"]) for x in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    hosts = Counter(re.sub(r"^\w+://([^/?#]*).*", r"\1", u) for _, u, _ in rows)
+    rows = [x for x in rows if hosts[re.sub(r"^\w+://([^/?#]*).*", r"\1", x[1])] > 1]
+
+    def disguised(html, article):
+        html = html.replace("<article>", article).replace("</article>", "</div>" if article else "")
+        for tag in ("nav", "footer"):
+            html = html.replace(f"<{tag}>", f"<div class=x{r.randrange(10**6)}>").replace(f"</{tag}>", "</div>")
+        return html.replace('class="ad"', f'class="c{r.randrange(10**6)}"')
+
+    kind = "page_id long, url string, html string"
+    texts = lambda x: {p["page_id"]: p["text"] for p in pages.extract_main_text(spark.createDataFrame(x, kind)).collect()}
+    plain = texts(rows)
+    for article in ("<div>", ""):
+        assert texts([(i, u, disguised(h, article)) for i, u, h in rows]) == plain
+
+
+def test_main_text_drops_what_is_constant(spark):
+    """Inside an article too; a page's own text on such a place stays; copies tell nothing."""
+    shell = "<html><body><article><h1>On {0}</h1><p>Read our terms of use.</p><p>Story {0} begins.</p><p>It ends {0} times.</p></article></body></html>"
+    rows = [(i, "http://h.example/x", shell.format(i)) for i in range(8)] + [(8, "http://h.example/y", shell.format(8).replace("Read our terms of use.", "An own paragraph."))]
+    rows += [(20 + i, "http://copies.example/x", shell.format("all")) for i in range(5)]
+    rows += [(30, "http://h.example/long", shell.format(30).replace("begins", "begins " * 20_000)), (31, None, None), (31, None, None)]
+    got = [(x["page_id"], x["text"]) for x in pages.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    text = dict(got)
+    assert len(got) == len(rows) and text[3] == "On 3\n\nStory 3 begins.\n\nIt ends 3 times." and text[31] == ""
+    assert text[8] == "On 8\n\nAn own paragraph.\n\nStory 8 begins.\n\nIt ends 8 times."
+    assert text[22] == "On all\n\nRead our terms of use.\n\nStory all begins.\n\nIt ends all times." and len(text[30]) > 120_000
+    assert pages.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_network_by_loops():
+    """Scores by plain loops over bytes, and the training step's gradient by differences."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    net = convnet.ByteNet.start(5)
+    net.bias = r.normal(0, 0.3, convnet.FILTERS).astype(np.float32)
+    texts = [b"", b"abc", bytes(r.integers(1, 256, 700, dtype=np.uint8)), "Zürich ".encode() * 9]
+
+    def slow(raw):
+        stride, responses = convnet.CHUNK - convnet.OVERLAP, []
+        at = 0
+        while True:
+            chunk = raw[at : at + convnet.CHUNK].ljust(convnet.CHUNK, b"\0")
+            best = []
+            for f in range(convnet.FILTERS):
+                top = -1e9
+                for p in range(0, convnet.CHUNK - convnet.WIDTH + 1, convnet.STEP):
+                    s = sum(float(net.embed[chunk[p + i], d]) * float(net.filters[i * convnet.SIZE + d, f]) for i in range(convnet.WIDTH) for d in range(convnet.SIZE))
+                    top = max(top, s)
+                best.append(max(0.0, top + float(net.bias[f])))
+            responses.append(best)
+            at += stride
+            if at + convnet.OVERLAP >= len(raw):
+                break
+        x = np.array(responses)
+        z = float(np.concatenate([x.mean(0), x.max(0)]) @ net.weights) + net.offset
+        return 1 / (1 + np.exp(-z))
+
+    assert net.scores(texts) == pytest.approx([slow(t) for t in texts], abs=1e-4)
+    long = [b"word " * 40_000, b"x"]
+    assert net.scores(long)[0] == pytest.approx(net.scores(long[:1])[0])
+    good, bad = [b"fine prose here. " * 20] * 20, [b"$$$ buy now!!! " * 20] * 20
+    learned = convnet.train(good + bad, np.array([1.0] * 20 + [0.0] * 20), 0.5, epochs=30)
+    assert learned.scores(good[:1])[0] > 0.9 > 0.1 > learned.scores(bad[:1])[0]
+
+
+def test_classifier_of_no_documents(spark, odd):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert convnet.quality_scores(odd.limit(0), labels).count() == 0 and convnet.quality_scores(odd, labels).count() == len(ODD)
+
+
 def test_classifier(spark, odd):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     rows = queries.op7_quality_cnn(spark, "/root/testdata/sf0.01").collect()
@@ -346,6 +572,17 @@ def test_rules(spark, odd, texts):
         want = (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), windows(w))
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
         assert r["base_failed"] == (len(w) < 20 or 100 * want[4] > 30 * len(w)) and not (r["base_failed"] and r["kept"])
+    # the posterior from the counts, by loops over the rules
+    counted = rules.cut(rules.add_counts(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), keep_text=False))
+    model = rules.fit_votes(counted)
+    votes = {x["doc_id"]: [x[k] for k in rules.rules()] for x in counted.select("doc_id", *[v.alias(k) for k, v in rules.rules().items()]).collect()}
+    for r in queries.op9_quality_rules(spark, SF).collect():
+        good, bad = model.prior, 1 - model.prior
+        for i, v in enumerate(votes[r["doc_id"]]):
+            if v != rules.ABSTAIN:
+                good *= model.right_on_good[i] if v == rules.GOOD else 1 - model.right_on_good[i]
+                bad *= model.right_on_bad[i] if v == rules.BAD else 1 - model.right_on_bad[i]
+        assert r["p_good"] == pytest.approx(good / (good + bad), abs=1e-9) and r["kept"] == (not r["base_failed"] and r["p_good"] >= 0.5)
     got = rules.quality_verdicts(odd)
     assert got.count() == len(ODD) and got.filter("kept").count() == 0
     assert rules.quality_filter(odd).columns == odd.columns and rules.quality_verdicts(odd.limit(0)).count() == 0
@@ -375,6 +612,12 @@ def test_license(spark, odd, texts):
     assert license.license_scan(odd).count() == len(ODD) and license.license_scan(odd.limit(0)).count() == 0
 
 
+def test_license_counts_its_own_words(spark):
+    rows = [(1, "cc by a\0b"), (2, "\0"), (3, "a-b C+d")]
+    got = {r["doc_id"]: (r["n_words"], r["n_base"]) for r in license.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (4, 1), 2: (0, 0), 3: (4, 0)}
+
+
 def test_license_words_left_out(spark):
     bsd = "redistribution and use in source and binary forms with or without modification are permitted"
     one, two = bsd.replace(" or", ""), bsd.replace(" or without", "")
@@ -394,6 +637,23 @@ def test_license_words_left_out(spark):
     assert [(s["start"], s["stop"]) for s in got[4]["spans"]] == [(0, 13), (53, 65)]
 
 
+def test_pipeline_of_odd_rows(spark, odd, tmp_path):
+    """Odd rows, further columns and empty tables run through all stages."""
+    import corpus_pipeline
+
+    good = "The river runs past the old mill and the people of the town walk along it every evening, talking about the day. "
+    more = spark.createDataFrame([(10 + i, good * (i + 1) + f"Number {i} of these texts.", "en", "s" if i % 2 else None, 9, "v") for i in range(8)], odd.schema)
+    labels = spark.createDataFrame([(10, 1), (3, 0)], "doc_id long, quality int")
+    for name, docs in (("odd", odd.union(more)), ("none", odd.limit(0))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        at = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            at = stage(spark, at, str(tmp_path / name)).cache()
+            assert sorted(at.columns) == sorted(odd.columns)
+        assert corpus_pipeline.run(spark, str(tmp_path / name)).count() == at.count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
