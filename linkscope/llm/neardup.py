@@ -348,9 +348,12 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key
     The row that stays has the smallest doc_id, then the smallest hash of its text; of
     rows equal in both, one stays, by a hash of all its columns. Rows that are linked
     with nothing stay, so do those without a doc_id and those without words."""
-    found = cut(_components_of_rows(docs, width, percent, key, text).filter("component is not null").select("doc_id", "tie", "component"))
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "tie")).alias("x")).select("component", F.col("x.doc_id").alias("d"), F.col("x.tie").alias("t"))
-    gone = cut(found.join(first.hint("merge"), "component").filter("doc_id <> d or tie <> t").select(F.col("doc_id").alias("_gone"), F.col("tie").alias("_tie")).distinct())
+    found = cut(_components_of_rows(docs, width, percent, key, text).filter("component is not null").select("doc_id", "tie", "component", "component_id"))
+    # a row of the smallest doc_id stays, so only those of that id are compared within a component
+    heads = found.filter("doc_id = component_id")
+    first = heads.groupBy("component").agg(F.min("tie").alias("t"))
+    other = heads.join(first.hint("merge"), "component").filter("tie <> t")
+    gone = cut(found.filter("doc_id <> component_id").select("doc_id", "tie").union(other.select("doc_id", "tie")).distinct().select(F.col("doc_id").alias("_gone"), F.col("tie").alias("_tie")))
     side = F.broadcast(gone) if gone.count() <= FEW_IDS else gone.hint("merge")
     number, tie = F.col(f"`{key}`").cast("long"), F.xxhash64(F.col(f"`{text}`"))
     left = docs.join(side, (number == F.col("_gone")) & (tie == F.col("_tie")), "left_anti")
