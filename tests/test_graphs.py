@@ -115,3 +115,54 @@ def test_removal_curve_is_monotone(spark):
     order = spark.createDataFrame([(5, 1), (3, 2), (8, 3)], "node long, step int")
     c = [r["giant"] for r in B.removal_curve(n, e, order).orderBy("step").collect()]
     assert c == [5, 5, 2]
+
+
+def chain(spark, n, falling=False):
+    e = spark.range(1, n).selectExpr("id as src", "id + 1 as dst")
+    return spark.range(1, n + 1).selectExpr("id as node"), e.selectExpr("dst as src", "src as dst") if falling else e
+
+
+def test_components_of_a_long_path(spark):
+    n, e = chain(spark, 600)
+    assert S.connected_components(n, e).filter("component = 1").count() == 600
+
+
+def test_strong_components_lose_no_node(spark):
+    """A chain of falling ids: every node is trimmed, one after the other."""
+    n, e = chain(spark, 12, falling=True)
+    loop = e.union(spark.createDataFrame([(1, 3)], "src long, dst long"))
+    got = {r["node"]: r["component"] for r in S.strong_components(n, loop).collect()}
+    assert got == {i: 3 if i <= 3 else i for i in range(1, 13)}
+
+
+def test_swaps_that_nothing_allows(spark):
+    from linkscope.operators import nulls
+    from linkscope.plans.iterate import NotFinished
+
+    star = spark.range(1, 6).selectExpr("cast(0 as bigint) as src", "id as dst")
+    nulls.STALLED, before = 3, nulls.STALLED
+    try:
+        with pytest.raises(NotFinished):
+            nulls.swap_edges(star, 1, per_edge=1)
+    finally:
+        nulls.STALLED = before
+
+
+def test_swap_improve_ends_at_a_triangle(spark):
+    e = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (1, 4), (4, 5), (5, 6), (4, 6)], "a long, b long")
+    start = spark.createDataFrame([(1, 1), (1, 2), (1, 4)], "host long, node long")
+    got = sorted(r["node"] for r in M.swap_improve(e, start).collect())
+    assert got == [1, 2, 3]
+
+
+def test_blanks(spark):
+    """One sentence a word, the word in it exactly once and gone, decoys not in it."""
+    from linkscope.operators import relations as L
+
+    lines = spark.createDataFrame([(1, 0, "The stone wall and the stone path met"), (1, 1, "A Stone lay there"), (2, 0, "Water and river and cloud"), (2, 1, "mountains rise")], "doc_id long, pos int, sentence string")
+    targets = spark.createDataFrame([("stone", 8), ("river", 9), ("cloud", 10), ("water", 11), ("mountain", 12), ("forest", 13)], "token string, uses long")
+    got = {r["token"]: r for r in L.concordance_blanks(targets, lines).collect()}
+    assert "mountain" not in got and "forest" not in got
+    assert got["stone"]["blanked"] == "A ____ lay there" and len(got["stone"]["options"]) == 3 and "stone" not in got["stone"]["options"]
+    for word in ("river", "cloud", "water"):
+        assert set(got[word]["options"]) == {"stone", "mountain", "forest"} or word not in got
