@@ -72,14 +72,14 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-10, ma
     power iteration on the matrix plus the identity; not settled within max_rounds (of
     every steps each) is an error. Where steps are given, so many are taken (rounded up
     to whole rounds), settled or not: with two hubs alike the rest can take thousands."""
-    sym = cut(symmetrise(edges))
+    # the identity is a link of each node to itself, so that a step reads its state once
+    sym = cut(symmetrise(edges).union(nodes.select("node", "node")))
     n = nodes.count()
     taken = [0]
 
     def step(state: DataFrame, _: int) -> DataFrame:
         for _ in range(every):  # rounds that run as one job
-            came = sym.join(state.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("score").alias("in"))
-            state = state.join(came, "node", "left").select("node", (F.col("score") + F.coalesce("in", F.lit(0.0))).alias("score"))
+            state = sym.join(state.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("score").alias("score"))
         length = state.agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("length"))
         return state.crossJoin(F.broadcast(length)).select("node", (F.col("score") / F.col("length")).alias("score"))
 
