@@ -6,16 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkscope.operators.structure import average_rank
+from linkscope.plans.order import average_ranks, running
 
 
 def arrival_ranks(nodes: DataFrame, when: str = "year", name: str = "node") -> DataFrame:
-    """nodes with rank: by when (nulls last), then name. Spark sorts by range; ranks come
-    from the sizes of the ranges of when, so no task holds all nodes."""
-    w = Window.partitionBy(when).orderBy(name)
-    sizes = nodes.groupBy(F.col(when).alias("_w")).agg(F.count("*").alias("n"))
-    before = sizes.select("_w", (F.sum("n").over(Window.orderBy(F.col("_w").asc_nulls_last())) - F.col("n")).alias("before"))  # a row per distinct time
-    return nodes.withColumn("_r", F.row_number().over(w)).join(F.broadcast(before), F.col(when).eqNullSafe(F.col("_w"))).withColumn("rank", F.col("_r") + F.col("before")).drop("_r", "_w", "before")
+    """nodes with rank: by when (nulls last), then name. No task holds all nodes, nor all of one time."""
+    return running(nodes, [F.col(when).asc_nulls_last(), F.col(name)], rank=F.lit(1))
 
 
 def arrival_replay(ranked: DataFrame, edges: DataFrame) -> DataFrame:
@@ -32,7 +28,8 @@ def first_mover(ranked: DataFrame, value: str, when: str = "year", top: int = 10
     """(n, spearman, top_percentile): arrival against value among nodes with a time, and
     the mean arrival percentile of the top nodes by value."""
     known = ranked.filter(F.col(when).isNotNull())
-    c = known.select(average_rank(when).alias("a"), average_rank(value).alias("b")).agg(F.count("*").alias("n"), F.corr("a", "b").alias("spearman"))
+    both = average_ranks(average_ranks(known.select(when, value), when, "_a"), value, "_b")
+    c = both.select(F.col("_a").alias("a"), F.col("_b").alias("b")).agg(F.count("*").alias("n"), F.corr("a", "b").alias("spearman"))
     best = known.orderBy(F.desc(value), "node").limit(top).agg(F.avg("rank").alias("mean"))
     return c.crossJoin(F.broadcast(best)).select("n", "spearman", (100 * F.col("mean") / F.col("n")).alias("top_percentile"))
 

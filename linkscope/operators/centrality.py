@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkscope.operators.structure import bfs, cols, degrees, symmetrise
+from linkscope.operators.structure import cols, degrees, symmetrise
 from linkscope.plans.iterate import cut, iterate
 
 

@@ -13,6 +13,7 @@ from linkscope.functions.scalars import STOPWORDS
 from linkscope.operators.retrieval import dense_search, expected_score, fit_abstention, loo_abstention, retrieval_summary
 from linkscope.operators.text import tokens_of
 from linkscope.plans.iterate import cut
+from linkscope.plans.order import running
 
 
 def matched_overlap(queries: DataFrame, matches: DataFrame, stop: list[str] = STOPWORDS) -> DataFrame:
@@ -65,9 +66,9 @@ def engine_comparison(rows: DataFrame, ranks: DataFrame, weights: dict[str, floa
     left = []
     for e in engines:  # a few
         own = cut(rows.filter(F.col("engine") == e))
-        judged = own.join(loo_abstention(own, weights).select("qid", "abstains"), "qid")
+        judged = own.join(loo_abstention(own, weights).select("qid", "abstains").hint("merge"), "qid")
         left.append(expected_score(judged, weights).select(F.lit(e).alias("engine"), F.col("score").alias("left_out")))
-    return retrieval_summary(ranks, ["engine"]).join(fit, "engine").join(reduce(DataFrame.unionByName, left), "engine")
+    return retrieval_summary(ranks, ["engine"]).join(fit.hint("merge"), "engine").join(reduce(DataFrame.unionByName, left).hint("merge"), "engine")
 
 
 def hard_negatives(neighbours: DataFrame, pool: DataFrame, k: int) -> DataFrame:
@@ -80,7 +81,8 @@ def hard_negatives(neighbours: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("rank", "other"))).filter(F.col("r") <= k)
     near = cut(near.select("doc_id", "other", "r", F.lit("near").alias("kind")))
     n = inside.count()
-    ring = cut(inside.withColumn("i", F.row_number().over(Window.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")) - 1))
+    ring = running(inside, [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")], i=F.lit(1))
+    ring = cut(ring.withColumn("i", F.col("i") - 1))
     ahead = ring.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(2 * k))).alias("step"), "i").filter(F.col("step") < n)
     ahead = ahead.select("doc_id", "step", ((F.col("i") + F.col("step")) % n).alias("i")).join(ring.select("i", F.col("doc_id").alias("other")).hint("merge"), "i")
     fill = ahead.join(near.select("doc_id", "other").hint("merge"), ["doc_id", "other"], "left_anti").select("doc_id", "other", (F.col("step") + k).alias("r"), F.lit("random").alias("kind"))

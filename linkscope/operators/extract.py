@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkscope.plans.order import running
+
 LINK = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"
 HREF = r'href="([^"]*)"'
 NAMESPACES = "^(?:File|Image|Category|Template|Help|User|Talk|Special|Wikipedia):"
@@ -31,7 +33,7 @@ def normalise_title(raw: Column) -> Column:
 def resolve_redirects(links: DataFrame, redirects: DataFrame, title: str = "title") -> DataFrame:
     """links with landing: the redirect's end, else the title. redirects(source, landing)."""
     r = redirects.select(F.col("source").alias(title), F.col("landing").alias("_to"))
-    return links.join(r, title, "left").withColumn("landing", F.coalesce("_to", title)).drop("_to")
+    return links.join(r.hint("merge"), title, "left").withColumn("landing", F.coalesce("_to", title)).drop("_to")
 
 
 def infobox_kind(text: Column) -> Column:
@@ -97,29 +99,27 @@ def filter_candidates(rows: DataFrame, reasons: dict[str, Column]) -> DataFrame:
 def merge_rosters(a: DataFrame, b: DataFrame) -> DataFrame:
     """(key, side): first, second or both."""
     x, y = a.select("key").distinct().withColumn("x", F.lit(1)), b.select("key").distinct().withColumn("y", F.lit(1))
-    return x.join(y, "key", "full").select("key", F.when(F.col("y").isNull(), "first").when(F.col("x").isNull(), "second").otherwise("both").alias("side"))
+    return x.join(y.hint("merge"), "key", "full").select("key", F.when(F.col("y").isNull(), "first").when(F.col("x").isNull(), "second").otherwise("both").alias("side"))
 
 
 def build_edges(links: DataFrame, roster: DataFrame) -> DataFrame:
     """Distinct (src, dst) with dst in roster(node), without self-links."""
-    return links.join(roster.select(F.col("node").alias("dst")), "dst", "left_semi").filter("src <> dst").select("src", "dst").distinct()
+    return links.join(roster.select(F.col("node").alias("dst")).hint("merge"), "dst", "left_semi").filter("src <> dst").select("src", "dst").distinct()
 
 
 def edge_set_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """(src, n_left, n_right, shared, jaccard) of two edge sets."""
-    j = left.withColumn("l", F.lit(1)).join(right.withColumn("r", F.lit(1)), ["src", "dst"], "full")
+    j = left.withColumn("l", F.lit(1)).join(right.withColumn("r", F.lit(1)).hint("merge"), ["src", "dst"], "full")
     both = F.col("l").isNotNull() & F.col("r").isNotNull()
     return j.groupBy("src").agg(F.count("l").alias("n_left"), F.count("r").alias("n_right"), F.sum(both.cast("long")).alias("shared"), (F.sum(both.cast("long")) / F.count("*")).alias("jaccard"))
 
 
 def spread_sample(rows: DataFrame, score: str, n: int, key: str = "node") -> DataFrame:
     """A fixed sample: half the highest scores, a third around the middle, the rest from the lowest."""
-    from pyspark.sql.window import Window
-
     total = rows.count()
     top, mid = n // 2, n // 3
     low = n - top - mid
-    ranked = rows.withColumn("i", F.row_number().over(Window.orderBy(F.desc(score), key)))
+    ranked = running(rows, [F.desc(score), F.col(key)], i=F.lit(1))
     start = max(top, total // 2 - mid // 2)
     return ranked.filter((F.col("i") <= top) | F.col("i").between(start + 1, start + mid) | (F.col("i") > total - low)).drop("i")
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkscope.operators.structure import average_rank
 from linkscope.operators.text import tokens_of
+from linkscope.plans.order import average_ranks
 
 
 def query_weights(queries: DataFrame, df: DataFrame, n_docs: int) -> DataFrame:
@@ -15,15 +15,15 @@ def query_weights(queries: DataFrame, df: DataFrame, n_docs: int) -> DataFrame:
     t = queries.select("qid", F.explode(tokens_of(F.col("text"))).alias("token"))
     c = t.groupBy("qid", "token").agg(F.count("*").alias("tf"))
     length = t.groupBy("qid").agg(F.count("*").alias("n"))
-    w = c.join(df, "token").join(length, "qid").select("qid", "token", (F.col("tf") / F.col("n") * F.log(n_docs / F.col("df"))).alias("w"))
+    w = c.join(df.hint("merge"), "token").join(length.hint("merge"), "qid").select("qid", "token", (F.col("tf") / F.col("n") * F.log(n_docs / F.col("df"))).alias("w"))
     norm = w.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return w.join(norm, "qid").select("qid", "token", (F.col("w") / F.nullif(F.col("len"), F.lit(0.0))).alias("w"))
+    return w.join(norm.hint("merge"), "qid").select("qid", "token", (F.col("w") / F.nullif(F.col("len"), F.lit(0.0))).alias("w"))
 
 
 def contributions(query_w: DataFrame, unit: DataFrame) -> DataFrame:
     """(qid, doc_id, token, part): what each word adds to a cosine."""
     q = query_w.select("qid", "token", F.col("w").alias("wq")).filter("wq <> 0")
-    return q.join(unit.filter("w <> 0"), "token").select("qid", "doc_id", "token", (F.col("wq") * F.col("w")).alias("part"))
+    return q.join(unit.filter("w <> 0").hint("merge"), "token").select("qid", "doc_id", "token", (F.col("wq") * F.col("w")).alias("part"))
 
 
 def sparse_search(query_w: DataFrame, unit: DataFrame) -> DataFrame:
@@ -34,22 +34,22 @@ def sparse_search(query_w: DataFrame, unit: DataFrame) -> DataFrame:
 def unknown_words(queries: DataFrame, df: DataFrame) -> DataFrame:
     """(qid, token): query words of no document."""
     t = queries.select("qid", F.explode(F.array_distinct(tokens_of(F.col("text")))).alias("token"))
-    return t.join(df, "token", "left_anti")
+    return t.join(df.hint("merge"), "token", "left_anti")
 
 
 def binary_query_search(queries: DataFrame, unit: DataFrame) -> DataFrame:
     """(qid, doc_id, score): summed weights of the distinct query words over the root of their number."""
     t = queries.select("qid", F.explode(F.array_distinct(tokens_of(F.col("text")))).alias("token"))
-    known = t.join(unit.select("token").distinct(), "token", "left_semi")
+    known = t.join(unit.select("token").distinct().hint("merge"), "token", "left_semi")
     n = known.groupBy("qid").agg(F.count("*").alias("n"))
-    return known.join(unit, "token").groupBy("qid", "doc_id").agg(F.sum("w").alias("s")).join(n, "qid").select("qid", "doc_id", (F.col("s") / F.sqrt("n")).alias("score"))
+    return known.join(unit.hint("merge"), "token").groupBy("qid", "doc_id").agg(F.sum("w").alias("s")).join(n.hint("merge"), "qid").select("qid", "doc_id", (F.col("s") / F.sqrt("n")).alias("score"))
 
 
 def word_status(queries: DataFrame, df: DataFrame, banned: DataFrame) -> DataFrame:
     """(qid, pos, word, status): ok, unknown, banned, duplicate or invalid."""
     w = queries.select("qid", F.posexplode(F.split(F.lower(F.trim(F.coalesce("text", F.lit("")))), "\\s+")).alias("pos", "word"))
     first = F.min("pos").over(Window.partitionBy("qid", "word"))
-    j = w.withColumn("first", first).join(df.select(F.col("token").alias("word"), F.lit(True).alias("known")), "word", "left").join(banned.select("qid", F.col("token").alias("word"), F.lit(True).alias("ban")), ["qid", "word"], "left")
+    j = w.withColumn("first", first).join(df.select(F.col("token").alias("word"), F.lit(True).alias("known")).hint("merge"), "word", "left").join(banned.select("qid", F.col("token").alias("word"), F.lit(True).alias("ban")).hint("merge"), ["qid", "word"], "left")
     status = F.when(F.col("word") == "", "empty").when(~F.col("word").rlike("^[a-z]+$"), "invalid").when(F.col("ban"), "banned").when(F.col("pos") > F.col("first"), "duplicate").when(F.col("known").isNull(), "unknown").otherwise("ok")
     return j.select("qid", "pos", "word", status.alias("status"))
 
@@ -96,8 +96,8 @@ def dense_search(queries: DataFrame, passages: DataFrame, skip_self: bool = Fals
 
 def rank_of_target(scores: DataFrame, targets: DataFrame, by: list[str] = ()) -> DataFrame:
     """(qid, target, rank): from 1, a tie counting against the target; null if it has no score."""
-    t = targets.select("qid", "target").join(scores.select(*by, "qid", F.col("doc_id").alias("target"), F.round("score", 9).alias("own")), ["qid", "target"], "left")
-    j = t.join(scores.select(*by, "qid", F.round("score", 9).alias("s")), [*by, "qid"], "left")
+    t = targets.select("qid", "target").join(scores.select(*by, "qid", F.col("doc_id").alias("target"), F.round("score", 9).alias("own")).hint("merge"), ["qid", "target"], "left")
+    j = t.join(scores.select(*by, "qid", F.round("score", 9).alias("s")).hint("merge"), [*by, "qid"], "left")
     return j.groupBy(*by, "qid", "target").agg(F.when(F.max("own").isNotNull(), F.sum((F.col("s") >= F.col("own")).cast("long"))).alias("rank"))
 
 
@@ -110,7 +110,7 @@ def retrieval_summary(ranks: DataFrame, by: list[str]) -> DataFrame:
 def paired_compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """(worse, same, better) of b against a on the same queries; a missing rank is last."""
     last = F.lit(2**62)
-    j = a.select("qid", F.coalesce("rank", last).alias("x")).join(b.select("qid", F.coalesce("rank", last).alias("y")), "qid")
+    j = a.select("qid", F.coalesce("rank", last).alias("x")).join(b.select("qid", F.coalesce("rank", last).alias("y")).hint("merge"), "qid")
     n = lambda c: F.sum(c.cast("long"))
     return j.agg(n(F.col("y") > F.col("x")).alias("worse"), n(F.col("y") == F.col("x")).alias("same"), n(F.col("y") < F.col("x")).alias("better"))
 
@@ -157,13 +157,13 @@ def loo_abstention(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     The rows are a labelled query set, each left out once."""
     others = rows.select(F.col("qid").alias("left_out")).crossJoin(rows).filter("left_out <> qid")
     t = fit_abstention(others, weights, ["left_out"])
-    return rows.join(t, rows.qid == t.left_out).select("qid", "threshold", (F.col("value") < F.col("threshold")).alias("abstains"))
+    return rows.join(t.hint("merge"), rows.qid == t.left_out).select("qid", "threshold", (F.col("value") < F.col("threshold")).alias("abstains"))
 
 
 def confidence_report(rows: DataFrame, value: str = "value") -> DataFrame:
     """(auc, median_right, median_wrong): chance that a right answer's value is above a
     wrong one's, ties half."""
-    r = rows.select(F.col("correct"), F.col(value).alias("v"), average_rank(value).alias("rk"))
+    r = average_ranks(rows.select("correct", F.col(value).alias("v")), "v", "rk")
     np_, nn = F.sum(F.col("correct").cast("long")), F.sum((~F.col("correct")).cast("long"))
     auc = (F.sum(F.when(F.col("correct"), F.col("rk")).otherwise(0.0)) - np_ * (np_ + 1) / 2) / F.nullif(np_ * nn, F.lit(0))
     return r.agg(auc.alias("auc"), F.median(F.when(F.col("correct"), F.col("v"))).alias("median_right"), F.median(F.when(~F.col("correct"), F.col("v"))).alias("median_wrong"))
@@ -177,7 +177,7 @@ def top_pick(scores: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def carrier_word(parts: DataFrame, picks: DataFrame) -> DataFrame:
     """(qid, doc_id, token, share): the word that carried each pick and its share of the score."""
-    p = parts.join(picks.select("qid", "doc_id"), ["qid", "doc_id"])
+    p = parts.join(picks.select("qid", "doc_id").hint("merge"), ["qid", "doc_id"])
     w = Window.partitionBy("qid", "doc_id")
     r = p.withColumn("share", F.col("part") / F.sum("part").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc(F.round("part", 9)), "token")))
     return r.filter("r = 1").select("qid", "doc_id", "token", "share")
@@ -189,7 +189,7 @@ def query_leak_check(queries: DataFrame, counts: DataFrame, targets: DataFrame,
     t = queries.select("qid", F.explode(F.array_distinct(tokens_of(F.col("text")))).alias("token")).filter(~F.col("token").isin(list(stop)))
     df = counts.groupBy("token").agg(F.count("*").alias("df"))
     on = counts.select(F.col("doc_id").alias("target"), "token").withColumn("hit", F.lit(1))
-    j = t.join(targets.select("qid", "target"), "qid").join(df, "token", "left").join(on, ["target", "token"], "left")
+    j = t.join(targets.select("qid", "target").hint("merge"), "qid").join(df.hint("merge"), "token", "left").join(on.hint("merge"), ["target", "token"], "left")
     g = j.groupBy("qid", "target").agg(F.count("*").alias("words"), F.count("hit").alias("on_target"), F.sum((F.col("hit").isNotNull() & (F.col("df") <= rare)).cast("long")).alias("rare_on_target"))
     return g.withColumn("level", F.when(F.col("rare_on_target") >= 2, "leaks").when(F.col("rare_on_target") == 1, "weak").otherwise("none"))
 
@@ -221,13 +221,13 @@ def early_commit(steps: DataFrame, least: int = 2, factor: float = 2.0) -> DataF
 def review_misses(ranks: DataFrame, picks: DataFrame, reviews: DataFrame) -> DataFrame:
     """(qid, state): reviewed, unreviewed or stale: misses of a ranking against
     reviews(qid, pick), which count only with the same pick."""
-    misses = ranks.filter("rank is null or rank > 1").join(picks.select("qid", F.col("doc_id").alias("now")), "qid", "left")
-    j = misses.select("qid", "now", F.lit(True).alias("miss")).join(reviews, "qid", "full")
+    misses = ranks.filter("rank is null or rank > 1").join(picks.select("qid", F.col("doc_id").alias("now")).hint("merge"), "qid", "left")
+    j = misses.select("qid", "now", F.lit(True).alias("miss")).join(reviews.hint("merge"), "qid", "full")
     return j.select("qid", F.when(F.col("miss").isNull() | (F.col("pick").isNotNull() & ~F.col("pick").eqNullSafe(F.col("now"))), "stale").when(F.col("pick").isNull(), "unreviewed").otherwise("reviewed").alias("state"))
 
 
 def candidate_pools(lengths: DataFrame, floor: int, best: DataFrame, n: int) -> DataFrame:
     """(pool, doc_id): "full": documents above a length; "famous": the n of highest best(doc_id, score) among them."""
     full = lengths.filter(F.col("length") >= floor).select(F.lit("full").alias("pool"), "doc_id")
-    famous = best.join(full.select("doc_id"), "doc_id", "left_semi").orderBy(F.desc("score"), "doc_id").limit(n).select(F.lit("famous").alias("pool"), "doc_id")
+    famous = best.join(full.select("doc_id").hint("merge"), "doc_id", "left_semi").orderBy(F.desc("score"), "doc_id").limit(n).select(F.lit("famous").alias("pool"), "doc_id")
     return full.union(famous)

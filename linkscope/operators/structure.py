@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkscope.plans.iterate import cut, discard, iterate
+from linkscope.plans.order import average_ranks
 
 
 def cols(by: list[str], *more: str) -> list[str]:
@@ -95,7 +96,7 @@ def ccdf_band(values: DataFrame, value: str, run: str, k_max: int) -> DataFrame:
     sizes = values.filter(F.col(value) > 0).groupBy(run).agg(F.count("*").alias("n"))
     grid = values.filter(F.col(value) > 0).select(run, F.explode(F.sequence(F.lit(1), F.least(F.col(value), F.lit(k_max)).cast("int"))).alias("k")).groupBy(run, "k").agg(F.count("*").alias("c"))
     every = sizes.select(run, "n", F.explode(F.sequence(F.lit(1), F.lit(k_max))).alias("k"))
-    p = every.join(grid, [run, "k"], "left").select("k", (F.coalesce("c", F.lit(0)) / F.col("n")).alias("p"))
+    p = every.join(grid.hint("merge"), [run, "k"], "left").select("k", (F.coalesce("c", F.lit(0)) / F.col("n")).alias("p"))
     return p.groupBy("k").agg(*[F.percentile("p", x).alias(f"p{int(100 * x):02d}") for x in (0.05, 0.5, 0.95)])
 
 
@@ -114,7 +115,10 @@ def average_rank(value: str, by: list[str] = ()) -> Column:
 def correlations(rows: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
     """(n, pearson, spearman, t): t is Spearman's statistic, referred to Student's t
     with n - 2 degrees of freedom."""
-    ranked = rows.select(*by, x, y, average_rank(x, by).alias("rx"), average_rank(y, by).alias("ry"))
+    if by:
+        ranked = rows.select(*by, x, y, average_rank(x, by).alias("rx"), average_rank(y, by).alias("ry"))
+    else:
+        ranked = average_ranks(average_ranks(rows.select(x, y), x, "rx"), y, "ry")
     c = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("rx", "ry").alias("spearman"))
     return c.withColumn("t", F.col("spearman") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("spearman") * F.col("spearman"), F.lit(0.0))))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkscope.functions.scalars import STOPWORDS, seeded
-from linkscope.operators.structure import average_rank, connected_components
+from linkscope.operators.structure import connected_components
+from linkscope.plans.order import average_ranks, running
 
 LETTERS = "[A-Za-z]+"
 
@@ -63,11 +64,10 @@ def zipf_slope(ranked: DataFrame, top: int | None = None) -> DataFrame:
 
 def heaps_curve(tokens: DataFrame, order: DataFrame) -> DataFrame:
     """(doc_id, rank, tokens, types) seen up to each document of order(doc_id, rank)."""
-    per = order.join(tokens.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left")
-    first = tokens.join(order, "doc_id").groupBy("token").agg(F.min("rank").alias("rank")).groupBy("rank").agg(F.count("*").alias("new"))
-    w = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)  # a row per document
-    j = per.join(first, "rank", "left")
-    return j.select("doc_id", "rank", F.sum(F.coalesce("n", F.lit(0))).over(w).alias("tokens"), F.sum(F.coalesce("new", F.lit(0))).over(w).alias("types"))
+    per = order.join(tokens.groupBy("doc_id").agg(F.count("*").alias("n")).hint("merge"), "doc_id", "left")
+    first = tokens.join(order.hint("merge"), "doc_id").groupBy("token").agg(F.min("rank").alias("rank")).groupBy("rank").agg(F.count("*").alias("new"))
+    j = per.join(first.hint("merge"), "rank", "left")
+    return running(j, [F.col("rank")], tokens=F.col("n"), types=F.col("new")).select("doc_id", "rank", "tokens", "types")
 
 
 def heaps_exponent(curve: DataFrame) -> DataFrame:
@@ -77,11 +77,11 @@ def heaps_exponent(curve: DataFrame) -> DataFrame:
 
 
 def new_type_rate(curve: DataFrame) -> DataFrame:
-    """(doc_id, rank, rate): new types per 1000 tokens of each document."""
-    w = Window.orderBy("rank")
-    d_types = F.col("types") - F.lag("types", 1, 0).over(w)
-    d_tokens = F.col("tokens") - F.lag("tokens", 1, 0).over(w)
-    return curve.select("doc_id", "rank", (1000 * d_types / F.nullif(d_tokens, F.lit(0))).alias("rate"))
+    """(doc_id, rank, rate): new types per 1000 tokens of each document. Ranks follow on each other."""
+    last = curve.select((F.col("rank") + 1).alias("rank"), F.col("types").alias("_types"), F.col("tokens").alias("_tokens"))
+    d_types = F.col("types") - F.coalesce("_types", F.lit(0))
+    d_tokens = F.col("tokens") - F.coalesce("_tokens", F.lit(0))
+    return curve.join(last.hint("merge"), "rank", "left").select("doc_id", "rank", (1000 * d_types / F.nullif(d_tokens, F.lit(0))).alias("rate"))
 
 
 def length_report(points: DataFrame, x: str, y: str) -> DataFrame:
@@ -90,7 +90,7 @@ def length_report(points: DataFrame, x: str, y: str) -> DataFrame:
     p = points.filter((F.col(x) > 0) & (F.col(y) > 0)).select(F.log10(x).alias("lx"), F.log10(y).alias("ly"))
     fit = p.agg(F.regr_slope("ly", "lx").alias("slope"), F.regr_intercept("ly", "lx").alias("intercept"))
     res = p.crossJoin(F.broadcast(fit)).agg(F.stddev_pop(F.col("ly") - F.col("intercept") - F.col("slope") * F.col("lx")).alias("spread"), F.max("slope").alias("slope"))
-    c = p.select(average_rank("lx").alias("a"), average_rank("ly").alias("b")).agg(F.count("*").alias("n"), F.corr("a", "b").alias("spearman"))
+    c = average_ranks(average_ranks(p.select("lx", "ly"), "lx", "a"), "ly", "b").agg(F.count("*").alias("n"), F.corr("a", "b").alias("spearman"))
     return c.crossJoin(F.broadcast(res)).select("n", "spearman", "slope", "spread")
 
 
@@ -148,7 +148,7 @@ def name_words(caps: DataFrame, titles: DataFrame, stop: list[str] = STOPWORDS)
     sentences are capitalised; "title": a title word, capitalised in a fifth of all
     uses or seen less than 20 times. titles(token). Stopwords never are."""
     t = titles.select("token").distinct().withColumn("title", F.lit(True))
-    j = caps.filter(~F.col("token").isin(list(stop))).join(t, "token", "left")
+    j = caps.filter(~F.col("token").isin(list(stop))).join(t.hint("merge"), "token", "left")
     capital = 2 * F.col("mid_capitals") > F.col("mid_uses")
     title = F.col("title") & ((5 * F.col("capitals") >= F.col("uses")) | (F.col("uses") < 20))
     return j.withColumn("reason", F.when(capital, "capital").when(title, "title")).filter("reason is not null").select("token", "reason")
@@ -157,7 +157,7 @@ def name_words(caps: DataFrame, titles: DataFrame, stop: list[str] = STOPWORDS)
 def term_kinds(counts: DataFrame, names: DataFrame, n_docs: int, stop: list[str] = STOPWORDS) -> DataFrame:
     """(token, df, kind): name, habit (a stopword, or on a third of the documents), or other."""
     df = counts.groupBy("token").agg(F.count("*").alias("df"))
-    j = df.join(names.select("token", F.lit(True).alias("named")), "token", "left")
+    j = df.join(names.select("token", F.lit(True).alias("named")).hint("merge"), "token", "left")
     habit = F.col("token").isin(list(stop)) | (F.col("df") >= -(-n_docs // 3))
     return j.select("token", "df", F.when(F.col("named"), "name").when(habit, "habit").otherwise("other").alias("kind"))
 
@@ -195,8 +195,8 @@ def shingles(docs: DataFrame, width: int = 8) -> DataFrame:
 def copy_guard(texts: DataFrame, corpus: DataFrame, run: int = 9) -> DataFrame:
     """texts(doc_id, text) that share a run of tokens with the corpus, or equal one."""
     a, b = shingles(texts, run), shingles(corpus, run)
-    shared = a.join(b.select("shingle").distinct(), "shingle", "left_semi").select("doc_id").distinct()
-    same = texts.join(corpus.select("text").distinct(), "text", "left_semi").select("doc_id")
+    shared = a.join(b.select("shingle").distinct().hint("merge"), "shingle", "left_semi").select("doc_id").distinct()
+    same = texts.join(corpus.select("text").distinct().hint("merge"), "text", "left_semi").select("doc_id")
     return shared.union(same).distinct()
 
 
@@ -230,8 +230,8 @@ def longest_shared_run(docs: DataFrame, pairs: DataFrame, width: int = 8) -> Dat
     Matching shingles lie on diagonals; a run of m consecutive ones has m + width - 1 tokens."""
     t = docs.select("doc_id", tokens_of(F.col("text")).alias("t")).filter(F.size("t") >= width)
     pos = t.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - (width - 1)), lambda i: F.xxhash64(F.array_join(F.slice("t", i, width), " ")))).alias("p", "h"))
-    x = pairs.select("a", "b").join(pos.select(F.col("doc_id").alias("a"), F.col("p").alias("pa"), "h"), "a")
-    m = x.join(pos.select(F.col("doc_id").alias("b"), F.col("p").alias("pb"), "h"), ["b", "h"]).withColumn("diagonal", F.col("pa") - F.col("pb"))
+    x = pairs.select("a", "b").join(pos.select(F.col("doc_id").alias("a"), F.col("p").alias("pa"), "h").hint("merge"), "a")
+    m = x.join(pos.select(F.col("doc_id").alias("b"), F.col("p").alias("pb"), "h").hint("merge"), ["b", "h"]).withColumn("diagonal", F.col("pa") - F.col("pb"))
     w = Window.partitionBy("a", "b", "diagonal").orderBy("pa")
     island = m.withColumn("i", F.col("pa") - F.row_number().over(w)).groupBy("a", "b", "diagonal", "i").agg(F.count("*").alias("n"))
     return island.groupBy("a", "b").agg((F.max("n") + (width - 1)).alias("run"))
@@ -268,9 +268,9 @@ def term_tables(counts: DataFrame, n_docs: int, top: int = 10, stop: list[str] =
     """(doc_id, weighting, token, weight, rank): top terms raw, without stopwords, and by
     count * ln(N / df) among counts of two or more."""
     if masks is not None:
-        counts = counts.join(masks, ["doc_id", "token"], "left_anti")
+        counts = counts.join(masks.hint("merge"), ["doc_id", "token"], "left_anti")
     df = counts.groupBy("token").agg(F.count("*").alias("df"))
-    c = counts.join(df, "token")
+    c = counts.join(df.hint("merge"), "token")
     raw = c.select("doc_id", F.lit("raw").alias("weighting"), "token", F.col("tf").cast("double").alias("weight"))
     plain = raw.filter(~F.col("token").isin(list(stop))).withColumn("weighting", F.lit("plain"))
     tfidf = c.filter("tf >= 2").select("doc_id", F.lit("tfidf"), "token", F.round(F.col("tf") * F.log(n_docs / F.col("df")), 9))
@@ -289,7 +289,7 @@ def quota_match(candidates: DataFrame, reference: DataFrame, value: str, seed: i
     """Candidates picked by seed so that each value is taken as often as in reference, as far as there are any."""
     quota = reference.groupBy(value).agg(F.count("*").alias("quota"))
     w = Window.partitionBy(value).orderBy(seeded(seed, key))
-    return candidates.withColumn("i", F.row_number().over(w)).join(quota, value).filter("i <= quota").drop("i", "quota")
+    return candidates.withColumn("i", F.row_number().over(w)).join(quota.hint("merge"), value).filter("i <= quota").drop("i", "quota")
 
 
 def audit_sample(rows: DataFrame, label: str, n: int, seed: int, key: str = "doc_id") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 def unit_rows(weights: DataFrame) -> DataFrame:
     """w divided by the document's length; a row of zeros stays."""
     n = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return weights.join(n, "doc_id").select("doc_id", "token", F.when(F.col("len") > 0, F.col("w") / F.col("len")).otherwise(0.0).alias("w"))
+    return weights.join(n.hint("merge"), "doc_id").select("doc_id", "token", F.when(F.col("len") > 0, F.col("w") / F.col("len")).otherwise(0.0).alias("w"))
 
 
 def bow_unit(counts: DataFrame, stop: list[str], top: int | None = None) -> DataFrame:
@@ -26,7 +26,7 @@ def tfidf(counts: DataFrame, n_docs: int) -> DataFrame:
     """w = count / length * ln(N / df); words on every document weigh 0."""
     df = counts.groupBy("token").agg(F.count("*").alias("df"))
     length = counts.groupBy("doc_id").agg(F.sum("tf").alias("length"))
-    return counts.join(df, "token").join(length, "doc_id").select("doc_id", "token", (F.col("tf") / F.col("length") * F.log(n_docs / F.col("df"))).alias("w"))
+    return counts.join(df.hint("merge"), "token").join(length.hint("merge"), "doc_id").select("doc_id", "token", (F.col("tf") / F.col("length") * F.log(n_docs / F.col("df"))).alias("w"))
 
 
 def cosine_pairs(unit: DataFrame, max_df: int | None = None) -> DataFrame:
@@ -34,9 +34,9 @@ def cosine_pairs(unit: DataFrame, max_df: int | None = None) -> DataFrame:
     out; max_df, if given, leaves out frequent terms too (an approximation)."""
     p = unit.filter("w <> 0")
     if max_df:
-        p = p.join(p.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") <= max_df).select("token"), "token", "left_semi")
+        p = p.join(p.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") <= max_df).select("token").hint("merge"), "token", "left_semi")
     x, y = p.select(F.col("doc_id").alias("a"), "token", F.col("w").alias("wa")), p.select(F.col("doc_id").alias("b"), "token", F.col("w").alias("wb"))
-    return x.join(y, "token").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos"))
+    return x.join(y.hint("merge"), "token").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos"))
 
 
 def topk_neighbours(pairs: DataFrame, k: int, score: str = "cos") -> DataFrame:
@@ -54,10 +54,10 @@ def pair_set(neighbours: DataFrame) -> DataFrame:
 def decompose_pairs(unit: DataFrame, kinds: DataFrame) -> DataFrame:
     """(a, b, cos, p_name, p_habit, p_other, verdict): the cosine split exactly by the kind
     of the shared terms. NAME at half or more; else HABIT if it is at least OTHER; else STORY."""
-    p = unit.filter("w <> 0").join(kinds.select("token", "kind"), "token")
+    p = unit.filter("w <> 0").join(kinds.select("token", "kind").hint("merge"), "token")
     x, y = p.select(F.col("doc_id").alias("a"), "token", F.col("w").alias("wa"), "kind"), p.select(F.col("doc_id").alias("b"), "token", F.col("w").alias("wb"))
     c = F.col("wa") * F.col("wb")
-    parts = x.join(y, "token").filter("a < b").groupBy("a", "b").agg(F.sum(c).alias("cos"), *[F.sum(F.when(F.col("kind") == k, c).otherwise(0.0)).alias(f"p_{k}") for k in ("name", "habit", "other")])
+    parts = x.join(y.hint("merge"), "token").filter("a < b").groupBy("a", "b").agg(F.sum(c).alias("cos"), *[F.sum(F.when(F.col("kind") == k, c).otherwise(0.0)).alias(f"p_{k}") for k in ("name", "habit", "other")])
     return parts.withColumn("verdict", verdict())
 
 
@@ -73,26 +73,26 @@ def dial_cosine(parts: DataFrame, own: DataFrame, settings: DataFrame) -> DataFr
     weigh = lambda n, h, o: F.col("wn") ** 2 * n + F.col("wh") ** 2 * h + o
     a = own.select(F.col("doc_id").alias("a"), F.col("p_name").alias("an"), F.col("p_habit").alias("ah"), F.col("p_other").alias("ao"))
     b = own.select(F.col("doc_id").alias("b"), F.col("p_name").alias("bn"), F.col("p_habit").alias("bh"), F.col("p_other").alias("bo"))
-    j = parts.join(a, "a").join(b, "b").crossJoin(F.broadcast(settings))  # a few settings
+    j = parts.join(a.hint("merge"), "a").join(b.hint("merge"), "b").crossJoin(F.broadcast(settings))  # a few settings
     norm = F.sqrt(weigh(F.col("an"), F.col("ah"), F.col("ao")) * weigh(F.col("bn"), F.col("bh"), F.col("bo")))
     return j.select("wn", "wh", "a", "b", F.coalesce(weigh(F.col("p_name"), F.col("p_habit"), F.col("p_other")) / F.nullif(norm, F.lit(0.0)), F.lit(0.0)).alias("cos"))
 
 
 def own_parts(unit: DataFrame, kinds: DataFrame) -> DataFrame:
-    p = unit.join(kinds.select("token", "kind"), "token")
+    p = unit.join(kinds.select("token", "kind").hint("merge"), "token")
     return p.groupBy("doc_id").agg(*[F.sum(F.when(F.col("kind") == k, F.col("w") * F.col("w")).otherwise(0.0)).alias(f"p_{k}") for k in ("name", "habit", "other")])
 
 
 def network_agreement(neighbours: DataFrame, links: DataFrame, by: list[str] = ()) -> DataFrame:
     """(n, agreement): mean number of a document's neighbours that are linked to it. links(a, b)."""
     e = links.select(F.col("a").alias("doc_id"), F.col("b").alias("other")).union(links.select("b", "a")).distinct().withColumn("hit", F.lit(1))
-    per = neighbours.join(e, ["doc_id", "other"], "left").groupBy(*by, "doc_id").agg(F.count("hit").alias("hits"))
+    per = neighbours.join(e.hint("merge"), ["doc_id", "other"], "left").groupBy(*by, "doc_id").agg(F.count("hit").alias("hits"))
     return per.groupBy(*by).agg(F.count("*").alias("n"), F.avg("hits").alias("agreement"))
 
 
 def neighbour_rank_shift(now: DataFrame, base: DataFrame) -> DataFrame:
     """now with base_rank: the rank that each neighbour had before; null if none."""
-    return now.join(base.select("doc_id", "other", F.col("rank").alias("base_rank")), ["doc_id", "other"], "left")
+    return now.join(base.select("doc_id", "other", F.col("rank").alias("base_rank")).hint("merge"), ["doc_id", "other"], "left")
 
 
 def pair_summary(parts: DataFrame) -> DataFrame:
@@ -104,14 +104,14 @@ def pair_summary(parts: DataFrame) -> DataFrame:
 def pair_top_terms(unit: DataFrame, pairs: DataFrame, k: int = 3) -> DataFrame:
     """(a, b, token, part, rank): the terms that carry each of pairs(a, b)."""
     x, y = unit.select(F.col("doc_id").alias("a"), "token", F.col("w").alias("wa")), unit.select(F.col("doc_id").alias("b"), "token", F.col("w").alias("wb"))
-    p = pairs.select("a", "b").join(x, "a").join(y, ["b", "token"]).select("a", "b", "token", (F.col("wa") * F.col("wb")).alias("part")).filter("part > 0")
+    p = pairs.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), ["b", "token"]).select("a", "b", "token", (F.col("wa") * F.col("wb")).alias("part")).filter("part > 0")
     w = Window.partitionBy("a", "b").orderBy(F.desc(F.round("part", 9)), "token")
     return p.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def unlinked(pairs: DataFrame, links: DataFrame) -> DataFrame:
     """pairs without a link."""
-    return pairs.join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    return pairs.join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).hint("merge"), ["a", "b"], "left_anti")
 
 
 def far_twins(pairs: DataFrame, links: DataFrame, lengths: DataFrame, floor: int, k: int) -> DataFrame:
@@ -130,7 +130,7 @@ def centroid_outliers(unit: DataFrame, n_docs: int) -> DataFrame:
     """(doc_id, cos): likeness to the mean of all documents."""
     mean = unit.groupBy("token").agg((F.sum("w") / n_docs).alias("m"))
     length = mean.agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("len"))
-    d = unit.join(mean, "token").groupBy("doc_id").agg(F.sum(F.col("w") * F.col("m")).alias("dot"))
+    d = unit.join(mean.hint("merge"), "token").groupBy("doc_id").agg(F.sum(F.col("w") * F.col("m")).alias("dot"))
     return d.crossJoin(F.broadcast(length)).select("doc_id", (F.col("dot") / F.nullif(F.col("len"), F.lit(0.0))).alias("cos"))
 
 
@@ -139,7 +139,7 @@ def distinctive_terms(counts: DataFrame, k: int = 8, least: int = 3) -> DataFram
     total = counts.groupBy("token").agg(F.sum("tf").alias("all"))
     size = counts.agg(F.sum("tf").alias("size"))
     length = counts.groupBy("doc_id").agg(F.sum("tf").alias("length"))
-    j = counts.filter(F.col("tf") >= least).join(total, "token").join(length, "doc_id").crossJoin(F.broadcast(size))
+    j = counts.filter(F.col("tf") >= least).join(total.hint("merge"), "token").join(length.hint("merge"), "doc_id").crossJoin(F.broadcast(size))
     r = j.select("doc_id", "token", (F.col("tf") / F.col("length") / (F.col("all") / F.col("size"))).alias("ratio"))
     w = Window.partitionBy("doc_id").orderBy(F.desc(F.round("ratio", 9)), "token")
     return r.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

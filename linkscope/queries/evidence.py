@@ -16,7 +16,7 @@ from linkscope.plans.iterate import cut
 from linkscope.queries.graph import customers, f1, r
 from linkscope.queries.models import pairs
 from linkscope.queries.registry import W, query
-from linkscope.queries.sets import COS, MIX, QW, TG, WT, counts, queries_, scores, targets, unit, vectors, weights
+from linkscope.queries.sets import COS, MIX, QW, WT, counts, queries_, scores, targets, unit, vectors, weights
 from linkscope.queries.words import HREF, NT, PAIRS, SH, STOP, TOK, docs, sh
 from linkscope.sources.fixtures import read
 
