@@ -80,6 +80,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkscope.llm.infill import fill_in_middle, restore_middle
+
+    made = restore_middle(fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    digests = [F.sha2(c, 256).alias(f"{name}_sha256") for name, c in (("output", "infill"), ("restored", "restored"))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 # What SQL can say of the operators' results, through the same operators.
 
 
@@ -116,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
+    "op11_infill": op11_infill,
     "base_op2": base_op2,
     "base_op4": base_op4,
     "base_op8": base_op8,
@@ -132,7 +141,20 @@ rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + j AS i FR
 wc AS (SELECT doc_id, count(*) AS n, CAST(sum(length(word)) AS BIGINT) AS c FROM w GROUP BY doc_id),
 ln AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id)"""
 _LABELS = "('cc-by', ['cc', 'by']), ('gpl', ['general', 'public', 'license']), ('reserved', ['all', 'rights', 'reserved'])"
+_CUTS = "least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b"
+
+
+def _lines(k: str) -> str:
+    return f"array_to_string(l[1:{k}], chr(10)) || CASE WHEN {k} > 0 AND {k} < len(l) THEN chr(10) ELSE '' END"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_infill": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h FROM documents),
+x AS (SELECT doc_id, t, string_split(t, chr(10)) AS l, {", ".join(f"CAST('0x' || h[{8 * i + 1}:{8 * i + 8}] AS BIGINT) AS h{i + 1}" for i in range(4))} FROM d),
+y AS (SELECT *, len(l) - CAST(t = '' OR suffix(t, chr(10)) AS BIGINT) AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM x),
+z AS (SELECT *, {_CUTS} FROM y), p AS (SELECT doc_id, t, n, form, {_lines("a")} AS pre, {_lines("b")} AS two FROM z),
+q AS (SELECT doc_id, t, n, form, pre, substr(two, length(pre) + 1) AS mid, substr(t, length(two) + 1) AS suf FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars, sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM q""",
     "base_op2": f"WITH w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS l FROM documents), s AS (SELECT DISTINCT doc_id, l[i] || ' ' || l[i + 1] AS s FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM w)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id) SELECT doc_id, CASE WHEN len(l) < 2 THEN len(l) ELSE n END AS n_shingles FROM w LEFT JOIN n USING (doc_id)",
     "base_op4": "SELECT count(*) AS n, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes, count(*) AS places, CAST(8 AS BIGINT) AS shards FROM documents",
     "base_op8": f"""WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")}) AS size FROM documents), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS z, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),

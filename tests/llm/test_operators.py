@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from linkscope.llm import bpe, chat, convnet, imatch, license, mixing, neardup, pages, queries, rules, runs, shards
+from linkscope.llm import bpe, chat, convnet, imatch, infill, license, mixing, neardup, pages, queries, rules, runs, shards
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -664,3 +664,45 @@ def test_pipeline(spark):
         docs = after.cache()
     out = corpus_pipeline.run(spark, SF)
     assert out.count() == docs.count() > 0 and out.filter("n_tokens = 0").count() == 0
+
+
+def infill_plain(doc_id, text, rate=100):
+    """The output by slices of a str."""
+    text = text or ""
+    h = [int(hashlib.sha256(f"7:{'' if doc_id is None else doc_id}".encode()).hexdigest()[8 * i : 8 * i + 8], 16) for i in range(4)]
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    n = len(units)
+    if not text or re.search("<[PSM]>", text) or h[2] % 100 >= rate:
+        return n, "plain", None, None, text
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    form = "spm" if h[3] % 100 < 50 else "psm"
+    return n, form, len(p), len(m), f"<P>{p}<S>{s}<M>{m}" if form == "psm" else f"<S>{s}<P>{p}<M>{m}"
+
+
+def test_infill_equals_slices_and_comes_back(spark, odd, texts):
+    r = random.Random(3)
+    made = ["".join(r.choice(["a", "ß", "\n", "\n\n", "😀", "<", "P>", " <M", ">"]) for _ in range(r.randrange(40))) for _ in range(400)]
+    made += ["\n", "\n\n\n", "x", "x\n", "\ny", "<P>", "a\n<S>\nb", "<M", "l\n" * 200_000, "w" * 3_000_000, "<P", "S>\n<", "\u0000\n\u0000"]
+    rows = [(i, t) for i, t in enumerate(made)] + list(texts.items())
+    got = infill.restore_middle(infill.fill_in_middle(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert len(got) == len(rows)
+    want = Counter((i, *infill_plain(i, t), t) for i, t in rows)
+    assert Counter((x["doc_id"], x["n"], x["form"], x["prefix_chars"], x["middle_chars"], x["infill"], x["restored"]) for x in got) == want
+    assert {x["form"] for x in got} == {"plain", "psm", "spm"}
+    some = infill.fill_in_middle(odd, rate=30).collect()
+    assert Counter((x["doc_id"], x["form"], x["infill"]) for x in some) == Counter((x[0], *infill_plain(x[0], x[1], 30)[1::3]) for x in ODD)
+    clash = infill.restore_middle(infill.fill_in_middle(odd.withColumn("form", F.lit(3)).withColumn("n", F.lit("x")).withColumn("restored", F.lit(1))))
+    assert Counter(x["restored"] for x in clash.collect()) == Counter(x[1] or "" for x in ODD)
+    assert infill.restore_middle(infill.fill_in_middle(odd.limit(0))).count() == 0
+
+
+def test_rotation():
+    for n in range(7):
+        for start in range(n + 1):
+            for end in range(start, n + 1):
+                for cut in range(start, end + 1):
+                    b = bytearray(range(n))
+                    infill.rotate(b, start, cut, end)
+                    x = list(range(n))
+                    assert list(b) == x[:start] + x[cut:end] + x[start:cut] + x[end:]
