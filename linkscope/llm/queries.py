@@ -88,6 +88,15 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkscope.llm.personal import BASE_KINDS, find_personal_data, joined
+
+    got = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    kinds = F.transform(F.filter("spans", lambda s: s["base"]), lambda s: s["kind"])
+    n = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return got.select("doc_id", *n, F.sha2(joined(F.col("spans"), base=True), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 # What SQL can say of the operators' results, through the same operators.
 
 
@@ -113,6 +122,10 @@ def base_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_license_scan(spark, sf_dir).drop("labels", "score")
 
 
+def base_op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_personal_data(spark, sf_dir).drop("base_sha256", "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_near_duplicates": op2_near_duplicates,
@@ -125,11 +138,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
     "op11_infill": op11_infill,
+    "op12_personal_data": op12_personal_data,
     "base_op2": base_op2,
     "base_op4": base_op4,
     "base_op8": base_op8,
     "base_op9": base_op9,
     "base_op10": base_op10,
+    "base_op12": base_op12,
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -148,7 +163,12 @@ def _lines(k: str) -> str:
     return f"array_to_string(l[1:{k}], chr(10)) || CASE WHEN {k} > 0 AND {k} < len(l) THEN chr(10) ELSE '' END"
 
 
+#: Sums of the digits of a card number, every second from the right doubled.
+_LUHN = "list_sum(list_transform(range(1, len(d) + 1), i -> CASE WHEN (len(d) - i) % 2 = 0 THEN CAST(d[i] AS INT) ELSE 2 * CAST(d[i] AS INT) - CASE WHEN d[i] > '4' THEN 9 ELSE 0 END END)) % 10 = 0"
 ORACLE_SQL: dict[str, str] = {
+    "base_op12": rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip, list_transform(regexp_extract_all(t, '[0-9]([ -]?[0-9])+'), x -> regexp_replace(x, '[ -]', '', 'g')) AS card, list_transform(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), x -> regexp_replace(x, '[^0-9]', '', 'g')) AS phone FROM t)
+SELECT doc_id, n_email, len(list_filter(ip, x -> list_max(list_transform(string_split(x, '.'), y -> CAST(y AS HUGEINT))) <= 255)) AS n_ip, len(list_filter(card, d -> len(d) BETWEEN 13 AND 19 AND {_LUHN})) AS n_card, len(list_filter(phone, d -> len(d) BETWEEN 9 AND 15)) AS n_phone FROM m""",
     "op11_infill": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h FROM documents),
 x AS (SELECT doc_id, t, string_split(t, chr(10)) AS l, {", ".join(f"CAST('0x' || h[{8 * i + 1}:{8 * i + 8}] AS BIGINT) AS h{i + 1}" for i in range(4))} FROM d),
 y AS (SELECT *, len(l) - CAST(t = '' OR suffix(t, chr(10)) AS BIGINT) AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM x),
