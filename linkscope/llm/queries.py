@@ -97,6 +97,14 @@ def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *n, F.sha2(joined(F.col("spans"), base=True), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkscope.llm.negatives import hard_negatives, vectors_as_integers
+
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors_as_integers(rows.withColumn("label", label)), F.col("id") % 50 == 0)
+
+
 # What SQL can say of the operators' results, through the same operators.
 
 
@@ -139,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op11_infill": op11_infill,
     "op12_personal_data": op12_personal_data,
+    "op13_hard_negatives": op13_hard_negatives,
     "base_op2": base_op2,
     "base_op4": base_op4,
     "base_op8": base_op8,
@@ -164,11 +173,15 @@ def _lines(k: str) -> str:
 
 
 #: Sums of the digits of a card number, every second from the right doubled.
-_LUHN = "list_sum(list_transform(range(1, len(d) + 1), i -> CASE WHEN (len(d) - i) % 2 = 0 THEN CAST(d[i] AS INT) ELSE 2 * CAST(d[i] AS INT) - CASE WHEN d[i] > '4' THEN 9 ELSE 0 END END)) % 10 = 0"
+_LUHN = "list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN (len(d) - i) % 2 = 0 THEN CAST(d[i] AS INT) ELSE 2 * CAST(d[i] AS INT) - CASE WHEN d[i] > '4' THEN 9 ELSE 0 END END)) % 10 = 0"
 ORACLE_SQL: dict[str, str] = {
+    "op13_hard_negatives": """WITH e AS (SELECT DISTINCT CAST(vec_id AS BIGINT) AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor, b.id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.id % 50 = 0 AND a.id <> b.id),
+p AS (SELECT anchor, other AS positive, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5)
+SELECT p.anchor AS anchor_id, positive AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, positive ORDER BY s.score DESC, s.other) AS INT) AS rank, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= 3""",
     "base_op12": rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-m AS (SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip, list_transform(regexp_extract_all(t, '[0-9]([ -]?[0-9])+'), x -> regexp_replace(x, '[ -]', '', 'g')) AS card, list_transform(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), x -> regexp_replace(x, '[^0-9]', '', 'g')) AS phone FROM t)
-SELECT doc_id, n_email, len(list_filter(ip, x -> list_max(list_transform(string_split(x, '.'), y -> CAST(y AS HUGEINT))) <= 255)) AS n_ip, len(list_filter(card, d -> len(d) BETWEEN 13 AND 19 AND {_LUHN})) AS n_card, len(list_filter(phone, d -> len(d) BETWEEN 9 AND 15)) AS n_phone FROM m""",
+m AS (SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip, list_transform(regexp_extract_all(t, '[0-9]([ -]?[0-9])+'), lambda x: regexp_replace(x, '[ -]', '', 'g')) AS card, list_transform(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phone FROM t)
+SELECT doc_id, n_email, len(list_filter(ip, lambda x: list_max(list_transform(string_split(x, '.'), lambda y: CAST(y AS HUGEINT))) <= 255)) AS n_ip, len(list_filter(card, lambda d: len(d) BETWEEN 13 AND 19 AND {_LUHN})) AS n_card, len(list_filter(phone, lambda d: len(d) BETWEEN 9 AND 15)) AS n_phone FROM m""",
     "op11_infill": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h FROM documents),
 x AS (SELECT doc_id, t, string_split(t, chr(10)) AS l, {", ".join(f"CAST('0x' || h[{8 * i + 1}:{8 * i + 8}] AS BIGINT) AS h{i + 1}" for i in range(4))} FROM d),
 y AS (SELECT *, len(l) - CAST(t = '' OR suffix(t, chr(10)) AS BIGINT) AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM x),

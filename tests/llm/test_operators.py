@@ -7,10 +7,11 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkscope.llm import bpe, chat, convnet, imatch, infill, license, mixing, neardup, pages, personal, queries, rules, runs, shards
+from linkscope.llm import bpe, chat, convnet, imatch, infill, license, mixing, neardup, negatives, pages, personal, queries, rules, runs, shards
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -796,3 +797,51 @@ def test_personal_spans_and_mask(spark, odd, field):
     clash = personal.find_personal_data(odd.withColumn("spans", F.lit(1)).withColumn("masked", F.lit(1)))
     assert Counter(len(r["spans"]) for r in clash.collect()) == {0: len(ODD)} and personal.mask_personal_data(clash).count() == len(ODD)
     assert personal.find_personal_data(odd.limit(0)).count() == 0
+
+
+def test_strassen_is_the_product():
+    r = np.random.default_rng(1)
+    for m, k, n in [(1, 1, 1), (17, 33, 40), (64, 64, 64), (50, 100, 75), (5, 200, 300), (33, 35, 129)]:
+        a, b = r.integers(-(2**24), 2**24, (m, k)), r.integers(-(2**24), 2**24, (n, k))
+        assert (negatives.product(a, b).astype(object) == a.astype(object) @ b.T.astype(object)).all()
+    with pytest.raises(OverflowError):
+        negatives.inner_products(np.full((20, 20), 2**30), np.full((20, 20), 2**30))
+
+
+def negatives_plain(rows, k=5, m=3):
+    """All pairs, in plain integers."""
+    import math
+
+    got = {}
+    for d, lab, v in rows:
+        if d is not None and lab is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            got[d] = ((lab + 1) % 10 if d % 7 == 0 else lab, [math.floor(256 * x) for x in v])
+    out = []
+    for a, (la, va) in got.items():
+        if a % 50:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(va, v, strict=False)), d, lab == la) for d, (lab, v) in got.items() if d != a)
+        for ps, p, _ in [x for x in scored if x[2]][:k]:
+            inside = [x for x in scored if not x[2] and 50 * -ps <= 100 * -x[0] <= 95 * -ps][:m]
+            out += [(a, p, i + 1, d, -ps, -ns) for i, (ns, d, _) in enumerate(inside)]
+    return out
+
+
+def test_hard_negatives_equal_all_pairs(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(i, r.choice([0, 0, 0, 0, 1, 2, 3]), [r.choice([-0.5, 0.25, 0.5, 0.7]) + r.random() * r.choice([0, 1]) for _ in range(5)]) for i in range(700)]
+    rows += [(1000 + i, 0, [0.5, 0.5, 0.5, 0.5, 0.5]) for i in range(300)]  # a third alike
+    rows += [(2000, None, [1.0] * 5), (2050, 1, None), (2100, 1, [1.0, None]), (2150, 1, [float("nan")] * 5), (2151, 2, [float("inf")] * 5), (None, 1, [1.0] * 5), (2200, 1, []), (2250, 5, [9.0, 9.0, 1.0]), (2201, 6, [1.0] * 70)]
+    table = spark.createDataFrame([(*x, "x", 3) for x in rows], "vec_id long, label int, embedding array<double>, row string, v int")
+
+    def mined(t):
+        lab = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+        return negatives.hard_negatives(negatives.vectors_as_integers(t.withColumn("label", lab)), F.col("id") % 50 == 0)
+
+    want = Counter(negatives_plain(rows))
+    assert Counter(map(tuple, mined(table.unionByName(table.limit(20))).collect())) == want and len(want) > 100
+    monkeypatch.setattr(negatives, "ANCHORS", 8)
+    monkeypatch.setattr(negatives, "CANDIDATES", 64)
+    assert Counter(map(tuple, mined(table).collect())) == want
+    assert mined(table.limit(0)).count() == 0
+    assert mined(table.filter("vec_id % 50 <> 0")).count() == 0
