@@ -130,7 +130,7 @@ def reciprocity(edges: DataFrame, by: list[str] = ()) -> DataFrame:
     return j.groupBy(*by).agg(F.count("*").alias("n_edges"), F.count("back").alias("reciprocated"), (F.count("back") / F.count("*")).alias("reciprocity"))
 
 
-def _to_roots(up: DataFrame, by: list[str]) -> DataFrame:
+def to_roots(up: DataFrame, by: list[str]) -> DataFrame:
     """up(at, to), where following to leads to ever smaller nodes, with to at the end of
     each way; each round looks on from where the last one came, so the steps double."""
     while True:
@@ -154,7 +154,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, by: list[str] = ())
     labels = cut(nodes.select(*by, "node", F.col("node").alias("component")))
     while not left.isEmpty():
         both = left.union(left.select(*by, "dst", "src"))
-        up = _to_roots(cut(both.groupBy(*by, F.col("src").alias("at")).agg(F.min("dst").alias("to")).withColumn("to", F.least("at", "to"))), by)
+        up = to_roots(cut(both.groupBy(*by, F.col("src").alias("at")).agg(F.min("dst").alias("to")).withColumn("to", F.least("at", "to"))), by)
         named = cut(labels.join(up.withColumnRenamed("at", "component").hint("merge"), cols(by, "component"), "left").select(*by, "node", F.coalesce("to", "component").alias("component")))
         moved = left.join(up.withColumnRenamed("at", "src").hint("merge"), cols(by, "src")).select(*by, F.col("to").alias("src"), "dst")
         moved = moved.join(up.withColumnRenamed("at", "dst").hint("merge"), cols(by, "dst")).select(*by, "src", F.col("to").alias("dst"))
@@ -436,33 +436,6 @@ def neighbour_overlap(edges: DataFrame) -> DataFrame:
     return und.join(shared, ["a", "b"], "left").fillna(0, ["shared"])
 
 
-def removal_damage(nodes: DataFrame, edges: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(removed, damage, parts): for each candidate(node), how many further nodes leave
-    the giant component when it goes, and into how many parts its component falls.
-
-    Only nodes of degree 2 or more can split anything. All candidates are handled in
-    one job: their components side by side, keyed by the removed node."""
-    lab = cut(connected_components(nodes, edges))
-    sizes = component_sizes(lab)
-    big = cut(lab.join(sizes.filter("giant").select("component"), "component", "left_semi").select("node"))
-    links = cut(induced_subgraph(undirected(edges).select(F.col("a").alias("src"), F.col("b").alias("dst")), big))
-    n = big.count()
-    deg = symmetrise(links).groupBy(F.col("src").alias("removed")).agg(F.count("*").alias("k"))
-    cand = candidates.select(F.col("node").alias("removed")).join(big.withColumnRenamed("node", "removed"), "removed", "left_semi")
-    cand = cut(cand.join(deg, "removed", "left").fillna(0, ["k"]))
-    hub = cand.filter("k >= 2").select("removed")
-    # every graph without its removed node; the key is in each row
-    e = hub.crossJoin(links).filter("src <> removed and dst <> removed")
-    v = hub.crossJoin(big).filter("node <> removed")
-    parts = component_sizes(connected_components(v, e, ["removed"]), ["removed"]).groupBy("removed").agg(F.max("size").alias("left"), F.count("*").alias("parts"))
-    return cand.join(parts, "removed", "left").select("removed", F.coalesce(n - 1 - F.col("left"), F.lit(0)).cast("long").alias("damage"), F.coalesce("parts", F.lit(1)).cast("long").alias("parts"))
-
-
-def articulation_points(damage: DataFrame) -> DataFrame:
-    """(node): those whose removal leaves more than one part."""
-    return damage.filter("parts > 1").select(F.col("removed").alias("node"))
-
-
 def distance_lookup(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """(a, b, dist) for pairs(a, b): hops between them, null where there is no way."""
     d = bfs(edges, pairs.select(F.col("a").alias("source")).distinct())

@@ -33,6 +33,14 @@ def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
     return rows.join(F.broadcast(before), "_range").select(*columns, *[(F.sum(f"_own_{name}").over(within) + F.col(f"_before_{name}")).alias(name) for name in sums])
 
 
+def numbered_in_few(df: DataFrame, by: str, order: list[Column], name: str) -> DataFrame:
+    """df with name: each row's number from 1 among those of its value of by, of which there
+    are few (replicates); a value's rows may lie in many ranges."""
+    at = cut(running(df, [F.col(f"`{by}`"), *order], _at_all=F.lit(1)))
+    first = at.groupBy(by).agg(F.min("_at_all").alias("_first"))
+    return at.join(F.broadcast(first), by).withColumn(name, F.col("_at_all") - F.col("_first") + 1).drop("_at_all", "_first")  # a row a replicate
+
+
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """df with name: the rank of value from 1, ties sharing their mean rank, nulls first.
     Ranks come from the distinct values, so a tie of many rows is one of them."""

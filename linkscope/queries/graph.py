@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from linkscope.operators import lowlink as L
 from linkscope.operators import structure as S
 from linkscope.queries.registry import CC, DIST, UDIST, W, query
 from linkscope.sources.fixtures import customers, handovers, successions
@@ -227,16 +228,21 @@ def gr33(spark, sf):
     return S.neighbour_overlap(successions(spark, sf))
 
 
-@query("gr34_removal_damage")
+CUTS = f"""{W}, {CC}, lab AS (WITH RECURSIVE w(removed, node, m) USING KEY (removed, node) AS (SELECT r.node, v.node, v.node FROM big r JOIN big v ON v.node <> r.node UNION SELECT w.removed, s.dst, min(w.m) FROM w JOIN sym s ON s.src = w.node AND s.dst <> w.removed JOIN recurring.w o ON o.removed = w.removed AND o.node = s.dst WHERE w.m < o.m GROUP BY w.removed, s.dst) SELECT * FROM w),
+part AS (SELECT removed, m, count(*) AS size FROM lab GROUP BY removed, m),
+damage AS (SELECT removed, (SELECT count(*) FROM big) - 1 - max(size) AS damage, count(*) AS parts FROM part GROUP BY removed)"""
+
+
+@query("gr34_removal_damage", f"{CUTS} SELECT removed, CAST(damage AS BIGINT) AS damage, parts FROM damage")
 def gr34(spark, sf):
     n, e = f1(spark, sf)
-    return S.removal_damage(n, e, n)
+    return L.removal_damage(n, e, n)
 
 
-@query("gr35_articulation_points")
+@query("gr35_articulation_points", f"{CUTS} SELECT removed AS node FROM damage WHERE parts > 1")
 def gr35(spark, sf):
     n, e = f1(spark, sf)
-    return S.articulation_points(S.removal_damage(n, e, n))
+    return L.articulation_points(L.removal_damage(n, e, n))
 
 
 @query("gr36_distance_lookup", f"{W}, {UDIST}, p AS (SELECT node AS a, node + 1 AS b FROM nodes WHERE node + 1 IN (SELECT node FROM nodes)) SELECT p.a, p.b, d.dist FROM p LEFT JOIN udist d ON d.source = p.a AND d.node = p.b")

@@ -11,6 +11,7 @@ from linkscope.operators import structure as S
 from linkscope.operators import tails as H
 from linkscope.operators import text as T
 from linkscope.plans.iterate import cut
+from linkscope.plans.order import running
 from linkscope.queries.graph import customers, f1, r
 from linkscope.queries.registry import W, query
 from linkscope.queries.words import sh
@@ -127,17 +128,22 @@ def cm19(spark, sf):
     return M.chance_levels(pairs(spark, sf), nations(spark, sf)).select(r("density", 9), r("same_chance"), r("same_share"))
 
 
-def by_degree(spark, sf, steps):
-    d = S.degrees(*f1(spark, sf))
-    top = d.orderBy(F.desc("degree"), "node").limit(steps)
-    from pyspark.sql.window import Window
+def by_degree(spark, sf, steps=None):
+    """Nodes in the order of their degrees, the smaller id first on ties."""
+    order = running(S.degrees(*f1(spark, sf)).select("node", "degree"), [F.desc("degree"), F.col("node")], step=F.lit(1)).select("node", F.col("step").cast("int").alias("step"))
+    return order.filter(F.col("step") <= steps) if steps else order
+
 
-    return top.select("node", F.row_number().over(Window.orderBy(F.desc("degree"), "node")).alias("step"))
+#: The largest component after each removal by degree, by labels that shrink from node to node.
+SWEEP = f"""{W}, ord AS (SELECT node, CAST(row_number() OVER (ORDER BY degree DESC, node) AS INT) AS step FROM deg),
+so AS (SELECT s.src, s.dst, q.step FROM sym s JOIN ord q ON q.node = s.dst),
+lab AS (WITH RECURSIVE w(step, node, m) USING KEY (step, node) AS (SELECT t.step, v.node, v.node FROM ord t JOIN ord v ON v.step > t.step UNION SELECT w.step, s.dst, min(w.m) FROM w JOIN so s ON s.src = w.node AND s.step > w.step JOIN recurring.w o ON o.step = w.step AND o.node = s.dst WHERE w.m < o.m GROUP BY w.step, s.dst) SELECT * FROM w),
+curve AS (SELECT t.step, coalesce(max(k), 0) AS giant FROM ord t LEFT JOIN (SELECT step, m, count(*) AS k FROM lab GROUP BY step, m) c ON c.step = t.step GROUP BY t.step)"""
 
 
-@query("rb1_removal_curve")
+@query("rb1_removal_curve", f"{SWEEP} SELECT step, giant FROM curve")
 def rb1(spark, sf):
-    return B.removal_curve(*f1(spark, sf), by_degree(spark, sf, 15))
+    return B.removal_curve(*f1(spark, sf), by_degree(spark, sf))
 
 
 @query("rb2_adaptive_attack")
@@ -148,13 +154,13 @@ def rb2(spark, sf):
 @query("rb3_random_attack")
 def rb3(spark, sf):
     n, e = f1(spark, sf)
-    return B.mean_curve(B.removal_curve(n, e, B.random_orders(n, 5, 4), ["replicate"]))
+    return B.mean_curve(B.removal_curve(n, e, B.random_orders(n, 20), ["replicate"]))
 
 
-@query("rb4_halving_point")
+@query("rb4_halving_point", f"{SWEEP} SELECT min(step) FILTER (2 * giant <= (SELECT count(*) FROM nodes)) AS to_half, round(sum(giant) / CAST((SELECT count(*) FROM nodes) AS DOUBLE) / count(*), 6) AS robustness FROM curve")
 def rb4(spark, sf):
     n, e = f1(spark, sf)
-    return B.halving_point(B.removal_curve(n, e, by_degree(spark, sf, 15)), n.count()).select("to_half", r("robustness"))
+    return B.halving_point(B.removal_curve(n, e, by_degree(spark, sf)), n.count()).select("to_half", r("robustness"))
 
 
 @query("rb5_evaluate_removal_set")

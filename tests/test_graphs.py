@@ -7,6 +7,7 @@ import pytest
 
 from linkscope.operators import centrality as C
 from linkscope.operators import community as M
+from linkscope.operators import lowlink as L
 from linkscope.operators import nulls as N
 from linkscope.operators import robustness as B
 from linkscope.operators import structure as S
@@ -28,8 +29,8 @@ def test_path(spark):
     assert {r["node"] for r in ecc if r["central"]} == {3} and ecc[0]["diameter"] == 4
     b = as_dict(C.betweenness(n, e, normalised=False), "node", "betweenness")
     assert b == {1: 0, 2: 3, 3: 4, 4: 3, 5: 0}
-    damage = S.removal_damage(n, e, n)
-    assert {r["node"] for r in S.articulation_points(damage).collect()} == {2, 3, 4}
+    damage = L.removal_damage(n, e, n)
+    assert {r["node"] for r in L.articulation_points(damage).collect()} == {2, 3, 4}
     assert as_dict(damage, "removed", "damage") == {1: 0, 2: 1, 3: 2, 4: 1, 5: 0}
     path = S.shortest_path(S.symmetrise(e), spark.createDataFrame([(1,)], "source long"), spark.createDataFrame([(1, 5)], "source long, target long")).first()
     assert path["path"] == [1, 2, 3, 4, 5]
