@@ -178,12 +178,12 @@ def rb6(spark, sf):
 
 @query("nu1_swap_edges_directed")
 def nu1(spark, sf):
-    return N.swap_edges(f1(spark, sf)[1], 2, per_edge=2)
+    return N.swap_edges(f1(spark, sf)[1], 10)
 
 
 @query("nu2_swap_edges_undirected")
 def nu2(spark, sf):
-    return N.swap_edges(f1(spark, sf)[1], 2, directed=False, per_edge=2)
+    return N.swap_edges(f1(spark, sf)[1], 10, directed=False)
 
 
 @query("nu3_gnm")
@@ -195,7 +195,7 @@ def nu3(spark, sf):
 @query("nu5_null_summary")
 def nu5(spark, sf):
     n, e = f1(spark, sf)
-    nulls = {"gnm": N.gnm(n, e.count(), 8), "swap": N.swap_edges(e, 4, per_edge=1)}
+    nulls = {"gnm": cut(N.gnm(n, e.count(), 200)), "swap": N.swap_edges(e, 200)}
     real, samples = N.run_ensemble(n, e, N.undirected_battery, nulls)
     return N.survival_verdict(N.null_summary(real, samples))
 
@@ -269,7 +269,7 @@ def cm10(spark, sf):
     """Modularity of the nations on degree-preserving and random graphs."""
     n, e = f1(spark, sf)
     out = None
-    for name, draws in {"gnm": N.gnm(n, e.count(), 5), "swap": N.swap_edges(e, 3, per_edge=1)}.items():
+    for name, draws in {"gnm": N.gnm(n, e.count(), 200), "swap": N.swap_edges(e, 200)}.items():
         und = S.undirected(cut(draws), ["replicate"])
         labels = nations(spark, sf).crossJoin(F.broadcast(und.select("replicate").distinct()))
         q = M.modularity(und, labels, ["replicate"]).agg(F.lit(name).alias("null"), r(F.avg("q")).alias("mean"), r(F.stddev_pop("q")).alias("sd"))
@@ -282,7 +282,7 @@ def nu6(spark, sf):
     """In-degree against random graphs of the same size."""
     n, e = f1(spark, sf)
     real = S.degrees(n, e).select("node", F.col("in_degree").alias("score"))
-    draws = cut(N.gnm(n, e.count(), 6))
+    draws = cut(N.gnm(n, e.count(), 200))
     runs = n.crossJoin(F.broadcast(draws.select("replicate").distinct()))
     samples = S.degrees(runs, draws, ["replicate"]).select("replicate", "node", F.col("in_degree").alias("score"))
     return N.node_z_scores(real, samples)
@@ -294,6 +294,6 @@ def nu14(spark, sf):
     n, e = f1(spark, sf)
     top = cut(by_degree(spark, sf, 20).select(F.col("node").alias("source")))
     real = S.distance_histogram(S.bfs(e, top))
-    draws = N.swap_edges(e, 2, per_edge=1)
+    draws = N.swap_edges(e, 20)
     sources = top.crossJoin(F.broadcast(draws.select("replicate").distinct()))
     return N.distance_null(real, S.distance_histogram(S.bfs(draws, sources, ["replicate"]), ["replicate"]))

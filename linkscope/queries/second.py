@@ -79,8 +79,6 @@ def without(drop: str) -> str:
 SEEDED = "seeds AS (SELECT min(c_custkey) AS node FROM customer GROUP BY c_nationkey), lab AS (SELECT CAST(c_custkey AS BIGINT) AS node, c_nationkey AS c FROM customer), le AS (SELECT src, dst FROM sym JOIN lab x ON x.node = src JOIN lab y ON y.node = dst WHERE x.c = y.c), dd AS (WITH RECURSIVE walk(source, node, d) USING KEY (source, node) AS (SELECT CAST(node AS BIGINT), CAST(node AS BIGINT), 0 FROM seeds UNION SELECT w.source, e.dst, min(w.d + 1) FROM walk w JOIN le e ON e.src = w.node LEFT JOIN recurring.walk r ON r.source = w.source AND r.node = e.dst WHERE r.node IS NULL GROUP BY w.source, e.dst) SELECT * FROM walk)"
 
 ORACLE_SQL |= {
-    "rb1_removal_curve": f"{W}, {TOP}, {STEPS.format(15)} SELECT CAST(step AS INT) AS step, giant FROM gi",
-    "rb4_halving_point": f"{W}, {TOP}, {STEPS.format(15)}, n AS (SELECT count(*) AS n FROM nodes) SELECT CAST(min(step) FILTER (2 * giant <= n) AS INT) AS to_half, round(sum(giant) / CAST(max(n) AS DOUBLE) / count(*), 6) AS robustness FROM gi, n",
     "rb5_evaluate_removal_set": f"{W}, {without('SELECT node FROM deg ORDER BY degree DESC, node LIMIT 20')} SELECT CAST(20 AS BIGINT) AS removed, max(k) AS giant FROM s2",
     "rb6_severed_nodes": f"{W}, {CC}, {without('SELECT node FROM deg ORDER BY degree DESC, node LIMIT 1')} SELECT node FROM big WHERE node NOT IN (SELECT node FROM gone) AND node NOT IN (SELECT node FROM a2 WHERE component = (SELECT component FROM s2 ORDER BY k DESC, component LIMIT 1))",
     "nu9_directed_battery": f"{W}, {CC}, r AS (SELECT count(b.src) / CAST(count(*) AS DOUBLE) AS v FROM edges e LEFT JOIN edges b ON b.src = e.dst AND b.dst = e.src) SELECT 'reciprocity' AS name, v AS value FROM r UNION ALL SELECT 'n_islands', CAST(count(*) FILTER (size > 1) - 1 AS DOUBLE) FROM sizes UNION ALL SELECT 'n_isolates', CAST(count(*) FILTER (size = 1) AS DOUBLE) FROM sizes",
