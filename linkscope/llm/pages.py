@@ -351,7 +351,9 @@ def alignment_counts(pages: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def choose_region(pattern: Pattern, seen: dict[int, tuple[int, ...]]) -> tuple[int, list[int], list[int]]:
     """The region (0: there is none, as with a single page), the template's nodes and the
-    furniture at the region's edges. seen: what COUNTED says, by node."""
+    furniture at the region's edges: small containers before the first or after the last
+    line whose text is in links or mostly stands bare, as menus, notices and credits have it. One with
+    paragraphs of its own (a lead, a closing section) stays. seen: what COUNTED says, by node."""
     nothing = (0,) * len(COUNTED)
     nodes, n = pattern.nodes, seen.get(0, nothing)[0]
     if n < 2:
@@ -362,6 +364,14 @@ def choose_region(pattern: Pattern, seen: dict[int, tuple[int, ...]]) -> tuple[i
         _, _, chars, _ = seen.get(i, nothing)
         same_below = sum(seen.get(c, nothing)[2] - varying[c] for c in nodes[i][3])
         varying[i] = max(0, chars - same_below - (seen[i][3] if i in constant else 0))
+    # a heading that repeats stays where what follows it, up to the next one, varies
+    for i in range(len(nodes)):
+        headed = None
+        for c in nodes[i][3]:
+            if nodes[c][0] in HEADINGS:
+                headed = c
+            elif headed is not None and varying[c]:
+                constant.discard(headed)
     if 2 * varying[0] < seen.get(0, nothing)[2]:  # hardly anything varies: copies of a page tell nothing
         constant = set()
         varying = {i: seen.get(i, nothing)[2] for i in range(len(nodes))}
@@ -375,9 +385,13 @@ def choose_region(pattern: Pattern, seen: dict[int, tuple[int, ...]]) -> tuple[i
         at = best
         if nodes[at][0] in CONTAINERS:
             region = at
+    # text in paragraphs, headings and the like, not bare in a container
+    lined: dict[int, int] = {}
+    for i in range(len(nodes) - 1, -1, -1):
+        lined[i] = sum(lined[c] for c in nodes[i][3]) if nodes[i][0] in CONTAINERS else seen.get(i, nothing)[2]
     below = nodes[region][3]
     lines = [k for k, c in enumerate(below) if nodes[c][0] not in CONTAINERS and varying[c]]
-    edge = [c for k, c in enumerate(below) if nodes[c][0] in CONTAINERS and lines and not lines[0] < k < lines[-1] and varying[c] <= EDGE * varying[region]]
+    edge = [c for k, c in enumerate(below) if nodes[c][0] in CONTAINERS and lines and not lines[0] < k < lines[-1] and varying[c] <= EDGE * varying[region] and 2 * lined[c] < max(1, seen.get(c, nothing)[2])]
     return region, sorted(constant), edge
 
 
