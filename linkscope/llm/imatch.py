@@ -44,8 +44,8 @@ ORDERS = [[int.from_bytes(hashlib.sha256(b"%d %d" % (i, j)).digest()[:8], "big",
 SCALES = ((4, 4), (6, 24), (8, 32), (10, 32))
 #: Groups of copies with this share of all rows (and two rows) weigh as one document.
 GROUP_SHARE = 0.0001
-#: A document's weight.
-ONE = 1 << 20
+#: Sums of weights in another order differ by less than this share of them.
+NEAR = 1e-6
 #: Stands for the text itself, so that a text without terms of the band keeps its row.
 MARK = 0
 
@@ -69,7 +69,7 @@ def with_copy_keys(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def weighed_docs(docs: DataFrame, text: str = "text") -> DataFrame:
     """(w, weight): the words of each text of docs (with the column tie, the text's hash), and
-    ONE divided by the size of the largest group of copies that it is in."""
+    1 divided by the size of the largest group of copies that it is in."""
     keyed = with_copy_keys(docs.select("tie", text), text)
     names = [f"k{i}" for i in range(len(ORDERS))]
     counted = keyed.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(k).alias("k")) for i, k in enumerate(names)])).alias("x")).groupBy("x.i", "x.k").agg(F.count("*").alias("n"))
@@ -79,7 +79,7 @@ def weighed_docs(docs: DataFrame, text: str = "text") -> DataFrame:
         side = groups.filter(F.col("i") == i).select(F.col("k").alias(k), F.col("n").alias(f"n{i}"))
         keyed = keyed.join(F.broadcast(side), k, "left")  # 1 / GROUP_SHARE rows at most
     size = F.greatest(F.lit(1).cast("long"), *[F.coalesce(F.col(f"n{i}"), F.lit(1).cast("long")) for i in range(len(names))])
-    return keyed.select("w", F.floor(F.lit(ONE) / size).alias("weight"))
+    return keyed.select("w", (F.lit(1.0) / size).alias("weight"))
 
 
 def lexicon(docs: DataFrame, text: str = "text", min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
@@ -87,10 +87,9 @@ def lexicon(docs: DataFrame, text: str = "text", min_share: float = MIN_SHARE, m
     hash). Document frequencies are sums of weights, MARK's that of all documents."""
     codes = F.array_append(F.array_distinct(F.transform("w", lambda w: F.xxhash64(w))), F.lit(MARK).cast("long"))
     found = cut(weighed_docs(docs, text).select("weight", F.explode(codes).alias("term")).groupBy("term").agg(F.sum("weight").alias("df")))
-    n = (found.filter(F.col("term") == MARK).agg(F.sum("df")).first()[0] or 0) / ONE
+    n = (found.filter(F.col("term") == MARK).agg(F.sum("df")).first()[0] or 0.0)
     low, high = max(2.0, min_share * n), max(2.0, max_share * n)
-    # a weight is rounded down by less than a millionth
-    return found.filter((F.col("term") != MARK) & (F.col("df") >= int(low * ONE * (1 - 1e-3))) & (F.col("df") <= int(high * ONE))).select("term")
+    return found.filter((F.col("term") != MARK) & (F.col("df") >= low * (1 - NEAR)) & (F.col("df") <= high * (1 + NEAR))).select("term")
 
 
 def tagged(sorted_terms: Column) -> list[Column]:

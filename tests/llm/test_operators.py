@@ -380,7 +380,7 @@ def test_imatch_with_a_third_of_copies(spark):
     likeness = [x["near_edited"] for x in out if x["doc_id"] in copies]
     assert sum(x > 0 for x in likeness) > 0.95 * len(copies)
     weighed = imatch.weighed_docs(table.withColumn("tie", F.xxhash64("text")))
-    assert 400.9 <= weighed.agg(F.sum("weight")).first()[0] / imatch.ONE <= 410
+    assert 400.9 <= weighed.agg(F.sum("weight")).first()[0] <= 410
 
 
 def test_runs_split_hot_keys(spark):
@@ -435,6 +435,27 @@ def test_main_text_without_names(spark):
         assert texts([(i, u, disguised(h, article)) for i, u, h in rows]) == plain
 
 
+def test_imatch_weighs_a_group_of_any_size_as_one(spark):
+    """1,200,000 equal texts beside 3,000 others: their terms stay in the band of the others."""
+    own = spark.range(3000).selectExpr("id as doc_id", "concat('term', id % 300, ' word', id % 7, ' own', id) as text")
+    same = spark.range(3000, 1_203_000).selectExpr("id as doc_id", "'term5 term6 copied' as text")
+    table = own.unionByName(same)
+    lex = {x["term"] for x in imatch.lexicon(table.withColumn("tie", F.xxhash64("text"))).collect()}
+    want = {x["c"] for x in spark.range(300).select(F.xxhash64(F.concat(F.lit("term"), "id")).alias("c")).collect()} | {x["c"] for x in spark.range(7).select(F.xxhash64(F.concat(F.lit("word"), "id")).alias("c")).collect()}
+    assert lex == want
+
+
+def test_main_text_keeps_leads_closings_and_repeated_headings(spark):
+    body = "<div><p>Lead {0} of the matter, told in short {1}.</p></div><h1>Title {0}</h1><p>Body {0} goes on {1} and on for a while, {1}.</p><h2>Summary</h2><p>In short {0} it was {1}.</p><section><h3>At the end</h3><p>Ending {0} of it all {1}.</p></section>"
+    shell = "<html><body><div><a href=/a>Home</a><a href=/b>News</a></div><{2}>" + body + "</{2}><div>Some bare notice {1}</div><div>All rights kept.</div></body></html>"
+    rows = [(10 * k + i, f"http://h{k}.example/{i}", shell.format(i, " ".join(f"w{i}x{j}" for j in range(9)), tag)) for k, tag in enumerate(("article", "div")) for i in range(6)]
+    got = {x["page_id"]: x["text"].split("\n\n") for x in pages.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(2):
+        for i in range(6):
+            blocks = got[10 * k + i]
+            assert [b.split()[0] for b in blocks] == ["Lead", "Title", "Body", "Summary", "In", "At", "Ending"], (k, blocks)
+
+
 def test_main_text_drops_what_is_constant(spark):
     """Inside an article too; a page's own text on such a place stays; copies tell nothing."""
     shell = "<html><body><article><h1>On {0}</h1><p>Read our terms of use.</p><p>Story {0} begins.</p><p>It ends {0} times.</p></article></body></html>"
