@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkscope.operators.structure import cols, degrees, symmetrise
-from linkscope.plans.iterate import cut, iterate
+from linkscope.plans.iterate import NotFinished, cut, iterate
 
 
 def closeness(nodes: DataFrame, dist: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -93,9 +93,10 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-10, ma
     return iterate(nodes.select("node", F.lit(n**-0.5).alias("score")), step, done, max_rounds)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-10, max_rounds: int = 100, every: int = 3) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-10, max_rounds: int = 1000, every: int = 3) -> DataFrame:
     """(node, rank), summing to 1. What nodes without links hold is spread over all.
-    The tolerance (L1) is looked at after every few rounds, which run as one job."""
+    The tolerance (L1) is looked at after every few rounds, which run as one job; ranks
+    that still move after max_rounds are an error."""
     n = nodes.count()
     out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out"))
     nodes = cut(nodes.select("node").join(out, "node", "left"))
@@ -111,6 +112,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance:
                 state = after
                 break
         state = after.select("node", "out", "rank")
+    else:
+        raise NotFinished(f"ranks still move after {max_rounds} rounds")
     total = state.agg(F.sum("rank").alias("total"))
     return state.crossJoin(F.broadcast(total)).select("node", (F.col("rank") / F.col("total")).alias("rank"))
 

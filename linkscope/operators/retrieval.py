@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkscope.operators.text import tokens_of
-from linkscope.plans.order import average_ranks
+from linkscope.plans.iterate import cut
+from linkscope.plans.order import average_ranks, running, running_best
 
 
 def query_weights(queries: DataFrame, df: DataFrame, n_docs: int) -> DataFrame:
@@ -153,11 +154,59 @@ def fit_abstention(rows: DataFrame, weights: dict[str, float], by: list[str] = (
 
 
 def loo_abstention(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(qid, threshold, abstains): each row decided by the threshold fitted on all others.
-    The rows are a labelled query set, each left out once."""
-    others = rows.select(F.col("qid").alias("left_out")).crossJoin(rows).filter("left_out <> qid")
-    t = fit_abstention(others, weights, ["left_out"])
-    return rows.join(t.hint("merge"), rows.qid == t.left_out).select("qid", "threshold", (F.col("value") < F.col("threshold")).alias("abstains"))
+    """(qid, threshold, abstains): each row decided by the threshold fitted on all others;
+    none where the others have fewer than two values.
+
+    No row meets all others. For each style, scores of all thresholds are running sums with
+    that style one row short; a row left out takes its own part from those below it or
+    from those above, so the best is a maximum before its value or one after it. Where
+    it alone has its value, the thresholds on either side of it become one."""
+    w = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("style"))
+    rows = rows.filter("value is not null").select("qid", "style", "correct", "value", F.coalesce(w, F.lit(0.0)).alias("w"))
+    right = (F.when(F.col("style") == "absent", 1).otherwise(-F.col("correct").cast("int"))).alias("right")
+    sizes = rows.groupBy("style", "w").agg(F.count("*").alias("n"))
+    # one row a style and value: how many of the style become right, or cease to be, as the threshold passes it
+    steps = rows.select("style", "value", right).groupBy("style", "value").agg(F.sum("right").alias("up"))
+    values = running(rows.groupBy("value").agg(F.count("*").alias("held")), [F.col("value")], k=F.lit(1))
+    nexts = values.select((F.col("k") - 1).alias("k"), F.col("value").alias("next"))
+    values = cut(values.join(nexts.hint("merge"), "k", "left"))
+    start = rows.filter("style <> 'absent' and correct").groupBy("style").agg(F.count("*").alias("base"))
+    sizes = cut(sizes.join(start.hint("merge"), "style", "left").fillna(0, ["base"]))
+    parts = steps.join(sizes.hint("merge"), "style").groupBy("value").agg(F.sum(F.col("up") * F.col("w") / F.col("n")).alias("all"))
+    everything = sizes.agg(F.sum(F.col("base") * F.col("w") / F.col("n")).alias("base_all"))
+    own = F.when(F.col("n") > 1, F.col("w") / (F.col("n") - 1)).otherwise(0.0)
+    styles = sizes.withColumn("own", own).select("style", "n", "w", "own", "base")
+    grid = values.crossJoin(F.broadcast(styles)).join(parts.hint("merge"), "value").join(steps.hint("merge"), ["style", "value"], "left").fillna(0, ["up"])  # a row a style
+    change = F.col("all") + F.col("up") * (F.col("own") - F.col("w") / F.col("n"))
+    grid = running(grid.withColumn("change", change), [F.col("style"), F.col("k")], total=F.col("change"))
+    ends = grid.filter("next is null").select("style", F.col("total").alias("end"))
+    # totals run on through the styles: each starts from where the one before it ended
+    begun = running(ends.withColumn("sum", F.lit(0.0)), [F.col("style")], at=F.lit(1)).select("style", "end", "at")
+    before = begun.select(F.col("style"), F.col("at")).join(begun.select((F.col("at") + 1).alias("at"), F.col("end").alias("before")).hint("merge"), "at", "left").select("style", F.coalesce("before", F.lit(0.0)).alias("before"))
+    grid = grid.join(F.broadcast(before), "style").crossJoin(F.broadcast(everything))
+    score = F.round(F.col("base_all") + F.col("base") * (F.col("own") - F.col("w") / F.col("n")) + F.col("total") - F.col("before"), 9)
+    at = grid.filter("next is not null").select("style", "k", ((F.col("value") + F.col("next")) / 2).alias("threshold"), score.alias("score"))
+    best = F.struct("score", (-F.col("threshold")).alias("minus"))
+    at = cut(running_best(running_best(at, ["style"], [F.col("k")], first=best), ["style"], [F.desc("k")], last=best))
+    mine = rows.join(values.hint("merge"), "value").join(styles.select("style", "own").hint("merge"), "style")
+    mine = mine.withColumn("alone", F.col("held") == 1)
+    # up to below: thresholds before the row's value; from above on: those after it
+    mine = mine.withColumn("below", F.col("k") - F.when(F.col("alone"), 2).otherwise(1)).withColumn("above", F.col("k") + F.when(F.col("alone"), 1).otherwise(0)).withColumn("mid", F.col("k") - 1)
+    j = mine.join(at.select("style", F.col("k").alias("below"), "first").hint("merge"), ["style", "below"], "left")
+    j = j.join(at.select("style", F.col("k").alias("above"), "last").hint("merge"), ["style", "above"], "left")
+    j = j.join(at.select("style", F.col("k").alias("mid"), F.col("score").alias("mid_score")).hint("merge"), ["style", "mid"], "left")
+    j = j.join(values.select((F.col("k") + 1).alias("k"), F.col("value").alias("previous")).hint("merge"), "k", "left")
+    low = F.when((F.col("style") != "absent") & F.col("correct"), F.col("own")).otherwise(0.0)
+    high = F.when(F.col("style") == "absent", F.col("own")).otherwise(0.0)
+
+    def less(c: str, part: Column) -> Column:
+        return F.when(F.col(c).isNotNull(), F.struct(F.round(F.col(f"{c}.score") - part, 9).alias("score"), F.col(f"{c}.minus").alias("minus")))
+
+    between = F.col("alone") & F.col("previous").isNotNull() & F.col("next").isNotNull()
+    joined = F.when(between, F.struct(F.round(F.col("mid_score") - low, 9).alias("score"), (-(F.col("previous") + F.col("next")) / 2).alias("minus")))
+    pick = F.array_max(F.filter(F.array(less("first", low), less("last", high), joined), lambda x: x.isNotNull()))
+    out = j.withColumn("pick", pick).filter("pick is not null").withColumn("threshold", -F.col("pick.minus"))
+    return out.select("qid", "threshold", (F.col("value") < F.col("threshold")).alias("abstains"))
 
 
 def confidence_report(rows: DataFrame, value: str = "value") -> DataFrame:

@@ -377,43 +377,48 @@ def neighbour_degree(edges: DataFrame, by: list[str] = ()) -> DataFrame:
 def maximal_cliques(edges: DataFrame, core: DataFrame) -> DataFrame:
     """(clique, size): every maximal clique of two or more nodes once, as a sorted array.
 
-    Nodes are ordered by core number, then id; each node's task holds its neighbours
-    and the links among them, and reports cliques in which it comes first. So a task
-    is as large as a neighbourhood, and branches among later neighbours only, of
-    which there are at most the core number."""
+    Nodes are ordered by core number, then id. A node's task holds its later neighbours, of
+    which there are at most the core number, and the links among them, and reports the
+    cliques that nothing among these extends; a hub's earlier neighbours are in no task.
+    What a node before all of a clique extends goes afterwards: of its member with the
+    fewest links, the earlier neighbours are joined to all other members."""
     import pandas as pd
 
-    sym = symmetrise(edges)
+    sym = cut(symmetrise(edges))
     order = core.select("node", F.struct("core", "node").alias("o"))
-    e = sym.join(order.select(F.col("node").alias("src"), F.col("o").alias("a")), "src").join(order.select(F.col("node").alias("dst"), F.col("o").alias("b")), "dst").select("src", "dst", (F.col("a") < F.col("b")).alias("later"))
-    own = e.select(F.col("src").alias("start"), F.col("dst").alias("x"), "later", F.lit(None).cast("long").alias("y"))
-    # links among the neighbours of a start: closed wedges
-    among = e.select(F.col("src").alias("start"), F.col("dst").alias("x")).join(e.select(F.col("src").alias("start"), F.col("dst").alias("y")), "start").filter("x < y").join(sym.select(F.col("src").alias("x"), F.col("dst").alias("y")), ["x", "y"], "left_semi")
-    rows = own.unionByName(among.select("start", "x", F.lit(None).cast("boolean").alias("later"), "y"))
+    e = cut(sym.join(order.select(F.col("node").alias("src"), F.col("o").alias("a")).hint("merge"), "src").join(order.select(F.col("node").alias("dst"), F.col("o").alias("b")).hint("merge"), "dst").filter("a < b").select("src", "dst"))
+    x, y = (e.select(F.col("src").alias("start"), F.col("dst").alias(c)) for c in "xy")
+    among = x.join(y.hint("merge"), "start").filter("x < y").join(sym.select(F.col("src").alias("x"), F.col("dst").alias("y")).hint("merge"), ["x", "y"], "left_semi")
+    rows = x.withColumn("y", F.lit(None).cast("long")).unionByName(among.select("start", "x", "y"))
 
     def cliques(pdf: pd.DataFrame) -> pd.DataFrame:
         start = int(pdf["start"].iloc[0])
-        near = pdf[pdf["y"].isna()]
-        later = {int(x) for x, z in zip(near["x"], near["later"], strict=True) if z}
-        link: dict[int, set[int]] = {int(x): set() for x in near["x"]}
-        for x, y in pdf.loc[pdf["y"].notna(), ["x", "y"]].itertuples(index=False):
-            link[int(x)].add(int(y))
-            link[int(y)].add(int(x))
-        out, todo = [], [([start], later, set(link) - later)]
+        link: dict[int, set[int]] = {int(v): set() for v in pdf.loc[pdf["y"].isna(), "x"]}
+        for v, w in pdf.loc[pdf["y"].notna(), ["x", "y"]].itertuples(index=False):
+            link[int(v)].add(int(w))
+            link[int(w)].add(int(v))
+        out, todo = [], [([start], set(link), set())]
         while todo:
             clique, may, not_ = todo.pop()
-            if not may and not not_:
-                out.append(sorted(clique))
+            if not may:
+                if not not_:
+                    out.append(sorted(clique))
                 continue
             pivot = max(may | not_, key=lambda v: len(link[v] & may))
             for v in sorted(may - link[pivot]):
                 todo.append(([*clique, v], may & link[v], not_ & link[v]))
                 may = may - {v}
                 not_ = not_ | {v}
-        out = [c for c in out if len(c) > 1]
-        return pd.DataFrame({"clique": pd.Series(out, dtype=object), "size": pd.Series(map(len, out), dtype="int32")})
-
-    return rows.groupBy("start").applyInPandas(cliques, "clique array<bigint>, size int")
+        return pd.DataFrame({"start": start, "clique": pd.Series(out, dtype=object)})
+
+    found = cut(rows.groupBy("start").applyInPandas(cliques, "start long, clique array<bigint>"))
+    degree = sym.groupBy(F.col("src").alias("m")).agg(F.count("*").alias("k"))
+    least = found.select("start", "clique", F.explode("clique").alias("m")).join(degree.hint("merge"), "m").groupBy("start", "clique").agg(F.min_by("m", F.struct("k", "m")).alias("m"))
+    before = least.join(sym.select(F.col("src").alias("m"), F.col("dst").alias("u")).hint("merge"), "m")
+    before = before.join(order.select(F.col("node").alias("u"), F.col("o").alias("ou")).hint("merge"), "u").join(order.select(F.col("node").alias("start"), F.col("o").alias("os")).hint("merge"), "start").filter("ou < os")
+    pairs = before.select("clique", "u", F.explode("clique").alias("m")).join(sym.select(F.col("src").alias("u"), F.col("dst").alias("m")).hint("merge"), ["u", "m"], "left_semi")
+    extended = pairs.groupBy("clique", "u").agg(F.count("*").alias("n")).filter(F.col("n") == F.size("clique")).select("clique").distinct()
+    return found.select("clique", F.size("clique").alias("size")).join(extended.hint("merge"), "clique", "left_anti")
 
 
 def k_cliques(edges: DataFrame, k: int) -> DataFrame:

@@ -33,6 +33,24 @@ def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
     return rows.join(F.broadcast(before), "_range").select(*columns, *[(F.sum(f"_own_{name}").over(within) + F.col(f"_before_{name}")).alias(name) for name in sums])
 
 
+def running_best(df: DataFrame, by: list[str], order: list[Column], **best: Column) -> DataFrame:
+    """df with a column for each of best: its greatest value up to and with this row among the
+    rows of the same by, in order. A group may lie in many ranges; what is added up
+    between ranges is a row for each range and group in it."""
+    df = df.drop(*best)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    keys = [F.col(f"`{c}`") for c in by]
+    rows = df.select(*columns, *[c.alias(f"_own_{name}") for name, c in best.items()])
+    rows = cut(rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_range", F.shiftright("_at", ROW_BITS))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range and group
+    totals = rows.groupBy("_range", *by).agg(*[F.max(f"_own_{name}").alias(name) for name in best])
+    before = totals.select("_range", *by, *[F.max(name).over(earlier).alias(f"_before_{name}") for name in best])
+    within = Window.partitionBy("_range", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = rows.join(before.hint("merge"), ["_range", *by])
+    return joined.select(*columns, *[F.greatest(F.max(f"_own_{name}").over(within), F.coalesce(F.col(f"_before_{name}"), F.max(f"_own_{name}").over(within))).alias(name) for name in best])
+
+
 def numbered_in_few(df: DataFrame, by: str, order: list[Column], name: str) -> DataFrame:
     """df with name: each row's number from 1 among those of its value of by, of which there
     are few (replicates); a value's rows may lie in many ranges."""

@@ -15,7 +15,7 @@ from linkscope.operators import vectors as V
 from linkscope.plans.iterate import cut
 from linkscope.queries.graph import customers, f1, r
 from linkscope.queries.models import pairs
-from linkscope.queries.registry import W, query
+from linkscope.queries.registry import CUES, W, query
 from linkscope.queries.sets import COS, MIX, QW, WT, counts, queries_, scores, targets, unit, vectors, weights
 from linkscope.queries.words import HREF, NT, PAIRS, SH, STOP, TOK, docs, sh
 from linkscope.sources.fixtures import read
@@ -114,7 +114,6 @@ def tx17(spark, sf):
 #: Documents that copy from each other are linked; a document is named by its weightiest
 #: word of four letters or more, and its lines are its sentences.
 NAMED = f"{WT}, {SH}, {PAIRS}, lk AS (SELECT a AS src, b AS dst FROM cp UNION SELECT b, a FROM cp), nm AS (SELECT doc_id AS node, first(token ORDER BY round(w, 9) DESC, token) AS name FROM un WHERE length(token) >= 4 GROUP BY doc_id), ln AS (SELECT doc_id, pos - 1 AS pos, lower(s) AS sentence FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)), rs AS (SELECT src, dst, pos, sentence, b.name FROM lk JOIN nm b ON b.node = dst LEFT JOIN nm a ON a.node = src JOIN ln ON doc_id = src WHERE (a.name IS NULL OR NOT contains(a.name, b.name)) AND length(sentence) < 600 AND regexp_matches(sentence, '(^|[^0-9A-Za-z_-])' || b.name || '([^0-9A-Za-z_-]|$)'))"
-CUES = {"ally": ["of", "with"], "family": ["and", "or"], "foe": ["the", "a"]}
 
 
 def cue_sql(kind):

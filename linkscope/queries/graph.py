@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from linkscope.operators import balls as D
 from linkscope.operators import lowlink as L
 from linkscope.operators import structure as S
+from linkscope.plans.iterate import cut
 from linkscope.queries.registry import CC, DIST, UDIST, W, query
 from linkscope.sources.fixtures import customers, handovers, successions
 
@@ -161,6 +163,32 @@ def gr22(spark, sf):
     return S.eccentricities(S.bfs(S.symmetrise(e), big.select(F.col("node").alias("source"))))
 
 
+@query("gr22_eccentricity_by_bounds", f"{W}, {CC}, {UDIST}, e AS (SELECT source AS node, max(dist) AS eccentricity FROM udist WHERE source IN (SELECT node FROM big) GROUP BY source) SELECT node, eccentricity, max(eccentricity) OVER () AS diameter, min(eccentricity) OVER () AS radius, eccentricity = min(eccentricity) OVER () AS central FROM e")
+def gr22b(spark, sf):
+    n, e = f1(spark, sf)
+    big = cut(S.giant(S.connected_components(n, e)))
+    return D.bounded_eccentricities(big, S.induced_subgraph(S.symmetrise(e), big))
+
+
+@query("gr23_path_length_estimate")
+def gr23e(spark, sf):
+    """All nodes; sketches of 4,096 registers."""
+    n, e = f1(spark, sf)
+    return D.path_length_estimate(D.ball_measures(n, S.symmetrise(e)))
+
+
+@query("gr24_reachability_estimate")
+def gr24e(spark, sf):
+    """Along the arrows."""
+    return D.ball_measures(*f1(spark, sf)).select("node", r("reached"), r("total_dist"), "depth")
+
+
+@query("ce1_closeness_estimate")
+def ce1e(spark, sf):
+    n, e = f1(spark, sf)
+    return D.closeness_estimate(D.ball_measures(n, S.symmetrise(e)), n.count()).select("node", r("closeness"))
+
+
 @query("gr23_aspl", f"{W}, {CC}, {UDIST} SELECT round(avg(dist), 6) AS aspl, max(dist) AS diameter FROM udist WHERE source IN (SELECT node FROM big) AND dist > 0")
 def gr23(spark, sf):
     n, e = f1(spark, sf)
@@ -212,7 +240,15 @@ def gr30(spark, sf):
     return S.neighbour_degree(successions(spark, sf)).select("k", r("knn"), "n")
 
 
-@query("gr31_clique_sizes")
+#: Cliques of up to six nodes that no further node extends.
+CLIQUES = ", ".join([f"{W}, k2 AS (SELECT a AS v1, b AS v2 FROM und)", *(f"k{i} AS (SELECT k.*, u1.b AS v{i} FROM k{i - 1} k " + " ".join(f"JOIN und u{j} ON u{j}.a = k.v{j}" + ("" if j == 1 else f" AND u{j}.b = u1.b") for j in range(1, i)) + ")" for i in range(3, 7))])
+
+
+def _maximal(i: int) -> str:
+    return f"SELECT CAST({i} AS INT) AS size, count(*) AS n FROM k{i} k WHERE NOT EXISTS (SELECT 1 FROM sym s1 " + " ".join(f"JOIN sym s{j} ON s{j}.src = k.v{j} AND s{j}.dst = s1.dst" for j in range(2, i + 1)) + " WHERE s1.src = k.v1) HAVING count(*) > 0"
+
+
+@query("gr31_clique_sizes", f"{CLIQUES} " + " UNION ALL ".join(map(_maximal, range(2, 7))))
 def gr31(spark, sf):
     n, e = f1(spark, sf)
     return S.maximal_cliques(e, S.core_numbers(n, e)).groupBy("size").agg(F.count("*").alias("n"))

@@ -245,10 +245,25 @@ def ht3(spark, sf):
     return H.fit_tails(degree_hist(spark, sf), "kind")
 
 
+@query("ht2_candidate_fits")
+def ht2(spark, sf):
+    """The gap of every tail that could be fitted."""
+    return H.fit_candidates(degree_hist(spark, sf), "kind").select("kind", "k_min", r("alpha"), r("ks"), "tail")
+
+
+@query("ht8_fits_by_two_keys")
+def ht8(spark, sf):
+    """Degrees by market segment and kind."""
+    d = S.degrees(*f1(spark, sf)).join(segments(spark, sf).hint("merge"), "node")
+    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("v")) for c in ("in_degree", "out_degree", "degree")]))
+    h = cut(H.histogram(d.select("class", kinds.alias("x")).select("class", "x.*"), "v", ["class", "kind"]))
+    return H.fit_tails(h, ["class", "kind"]).select("class", "kind", "k_min", r("alpha"), r("error"), r("ks"), "tail")
+
+
 @query("ht4_bootstrap_pvalue")
 def ht4(spark, sf):
     h = degree_hist(spark, sf)
-    return H.bootstrap_pvalue(h, "kind", cut(H.fit_tails(h, "kind")), 10)
+    return H.bootstrap_pvalue(h, "kind", cut(H.fit_tails(h, "kind")))
 
 
 @query("ht7_compare_tails")

@@ -20,6 +20,9 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Cue words by kind for the invented texts of the tables: function words, as these hold no others.
+CUES = {"ally": ["of", "with"], "family": ["and", "or"], "foe": ["the", "a"]}
+
 #: The order-succession graph and its symmetric form.
 F1 = """nodes AS (SELECT CAST(c_custkey AS BIGINT) AS node FROM customer),
 edges AS (SELECT DISTINCT CAST(a.o_custkey AS BIGINT) AS src, CAST(b.o_custkey AS BIGINT) AS dst FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderpriority = '1-URGENT' AND a.o_custkey <> b.o_custkey),

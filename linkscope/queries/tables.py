@@ -7,11 +7,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from linkscope.functions.scalars import RELATION_WORDS
+from linkscope.functions.scalars import count_uses
 from linkscope.operators import extract as X
 from linkscope.operators import text as T
 from linkscope.plans.iterate import shared_dir
-from linkscope.queries.registry import query
+from linkscope.queries.registry import CUES, query
 from linkscope.queries.words import TOK
 from linkscope.sources import io
 from linkscope.sources.fixtures import read
@@ -122,11 +122,7 @@ def ext5(spark, sf):
     return X.infobox_fields(boxes(spark, sf).withColumn("o_orderkey", F.col("o_orderkey").cast("long")), "o_orderkey", ["key", "priority"])
 
 
-def cues(kind):
-    return "|".join(RELATION_WORDS[kind])
-
-
-@query("fn10_relation_words", "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(lower(text), '\\b({cues(k)})\\b')) AS {k}" for k in sorted(RELATION_WORDS)) + " FROM documents")
+@query("fn10_relation_words", r"SELECT doc_id, " + ", ".join(rf"len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+'), lambda x: x IN {tuple(CUES[k])})) AS {k}" for k in CUES) + " FROM documents")
 def fn10(spark, sf):
     """Uses of words that tell how two stand to each other."""
-    return read(spark, sf, "documents").select("doc_id", *[F.coalesce(F.regexp_count(F.lower("text"), F.lit(f"\\b({cues(k)})\\b")), F.lit(0)).cast("long").alias(k) for k in sorted(RELATION_WORDS)])
+    return read(spark, sf, "documents").select("doc_id", *[count_uses(F.col("text"), CUES[k]).alias(k) for k in CUES])

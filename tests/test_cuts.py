@@ -103,3 +103,25 @@ def test_removal_curves_equal_searches(spark, small, monkeypatch):
     alone = B.removal_curve(n, e, spark.createDataFrame([x[1:] for x in rows if x[0] == 0], "node long, step int"))
     assert {(0, *x) for x in map(tuple, alone.select("step", "giant").collect())} == {x for x in want if x[0] == 0}
     assert B.removal_curve(n, e.limit(0), spark.createDataFrame([(0, 1), (39, 2)], "node long, step int")).collect()[0]["giant"] == 1
+
+
+def test_maximal_cliques_equal_a_plain_search(spark):
+    """A dense graph with a hub that all others link to."""
+    from itertools import combinations
+
+    from linkscope.operators import structure as S
+
+    r = random.Random(9)
+    edges = {(0, i) for i in range(1, 16)} | {p for p in combinations(range(1, 16), 2) if r.random() < 0.45} | {(20, 21), (21, 22)}
+    near = {v: {b if a == v else a for a, b in edges if v in (a, b)} for v in {x for p in edges for x in p}}
+
+    def grow(clique, may, not_):
+        if not may and not not_:
+            yield tuple(sorted(clique))
+        for v in sorted(may):
+            yield from grow([*clique, v], may & near[v], not_ & near[v])
+            may, not_ = may - {v}, not_ | {v}
+
+    n, e = tables(spark, sorted(near), sorted(edges))
+    got = sorted(tuple(x["clique"]) for x in S.maximal_cliques(e, S.core_numbers(n, e)).collect())
+    assert got == sorted(grow([], set(near), set()))
