@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkscope.functions.scalars import STOPWORDS
-from linkscope.operators.retrieval import dense_search, expected_score, fit_abstention, loo_abstention, retrieval_summary
+from linkscope.operators.retrieval import dense_search, expected_score, few, fit_abstention, loo_abstention, retrieval_summary
 from linkscope.operators.text import tokens_of
 from linkscope.plans.iterate import cut
 from linkscope.plans.order import running
@@ -35,7 +35,7 @@ def evidence_table(engines: DataFrame, parts: DataFrame, passages: DataFrame | N
     ranked = engines.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     top = ranked.groupBy("engine", "qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x.doc_id).alias("top"))  # k rows
     top = cut(top.withColumn("pick", F.element_at("top", 1)))
-    own = parts.join(top.select("engine", "qid", F.col("pick").alias("doc_id")).hint("merge"), ["engine", "qid", "doc_id"])
+    own = parts.join(few(top.select("engine", "qid", F.col("pick").alias("doc_id"))), ["engine", "qid", "doc_id"])
     best = own.withColumn("r", F.row_number().over(Window.partitionBy("engine", "qid").orderBy(F.desc(F.round("part", 9)), "token"))).filter(F.col("r") <= k)
     words = best.groupBy("engine", "qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "token"))), lambda x: x.token).alias("words"))
     out = top.join(words.hint("merge"), ["engine", "qid"], "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
