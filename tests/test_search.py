@@ -61,3 +61,14 @@ def test_mentions_are_runs(spark, tmp_path):
     got = E.fn8(spark, str(tmp_path))
     assert {x["item_id"]: x["documents"] for x in got.collect()} == {1: 3, 3: 1}
     assert "RLIKE" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_weights_take_one_shuffle_by_document(spark):
+    from linkscope.operators import vectors as V
+
+    counts = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "a", 4), (3, "c", 5)], "doc_id long, token string, tf long")
+    got = V.unit_rows(V.tfidf(counts, 3))
+    plan = joins(got)[1].split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") <= 1 and "SortMergeJoin" not in plan
+    w = {(x["doc_id"], x["token"]): x["w"] for x in got.collect()}
+    assert w[2, "a"] == w[3, "c"] == 1.0 and abs(w[1, "a"] ** 2 + w[1, "b"] ** 2 - 1) < 1e-12 and w[1, "b"] > w[1, "a"] > 0
