@@ -17,3 +17,11 @@ def test_only_tables_of_a_row_a_seed_are_broadcast(spark, monkeypatch):
     joins = {re.sub(r"#\d+L?", "", j) for p in plans for j in re.findall(r"BroadcastHashJoin (\[.*?\], \[.*?\]),", p)}
     assert joins <= {"[seed], [seed]", "[seed_a], [seed_a]", "[seed_b], [seed_b]", "[seed_a, seed_b], [seed_a, seed_b]"}, joins
     assert runs.count() == 30
+
+
+def test_labels_that_hold_for_all_replicates(spark):
+    e = spark.createDataFrame([(r, a, b) for r, step in ((0, 1), (1, 2), (2, 3)) for a in range(8) for b in [(a + step) % 8]], "replicate long, a long, b long")
+    lab = spark.range(8).selectExpr("id as node", "nullif(id % 3, 2) as community")
+    each = lab.crossJoin(e.select("replicate").distinct())
+    got, want = ({x["replicate"]: round(x["q"], 12) for x in M.modularity(e, labels, ["replicate"]).collect()} for labels in (lab, each))
+    assert got == want and len(got) == 3
