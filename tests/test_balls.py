@@ -46,6 +46,19 @@ def test_ball_measures_are_near(spark):
     assert [round(x["reached"]) for x in alone] == [0, 0, 0]
 
 
+def test_balls_of_few_links_take_no_rounds_of_joins(spark, monkeypatch):
+    n, e, edges = made(spark, 400, 300, 4)
+    e = e.filter("src % 3 > 0 or src < dst")
+    d = distances(range(400), [(a, b) for a, b in edges if a % 3 > 0 or a < b])
+    monkeypatch.setattr(D, "cut", None)
+    got = {x["node"]: x for x in D.ball_measures(n.union(spark.range(900, 901)), e.union(spark.createDataFrame([(5, 901)], "src long, dst long"))).collect()}
+    assert got.pop(900)[1:] == (0.0, 0.0, 0.0, 0)
+    for v, at in d.items():
+        far = [x for x in at.values() if x]
+        assert got[v]["reached"] == pytest.approx(len(far), rel=0.06, abs=0.1) and got[v]["depth"] <= max(far, default=0)
+        assert got[v]["total_dist"] == pytest.approx(sum(far), rel=0.12, abs=0.1) and got[v]["harmonic"] == pytest.approx(sum(1 / x for x in far), rel=0.1, abs=0.1)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_bounded_eccentricities_are_exact(spark, seed):
     n, e, edges = made(spark, 60, (0, 20)[seed - 1], seed)
