@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkscope.functions.scalars import seeded
+from linkscope.operators.retrieval import few
 from linkscope.operators.structure import component_sizes, connected_components, giant, induced_subgraph, symmetrise
 from linkscope.plans.iterate import cut
 from linkscope.plans.order import numbered_in_few
@@ -72,8 +73,9 @@ def _swept(links: DataFrame, weights: DataFrame, sweeps: DataFrame, by: list[str
     import pandas as pd
 
     keys = [*by, "lo"]
-    rows = links.join(sweeps.select(*keys).hint("merge"), keys, "left_semi").select(*keys, "src", "dst", "key", F.lit(None).cast("long").alias("floor"))
-    heavy = weights.join(sweeps.select(*keys).hint("merge"), keys, "left_semi").select(*keys, F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("weight").alias("key"), F.lit(None).cast("long").alias("floor"))
+    few_ = few(sweeps.select(*keys))
+    rows = links.join(few_, keys, "left_semi").select(*keys, "src", "dst", "key", F.lit(None).cast("long").alias("floor"))
+    heavy = weights.join(few_, keys, "left_semi").select(*keys, F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("weight").alias("key"), F.lit(None).cast("long").alias("floor"))
     rows = rows.unionByName(heavy).unionByName(sweeps.select(*keys, F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("hi").alias("key"), "floor"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in links.select(*by).schema), "step long", "giant long"])
 
@@ -124,21 +126,22 @@ def _weighed(labels: DataFrame, weights: DataFrame, group: list[str], keys: list
 def _one_step(links: DataFrame, weights: DataFrame, sweeps: DataFrame, by: list[str]) -> DataFrame:
     """(step, giant) of sweeps of one step, all of whose links are there."""
     keys = [*by, "lo"]
-    there = links.join(sweeps.select(*keys).hint("merge"), keys, "left_semi").filter("key > lo")
+    there = links.join(few(sweeps.select(*keys)), keys, "left_semi").filter("key > lo")
     ends = there.select(*keys, F.col("src").alias("node")).union(there.select(*keys, "dst")).distinct()
     largest = _weighed(connected_components(ends, there, keys), weights, keys, keys).groupBy(*keys).agg(F.max("weight").alias("largest"))
     return sweeps.join(largest.hint("merge"), keys, "left").select(*by, F.col("lo").alias("step"), F.greatest("floor", F.coalesce("largest", F.lit(1))).alias("giant"))
 
 
 def _split(links: DataFrame, weights: DataFrame, sweeps: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sweeps, links and weights of FAN intervals for each long sweep."""
+    """Sweeps, links and weights of FAN intervals for each long sweep. Intervals are few, and one
+    may have all links: they go to the links, which would meet in one task otherwise."""
     keys = [*by, "lo"]
     wide = F.greatest(F.lit(1), F.expr(f"(hi - lo + {FAN} - 1) div {FAN}"))
     starts = F.sequence(F.col("lo"), F.col("hi") - 1, wide)
     each = cut(sweeps.select(*keys, "floor", "hi", F.posexplode(starts).alias("i", "from")).withColumn("to", F.least("hi", F.col("from") + wide)).drop("i"))
     inner = each.filter("to < hi").select(*keys, F.col("to").alias("upto"))
     # components at each step between intervals; by sweep and step
-    there = links.join(inner.hint("merge"), keys).filter("key > upto").select(*keys, "upto", "src", "dst")
+    there = links.join(few(inner), keys).filter("key > upto").select(*keys, "upto", "src", "dst")
     group = [*keys, "upto"]
     ends = there.select(*group, F.col("src").alias("node")).union(there.select(*group, "dst")).distinct()
     labels = cut(connected_components(cut(ends), there, group))
@@ -148,16 +151,16 @@ def _split(links: DataFrame, weights: DataFrame, sweeps: DataFrame, by: list[str
     next_sweeps = each.join(largest.withColumnRenamed("upto", "to").hint("merge"), to, "left")
     next_sweeps = cut(next_sweeps.select(*by, F.col("from").alias("lo"), F.col("to").alias("hi"), F.greatest("floor", F.coalesce("largest", F.lit(1))).alias("floor")))
     # a link belongs to the interval in which it comes, between the components at its end
-    come = links.join(each.select(*keys, "from", "to", "hi").hint("merge"), keys).filter("key > from and (key <= to or to = hi)")
+    come = links.join(few(each.select(*keys, "from", "to", "hi")), keys).filter("key > from and (key <= to or to = hi)")
     name = labels.withColumnRenamed("upto", "to")
     for end in ("src", "dst"):
         come = come.join(name.select(*to, F.col("node").alias(end), F.col("component").alias(f"c_{end}")).hint("merge"), [*to, end], "left")
         come = come.withColumn(end, F.coalesce(f"c_{end}", end)).drop(f"c_{end}")
     next_links = cut(come.filter("src <> dst").select(*by, F.col("from").alias("lo"), F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "key").groupBy(*by, "lo", "src", "dst").agg(F.max("key").alias("key")))
-    begun = each.select(*keys, "from", "to")
-    grown = sizes.withColumnRenamed("upto", "to").join(begun.hint("merge"), to).select(*by, F.col("from").alias("lo"), F.col("component").alias("node"), "weight")
+    begun = few(each.select(*keys, "from", "to"))
+    grown = sizes.withColumnRenamed("upto", "to").join(begun, to).select(*by, F.col("from").alias("lo"), F.col("component").alias("node"), "weight")
     # nodes that nothing has joined yet keep the weight that they had
-    held = weights.join(begun.hint("merge"), keys).join(name.select(*to, "node").hint("merge"), [*to, "node"], "left_anti").select(*by, F.col("from").alias("lo"), "node", "weight")
+    held = weights.join(begun, keys).join(name.select(*to, "node").hint("merge"), [*to, "node"], "left_anti").select(*by, F.col("from").alias("lo"), "node", "weight")
     used = next_links.select(*by, "lo", F.col("src").alias("node")).union(next_links.select(*by, "lo", "dst")).distinct()
     return next_sweeps, next_links, cut(grown.unionByName(held).join(used.hint("merge"), [*by, "lo", "node"], "left_semi"))
 

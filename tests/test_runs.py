@@ -27,3 +27,14 @@ def test_repeated_lines_make_no_table_of_matches(spark):
     assert [tuple(x) for x in got.collect()] == [(1, 2, 2700)]
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()  # 810,000 matches lay in one before
     assert T.longest_shared_run(docs, pairs.select(F.col("a"), F.lit(3).cast("long").alias("b"))).count() == 0
+
+
+def test_sweeps_go_to_their_links(spark):
+    """One sweep may have all links: they aren't gathered by it."""
+    from linkscope.operators import robustness as B
+
+    links = spark.range(100).selectExpr("0L AS lo", "id AS src", "id + 1000 AS dst", "id + 1 AS key")
+    sweeps = spark.createDataFrame([(0, 101, 1)], "lo long, hi long, floor long")
+    swept = B._swept(links, links.selectExpr("lo", "src AS node", "1L AS weight").limit(0), sweeps, [])
+    assert "SortMergeJoin" not in swept._jdf.queryExecution().executedPlan().toString()
+    assert {r.giant for r in swept.filter("step < 100").collect()} == {2}
